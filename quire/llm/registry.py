@@ -6,7 +6,9 @@ import importlib
 
 #: query name -> module with query(spark, sf_dir) and, where SQL can express it, SQL.
 MODULES = {
+    "op5_mixing": "mixing",
     "op8_neardup": "neardup",
+    "op10_decontamination": "decontam",
 }
 
 
