@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op5_mixing": "mixing",
     "op8_neardup": "neardup",
+    "op9_token_counts": "tokencount",
     "op10_decontamination": "decontam",
 }
 
