@@ -6,6 +6,7 @@ import importlib
 
 #: query name -> module with query(spark, sf_dir) and, where SQL can express it, SQL.
 MODULES = {
+    "op4_language_id": "langid",
     "op5_mixing": "mixing",
     "op8_neardup": "neardup",
     "op9_token_counts": "tokencount",
