@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op4_language_id": "langid",
     "op5_mixing": "mixing",
+    "op6_toxicity": "toxicity",
     "op8_neardup": "neardup",
     "op9_token_counts": "tokencount",
     "op10_decontamination": "decontam",
