@@ -9,6 +9,7 @@ MODULES = {
     "op4_language_id": "langid",
     "op5_mixing": "mixing",
     "op6_toxicity": "toxicity",
+    "op7_quality": "quality",
     "op8_neardup": "neardup",
     "op9_token_counts": "tokencount",
     "op10_decontamination": "decontam",
