@@ -6,7 +6,8 @@ estimates high similarities closely. (2) Equal sets collapse to one representati
 copies cost one row from here on. (3) Within each bucket every representative is tried, by sketch, against the bucket's
 leaders (the first row not yet linked); at most one confirmed link a representative results, and connected components
 follow. (4) Pairs in different components that share a bucket and whose sketches do not exclude similarity are all
-confirmed on full sets, so no link that could join two components stays untried.
+confirmed on full sets, so no link that could join two components stays untried. Here a second odd sketch, of the whole
+set, helps: its XOR population count never exceeds the symmetric difference, so it excludes pairs without any error.
 
 Buckets are streamed in sorted runs of at most `block` rows. Larger buckets are dealt over several blocks; in step 4 the
 rows outside the bucket's largest component visit every block, so no cross-component pair is missed.
@@ -29,9 +30,11 @@ from quire.llm import common as c
 
 WORDS, K, BANDS, BITS = 5, 128, 32, 512
 THRESHOLD = 75
-#: Sketch bits that may differ: expected 57 at similarity 0.75; a true pair passes FAR_BITS but for about 1 in 1e8.
-NEAR_BITS, FAR_BITS = 62, 124
+#: Sketch bits that may differ: expected 57 at similarity 0.75; a true pair passes FAR_BITS but for about 1 in 1e6.
+NEAR_BITS, FAR_BITS = 62, 100
 BLOCK = 2048
+#: Bits of the odd sketch of a whole set.
+FULL_BITS = 4096
 
 _rng = np.random.default_rng(20240607)
 _A = _rng.integers(1, 1 << 63, K, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -109,7 +112,7 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures, SIG_SCHEMA)
 
 
-def _groups(it, size: int = 1 << 17) -> Iterator[dict[str, np.ndarray]]:
+def _groups(it, size: int = 1 << 16) -> Iterator[dict[str, np.ndarray]]:
     """Join batches of rows sorted by `key` and `block` so that no group is cut."""
     rest = None
     for batch in it:
@@ -127,9 +130,11 @@ def _groups(it, size: int = 1 << 17) -> Iterator[dict[str, np.ndarray]]:
 
 
 def _columns(t: pa.Table) -> dict[str, np.ndarray]:
-    out = {k: t[k].to_numpy() for k in t.column_names if k != "sketch"}
-    raw = b"".join(x for chunk in t["sketch"].chunks for x in chunk.to_pylist())
-    out["sketch"] = np.frombuffer(raw, np.uint64).reshape(t.num_rows, BITS // 64)
+    out = {k: t[k].to_numpy() for k in t.column_names if k not in ("sketch", "full")}
+    for k in ("sketch", "full"):
+        if k in t.column_names:
+            raw = b"".join(x for chunk in t[k].chunks for x in chunk.to_pylist())
+            out[k] = np.frombuffer(raw, np.uint64).reshape(t.num_rows, -1)
     k, b = out["key"], out["block"]
     new = np.ones(len(k), bool)
     new[1:] = (k[1:] != k[:-1]) | (b[1:] != b[:-1])
@@ -146,6 +151,26 @@ def _apart(d: dict, i: np.ndarray, j: np.ndarray, bits: int) -> np.ndarray:
     return ok
 
 
+def _may_meet(d: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs the whole sets' sketches leave open: similarity t needs a symmetric difference of (1 - t) / (1 + t) of the sizes' sum at most."""
+    out = np.empty(len(i), bool)
+    for a in range(0, len(i), 1 << 14):
+        x, y = i[a : a + (1 << 14)], j[a : a + (1 << 14)]
+        least = np.bitwise_count(d["full"][x] ^ d["full"][y]).sum(axis=1, dtype=np.int64)
+        out[a : a + (1 << 14)] = least * (100 + THRESHOLD) <= (100 - THRESHOLD) * (d["n"][x] + d["n"][y])
+    return out
+
+
+def _whole_sketches(it):
+    for batch in it:
+        for at, col in c.slices(batch.column(1)):
+            maps = []
+            for s in shingle_sets(col):
+                odd = np.bincount((s >> _U(52)).astype(np.int64), minlength=FULL_BITS) & 1
+                maps.append(np.packbits(odd.astype(np.uint8)).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(col)), pa.array(maps, pa.binary())], ["rep", "full"])
+
+
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -182,6 +207,8 @@ def _crossings(it):
                 x = (d["comp"][part] != d["comp"][j]) & (d["rep"][part] != d["rep"][j])
                 part, j = part[x], j[x]
                 x = _apart(d, part, j, FAR_BITS)
+                part, j = part[x], j[x]
+                x = _may_meet(d, part, j)
                 if x.any():
                     a, b = d["rep"][part[x]], d["rep"][j[x]]
                     yield _pairs(np.maximum(a, b), np.minimum(a, b))
@@ -255,8 +282,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
     own = _blocks(F.col("size"), F.xxhash64("rep", "key"))
     every = F.when((F.col("comp") != F.col("main")) & (blocks > 1), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
-    rows = placed.withColumn("block", F.explode(every)).join(wide, "rep")
-    cross = rows.repartition("key", "block").sortWithinPartitions("key", "block", "rep").select("key", "block", "rep", "comp", "n", "sketch").mapInArrow(_crossings, "a long, b long").distinct()
+    placed = placed.withColumn("block", F.explode(every))
+    maps = texts.select("rep", "text").mapInArrow(_whole_sketches, "rep long, full binary")
+    rows = placed.join(wide, "rep").join(maps, "rep")
+    cross = rows.repartition("key", "block").sortWithinPartitions("key", "block", "rep").select("key", "block", "rep", "comp", "n", "sketch", "full").mapInArrow(_crossings, "a long, b long").distinct()
     second = c.stash(confirm(cross, texts))
     final = components(first.union(second))
 
