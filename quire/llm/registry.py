@@ -6,6 +6,8 @@ import importlib
 
 #: query name -> module with query(spark, sf_dir) and, where SQL can express it, SQL.
 MODULES = {
+    "op1_ann_graph": "ann",
+    "op2_url_filter": "urlfilter",
     "op4_language_id": "langid",
     "op5_mixing": "mixing",
     "op6_toxicity": "toxicity",
