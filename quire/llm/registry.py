@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_ann_graph": "ann",
     "op2_url_filter": "urlfilter",
+    "op3_html_wrapper": "htmlwrap",
     "op4_language_id": "langid",
     "op5_mixing": "mixing",
     "op6_toxicity": "toxicity",
