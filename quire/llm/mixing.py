@@ -17,7 +17,7 @@ ignored by mix() and kept by apply_mix().
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import common as c
@@ -27,10 +27,18 @@ BUDGET, LIMIT = 1.5, 2.0
 DIGITS, STEP = 15, 3
 
 
+def _size(text: Column) -> Column:
+    return F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long")
+
+
+def _hash(doc_id: Column, text: Column) -> Column:
+    """The first DIGITS hex digits of a hash of a document's id and text."""
+    return F.substring(F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), text).cast("binary")), 1, DIGITS)
+
+
 def sized(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    h = F.substring(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), text).cast("binary")), 1, DIGITS)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")).cast("long").alias("size"), h.alias("h"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), _size(text).alias("size"), _hash(F.col("doc_id"), text).alias("h"))
 
 
 def _ranked(sources: DataFrame) -> DataFrame:
@@ -114,6 +122,20 @@ def mix(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + once_more)).alias("taken"))
 
 
+def apply_mix(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the mix takes, with size, source_size, target and taken (which replace columns of those names)."""
+    rows = c.stash(sized(docs))
+    plan = thresholds(rows, targets(rows)).select(F.col("source").alias("__s"), F.col("source_size").alias("__z"), F.col("target").alias("__t"), "whole", "upto")
+    plan = plan.withColumnsRenamed({"whole": "__whole", "upto": "__upto"})
+    own = [x for x in docs.columns if x not in ("size", "source_size", "target", "taken")]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(*own, _size(text).alias("__size"), _hash(F.col("doc_id"), text).alias("__h"))
+    joined = keyed.join(plan, F.col("source").cast("string").eqNullSafe(F.col("__s")))
+    once_more = F.when(F.coalesce(F.col("__h") <= F.col("__upto"), F.lit(False)), 1).otherwise(0)
+    taken = F.col("__size") * (F.col("__whole") + once_more)
+    return joined.select(*own, F.col("__size").alias("size"), F.col("__z").alias("source_size"), F.col("__t").alias("target"), taken.alias("taken")).where("taken > 0")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return mix(c.read(spark, sf_dir, "documents"))
 

@@ -295,6 +295,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), comp).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs with one row of each group of near duplicates, the one of the smallest doc_id; rows of a null doc_id all stay."""
+    found = c.stash(near_duplicates(docs))
+    drop = found.where("not kept").select(F.col("doc_id").alias("__drop")).distinct()
+    twice = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__twice")).agg(F.count("*").alias("__n")).where("__n > 1").select("__twice")
+    rest = docs.join(drop, F.col("doc_id") == F.col("__drop"), "left_anti")
+    if not twice.limit(1).count():
+        return rest
+    again = F.col("doc_id") == F.col("__twice")
+    return rest.join(twice, again, "left_anti").unionByName(rest.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(c.read(spark, sf_dir, "documents"))
 
