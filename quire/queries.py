@@ -1,11 +1,416 @@
-"""Registered queries of the engine and their SQL equivalents."""
+"""Registered queries of the engine; their SQL equivalents are in quire.oracles."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quire import fixtures as fx
+from quire import samples
+from quire.functions import lang, punct
+from quire.functions import text as T
+from quire.operators import context, integrity, manifest, merge, prompt, qa, state, units
+from quire.plans import parts as plans
+
+
+class Case:
+    """Shared inputs of the queries, each built when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.dir, self._made = spark, sf_dir, {}
+
+    def _once(self, name: str, make) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = make()
+        return self._made[name]
+
+    @property
+    def books(self) -> DataFrame:
+        return self._once("books", lambda: fx.book(self.spark, self.dir))
+
+    @property
+    def units(self) -> DataFrame:
+        return self._once("units", lambda: units.units(self.books))
+
+    @property
+    def plan(self) -> DataFrame:
+        return self._once("plan", lambda: plans.plan_greedy(self.books))
+
+    @property
+    def slices(self) -> DataFrame:
+        return self._once("slices", lambda: plans.part_slices(self.books, self.plan))
+
+    @property
+    def part_units(self) -> DataFrame:
+        return self._once("part_units", lambda: plans.part_units(self.units, self.plan))
+
+    @property
+    def labels(self) -> DataFrame:
+        return self._once("labels", lambda: plans.chapter_labels(self.part_units, self.plan))
+
+    @property
+    def lines(self) -> DataFrame:
+        """The translation's lines by part, numbered within it."""
+
+        def make():
+            rows = self.part_units.select("source", "part_idx", "ln").join(fx.translation(self.units), ["source", "ln"]).where("out_line is not null")
+            w = Window.partitionBy("source", "part_idx").orderBy("ln")
+            return rows.select("source", "part_idx", F.row_number().over(w).alias("oi"), F.col("out_line").alias("line"))
+
+        return self._once("lines", make)
+
+    @property
+    def pairs(self) -> DataFrame:
+        return self._once("pairs", lambda: qa.zip_pairs(self.part_units, self.lines, qa.counts(self.part_units, self.lines)))
+
+    @property
+    def outputs(self) -> DataFrame:
+        text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("oi", "line"))), lambda x: x["line"]), "\n")
+        return self._once("outputs", lambda: self.lines.groupBy("source", "part_idx").agg(text.alias("text")))
+
+    @property
+    def state(self) -> DataFrame:
+        """A state by rule: parts up to a book's number are done, the next may have failed."""
+        n = F.expr("cast(substr(source, 4) as int)")
+        status = F.when(F.col("part_idx") <= n, "DONE").when((F.col("part_idx") == n + 1) & (n % 3 == 0), "FAILED").when(F.col("part_idx") == n + 1, "IN_PROGRESS")
+        rows = self.plan.select("source", "part_idx", status.alias("status"), (F.col("part_idx") % 4 == 0).alias("needs_human_review"))
+        return self._once("state", lambda: rows.where("status is not null"))
+
+    @property
+    def sections(self) -> DataFrame:
+        files = F.array(*[F.lit(f) for f in context.FILES])
+        k = F.pmod(F.col("item_id"), F.lit(6)).cast("int")
+        rows = fx.table(self.spark, self.dir, "benchmark")
+        return rows.select(F.element_at(files, k + 1).alias("file"), k.alias("prio"), F.col("item_id").cast("int").alias("ord"), F.left("text", F.lit(20)).alias("heading"), F.col("text").alias("body"))
+
+    @property
+    def doc_parts(self) -> DataFrame:
+        return fx.table(self.spark, self.dir, "documents").select("doc_id", F.lit(1).alias("part_idx"), "text")
+
+
+def q_source_profile(c: Case) -> DataFrame:
+    return units.source_profile(c.books)
+
+
+def q_units(c: Case) -> DataFrame:
+    return c.units.drop("text")
+
+
+def q_unit_stats(c: Case) -> DataFrame:
+    return units.unit_stats(c.units)
+
+
+def q_unit_hashes(c: Case) -> DataFrame:
+    docs = fx.table(c.spark, c.dir, "documents").select("doc_id", "text")
+    return units.units(docs, "doc_id").groupBy("sha256").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+
+
+def q_boundary_counts(c: Case) -> DataFrame:
+    return units.boundary_counts(c.units)
+
+
+def q_headings(c: Case) -> DataFrame:
+    return c.units.where(units.is_heading(F.col("text"), F.col("blank_before"))).select("source", "ln", T.strip(F.col("text")).alias("title"))
+
+
+def q_plan_greedy(c: Case) -> DataFrame:
+    return c.plan
+
+
+def q_plan_parts(c: Case) -> DataFrame:
+    return plans.plan_parts(c.books)
+
+
+def q_part_slices(c: Case) -> DataFrame:
+    return c.slices.drop("text")
+
+
+def q_part_units(c: Case) -> DataFrame:
+    return c.part_units.drop("text", "ln", "sha256")
+
+
+def q_part_totals(c: Case) -> DataFrame:
+    return integrity.part_totals(c.slices, c.books)
+
+
+def q_size_report(c: Case) -> DataFrame:
+    return integrity.size_report(c.slices)
+
+
+def q_continuity(c: Case) -> DataFrame:
+    moved = F.when(F.col("part_idx") % 5 == 0, F.col("start_char") + 1).otherwise(F.col("start_char"))
+    return integrity.v4_continuity(c.plan.withColumn("start_char", moved), c.books)
+
+
+def q_rebuild_check(c: Case) -> DataFrame:
+    kept = c.slices.where("not (part_idx = 2 and cast(substr(source, 4) as int) % 4 = 0)")
+    return integrity.rebuild_check(kept, c.books)
+
+
+def q_first_sep(c: Case) -> DataFrame:
+    return integrity.first_separators(c.part_units, c.slices)
+
+
+def q_chapter_labels(c: Case) -> DataFrame:
+    return c.labels
+
+
+def q_v1_source(c: Case) -> DataFrame:
+    n = F.expr("cast(substr(source, 4) as int)")
+    old = units.source_profile(c.books)
+    old = old.withColumns({"byte_count": F.when(n % 5 == 0, F.col("byte_count") + 1).otherwise(F.col("byte_count")), "sha256": F.when(n % 7 == 0, F.lit("0")).otherwise(F.col("sha256"))})
+    return integrity.v1_source(c.books, old)
+
+
+def q_v2_manifest(c: Case) -> DataFrame:
+    n = F.expr("cast(substr(source, 4) as int)")
+    sums = c.slices.groupBy("source").agg(F.count("*").alias("part_count"), F.sum("char_count").alias("total_char_count"), F.sum("byte_count").alias("total_byte_count"))
+    sums = sums.withColumns({"part_count": F.col("part_count") + F.when(n % 6 == 0, 1).otherwise(0), "total_byte_count": F.col("total_byte_count") + F.when(n % 4 == 0, 3).otherwise(0)})
+    return integrity.v2_manifest(c.slices.where("part_idx <> 3 or source <> 'src1'"), sums)
+
+
+def q_v3_parts(c: Case) -> DataFrame:
+    now = c.slices.where("part_idx % 7 <> 0").withColumn("sha256", F.when(F.col("part_idx") % 5 == 0, F.lit("0")).otherwise(F.col("sha256")))
+    return integrity.v3_parts(c.slices.select("source", "part_id", "sha256", "byte_count", "char_count"), now)
+
+
+def q_v7_sizes(c: Case) -> DataFrame:
+    return integrity.v7_sizes(c.slices)
+
+
+def q_v8_units(c: Case) -> DataFrame:
+    return integrity.v8_units(c.part_units, c.slices).groupBy("source", "part_id").agg(F.count("*").alias("n"), F.max("level").alias("level"))
+
+
+def q_manifest(c: Case) -> DataFrame:
+    made = manifest.manifest(c.books, c.slices, c.part_units, c.labels)
+    return made.select("source", "part_count", "total_char_count", "total_byte_count", "manifest_sha256", F.to_json("parts").alias("parts"))
+
+
+def q_out_lines(c: Case) -> DataFrame:
+    return qa.out_lines(c.outputs)
+
+
+def q_clean_output(c: Case) -> DataFrame:
+    return samples.frame(c.spark, samples.RAW, "id int, raw string").select("id", qa.clean_output(F.col("raw")).alias("clean"))
+
+
+def q_aligned_pairs(c: Case) -> DataFrame:
+    return c.pairs.select("source", "part_idx", "si", "oi", F.length("s").alias("s_len"), F.length("t").alias("t_len"), (F.col("s") == F.col("t")).alias("same"))
+
+
+def q_misaligned_pairs(c: Case) -> DataFrame:
+    return qa.misaligned_pairs(c.part_units, c.lines, qa.counts(c.part_units, c.lines)).drop("s", "t")
+
+
+def q_qa_parts(c: Case) -> DataFrame:
+    same = qa.counts(c.part_units, c.lines).where("n_src = n_out").select("source", "part_idx")
+    on = ["source", "part_idx"]
+    return qa.part_checks(c.part_units.join(same, on, "left_semi"), c.lines.join(same, on, "left_semi"), c.pairs)
+
+
+def q_qa_all(c: Case) -> DataFrame:
+    sizes = qa.counts(c.part_units, c.lines)
+    return qa.part_checks(c.part_units, c.lines, c.pairs.unionByName(qa.misaligned_pairs(c.part_units, c.lines, sizes)))
+
+
+def q_count_check(c: Case) -> DataFrame:
+    rows = qa.counts(c.part_units, c.lines)
+    d = F.abs(F.col("n_out") - F.col("n_src")) / F.greatest("n_src", F.lit(1))
+    return rows.withColumn("v10a", F.when(F.col("n_src") == F.col("n_out"), 0).when(d > 0.10, 2).otherwise(1))
+
+
+def q_part_ratio(c: Case) -> DataFrame:
+    a = c.part_units.groupBy("source", "part_idx").agg(F.sum(F.length(T.strip(F.col("text")))).cast("long").alias("src_chars"))
+    b = c.lines.groupBy("source", "part_idx").agg(F.sum(F.length("line")).cast("long").alias("out_chars"))
+    rows = a.join(b, ["source", "part_idx"], "left").na.fill(0, ["out_chars"])
+    return rows.withColumn("ratio", F.when(F.col("src_chars") > 0, F.col("out_chars") / F.col("src_chars")).otherwise(F.lit(0.0)))
+
+
+def q_unit_ratio_median(c: Case) -> DataFrame:
+    rows = qa.pair_checks(c.pairs)
+    return rows.groupBy("source", "part_idx").agg(F.median("unit_ratio").alias("median"), F.count("unit_ratio").alias("n"))
+
+
+def q_order_jumps(c: Case) -> DataFrame:
+    """The pairs with two counterparts swapped, as an explicit alignment could give them."""
+    oi = F.when(F.col("si") % 10 == 3, F.col("oi") + 1).when(F.col("si") % 10 == 4, F.col("oi") - 1).otherwise(F.col("oi"))
+    return qa.order_jumps(c.pairs.withColumn("oi", oi))
+
+
+def q_dup_adjacent(c: Case) -> DataFrame:
+    return qa.adjacent_duplicates(c.lines)
+
+
+def q_dup_shingles(c: Case) -> DataFrame:
+    return qa.shingle_repeats(c.lines)
+
+
+def q_forbidden(c: Case) -> DataFrame:
+    return qa.forbidden(c.lines)
+
+
+def q_forbidden_samples(c: Case) -> DataFrame:
+    rows = samples.frame(c.spark, samples.MARKED, "id int, line string")
+    return rows.select("id", *[F.col("line").rlike(p).alias(f"f{i + 1}") for i, (_, p) in enumerate(qa.FORBIDDEN)])
+
+
+def q_residue(c: Case) -> DataFrame:
+    rows = samples.frame(c.spark, samples.KANA, "id int, t string")
+    return rows.select("id", qa.kana_ratio(F.col("t")).alias("ratio"), qa.has_residue(F.col("t"), "ja").alias("ja"), qa.has_residue(F.col("t"), "fr").alias("fr"))
+
+
+def q_v9_outputs(c: Case) -> DataFrame:
+    now = c.outputs.select("source", "part_idx", T.sha256(F.col("text")).alias("now"))
+    old = now.select("source", "part_idx", F.when(F.col("part_idx") % 6 == 0, F.lit("0")).otherwise(F.col("now")).alias("output_sha256"))
+    rows = c.plan.select("source", "part_idx").join(now.where("part_idx % 9 <> 0"), ["source", "part_idx"], "left").join(old, ["source", "part_idx"], "left")
+    return rows.select("source", "part_idx", F.when(F.col("now").isNull(), 1).when(F.col("now") != F.col("output_sha256"), 2).otherwise(0).alias("v9"))
+
+
+def q_verdicts(c: Case) -> DataFrame:
+    return integrity.verdicts(integrity.union([q_continuity(c), q_v3_parts(c), integrity.v7_sizes(c.slices)]))
+
+
+def q_calibration(c: Case) -> DataFrame:
+    return qa.calibrated(c.pairs)
+
+
+def q_missing_outputs(c: Case) -> DataFrame:
+    return state.missing_outputs(c.slices, c.outputs.where("part_idx % 4 <> 0"))
+
+
+def q_md_sections(c: Case) -> DataFrame:
+    return context.md_sections(samples.frame(c.spark, samples.NOTES, "file string, text string"))
+
+
+def q_md_terms(c: Case) -> DataFrame:
+    return context.md_terms(q_md_sections(c))
+
+
+def q_context_hits(c: Case) -> DataFrame:
+    return context.context_hits(c.doc_parts, c.sections, key="doc_id").select("doc_id", "file", "ord", "prio")
+
+
+def q_gloss_hits(c: Case) -> DataFrame:
+    terms = fx.table(c.spark, c.dir, "benchmark").select(F.left("text", F.lit(12)).alias("src_term"), F.col("item_id").cast("string").alias("tgt_term"))
+    return context.gloss_hits(c.doc_parts, terms, key="doc_id").select("doc_id", "src_term", "tgt_term")
+
+
+def q_gloss_samples(c: Case) -> DataFrame:
+    parts = samples.frame(c.spark, samples.GLOSS_TEXTS, "source string, part_idx int, text string")
+    return context.gloss_hits(parts, samples.frame(c.spark, samples.TERMS, "src_term string, tgt_term string"))
+
+
+def q_context_budget(c: Case) -> DataFrame:
+    hits = context.context_hits(c.doc_parts, c.sections, key="doc_id")
+    return context.within_budget(hits, key="doc_id", budget=500)
+
+
+def q_prev_tails(c: Case) -> DataFrame:
+    rows = context.prev_tails(c.slices, c.outputs)
+    return rows.select("source", "part_idx", F.length("raw_tail").alias("raw_len"), T.sha256(F.col("raw_tail")).alias("raw_sha"), F.length("translation_tail").alias("out_len"), T.sha256(F.col("translation_tail")).alias("out_sha"))
+
+
+def q_progress(c: Case) -> DataFrame:
+    return state.progress(state.with_status(c.plan.select("source", "part_idx"), c.state))
+
+
+def q_next_part(c: Case) -> DataFrame:
+    return state.next_part(state.with_status(c.plan.select("source", "part_idx"), c.state))
+
+
+def q_state_fold(c: Case) -> DataFrame:
+    return state.fold(fx.transitions(c.spark, c.dir))
+
+
+def q_state_history(c: Case) -> DataFrame:
+    return state.history(fx.transitions(c.spark, c.dir))
+
+
+def q_latest_event(c: Case) -> DataFrame:
+    return state.latest(fx.transitions(c.spark, c.dir))
+
+
+def q_binding_errors(c: Case) -> DataFrame:
+    n = F.expr("cast(substr(source, 4) as int)")
+    made = c.slices.groupBy("source").agg(F.count("*").alias("part_count")).join(units.source_profile(c.books).select("source", F.col("sha256").alias("source_sha256")), "source").withColumn("manifest_sha256", T.sha256(F.col("source")))
+    held = made.withColumns({"part_count": F.when(n % 3 == 0, F.col("part_count") + 1).otherwise(F.col("part_count")), "source_sha256": F.when(n % 4 == 0, F.lit("0")).otherwise(F.col("source_sha256"))})
+    return state.binding_errors(held, made)
+
+
+def _own_lines(c: Case) -> DataFrame:
+    return c.part_units.select("source", "part_idx", F.col("index").alias("si"), "sep_newlines", F.translate("text", "aeiou", "AEIOU").alias("line"))
+
+
+def _merged(c: Case) -> DataFrame:
+    return merge.merge_text(_own_lines(c), c.books.select("source", T.tail_newlines(F.col("text")).alias("tail_newlines")))
+
+
+def q_merge_text(c: Case) -> DataFrame:
+    return _merged(c).select("source", T.sha256(F.col("text")).alias("sha256"), F.length("text").alias("chars"))
+
+
+def q_merge_stats(c: Case) -> DataFrame:
+    return merge.merge_stats(_merged(c), c.books)
+
+
+def q_merge_check(c: Case) -> DataFrame:
+    now = _merged(c).where("source <> 'src2'").withColumn("text", F.when(F.col("source") == "src3", F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return merge.check_merged(_merged(c), now)
+
+
+def q_merge_precheck(c: Case) -> DataFrame:
+    return merge.precheck(c.plan, c.state, c.lines, c.part_units, strict=True)
+
+
+def q_quote_fix(c: Case) -> DataFrame:
+    rows = samples.frame(c.spark, samples.QUOTES, "id int, src string, cur string")
+    line, tags = punct.fix_line(F.col("src"), F.col("cur"), "ja", "zh-hans")
+    return rows.select("id", line.alias("line"), F.array_join(tags, ",").alias("tags"))
+
+
+def q_quote_stats(c: Case) -> DataFrame:
+    return q_quote_fix(c).select(F.explode(F.split("tags", ",")).alias("tag")).where("tag <> ''").groupBy("tag").agg(F.count("*").alias("n"))
+
+
+def q_norm_lang(c: Case) -> DataFrame:
+    rows = samples.frame(c.spark, samples.LANGS, "id int, code string")
+    return rows.select("id", lang.norm_lang(F.col("code")).alias("lang"), lang.lang_name(F.col("code"), F.lit(None).cast("string"), "?").alias("name"))
+
+
+def q_sanitize_title(c: Case) -> DataFrame:
+    return samples.frame(c.spark, samples.TITLES, "id int, raw string").select("id", lang.sanitize_title(F.col("raw")).alias("title"))
+
+
+def q_out_name(c: Case) -> DataFrame:
+    return samples.frame(c.spark, samples.TITLES, "id int, raw string").select("id", lang.out_name(F.col("raw"), F.lit("x")).alias("file"))
+
+
+def q_prompts(c: Case) -> DataFrame:
+    rows = c.slices.join(c.labels, ["source", "part_idx"]).join(c.part_units.groupBy("source", "part_idx").agg(F.count("*").alias("n_lines")), ["source", "part_idx"])
+    user = prompt.user_prompt(F.col("part_id"), F.col("chapter_label"), F.col("n_lines"), F.col("text"), F.lit(""))
+    return rows.select("source", "part_idx", T.sha256(user).alias("user_sha"), prompt.max_tokens(F.col("char_count")).alias("max_tokens"))
+
+
+def q_prompt_blocks(c: Case) -> DataFrame:
+    rows = samples.frame(c.spark, samples.LANGS, "id int, code string")
+    return rows.select("id", F.array_join(prompt.blocks(F.col("code"), F.when(F.col("id") % 2 == 0, F.lit("mystery"))), ",").alias("blocks"))
+
+
+def q_conversation_pairs(c: Case) -> DataFrame:
+    """User turns beside the assistant's next turn, with the pair checks."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    rows = fx.table(c.spark, c.dir, "conversations").withColumns({"r2": F.lead("role").over(w), "t2": F.lead("text").over(w)})
+    rows = rows.where("role = 'user' and r2 = 'assistant'").select("conv_id", "turn", T.strip(F.col("text")).alias("s"), T.strip(F.col("t2")).alias("t"))
+    return qa.pair_checks(rows).select("conv_id", "turn", "unit_ratio", "short", "ratio_level", "special_missing")
+
 
 def queries() -> dict:
-    return {}
+    found = {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
+    return {name: (lambda spark, sf_dir, f=f: f(Case(spark, sf_dir))) for name, f in found.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from quire.oracles import SQL
+
+    return dict(SQL)
