@@ -10,8 +10,8 @@ The benchmark is dealt into blocks of at most `TEST_WORDS` words; each block is
 results are merged per document. So what a task holds of the benchmark is bounded, whatever its size.
 
 Defined results: a null or word-less document has no words and is clean; null or empty items never occur; a null item_id
-is named by an empty string; items of equal text each count; documents with equal ids are reported row by row when the
-benchmark is one block, and always marked together. Extra columns are ignored by matches() and kept by decontaminate().
+is named by an empty string; items of equal text each count; documents with equal ids are reported row by row. Extra
+columns are ignored by matches() and kept by decontaminate(), which removes all rows of an affected id.
 """
 
 from __future__ import annotations
@@ -110,7 +110,7 @@ def occurrences(words: np.ndarray, tests: Tests) -> tuple[np.ndarray, np.ndarray
     return order[lo[which] + inside], which
 
 
-def _shards(col: pa.Array, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _shards(col: pa.Array, overlap: int, shard_words: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(words with separators, row, position in the row, words by row) of runs of rows."""
     for at, part in c.slices(col, 4 << 20):
         data, offs = c.buffers(part)
@@ -119,21 +119,29 @@ def _shards(col: pa.Array, overlap: int) -> Iterator[tuple[np.ndarray, np.ndarra
         bounds = np.searchsorted(row, np.arange(len(part) + 1))
         words, rows, places = [], [], []
         for r, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
-            for s in range(a, max(b, a + 1), SHARD_WORDS):
-                e = min(b, s + SHARD_WORDS + overlap)
+            for s in range(a, max(b, a + 1), shard_words):
+                e = min(b, s + shard_words + overlap)
                 words += [h[s:e], np.zeros(1, np.uint64)]
                 rows.append(np.full(e - s + 1, r))
                 places.append(np.arange(s - a, e - a + 1))
         yield at, (np.concatenate(words), np.concatenate(rows), np.concatenate(places), np.diff(bounds))
 
 
-FOUND = "doc_id long, n_words long, hits array<struct<item:string,start:long,at:long,n:long>>, marked binary"
+FOUND = "doc_id long, text_hash long, n_words long, hits array<struct<item:string,start:long,at:long,n:long>>, marked binary"
 
 
-def _finder(tests: Tests):
+def _text_hashes(words: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+    """A hash of each row's word sequence."""
+    out = np.zeros(n, np.uint64)
+    first = np.searchsorted(row, row)
+    np.add.at(out, row, words * (np.arange(len(row)) - first + 1).astype(np.uint64))
+    return c.signed(c.mix(out))
+
+
+def _finder(tests: Tests, shard_words: int):
     def run(it):
         for batch in it:
-            for first, (words, row, place, n) in _shards(batch.column(1), WINDOW - 1):
+            for first, (words, row, place, n) in _shards(batch.column(1), WINDOW - 1, shard_words):
                 pos, which = occurrences(words, tests)
                 hits: list[list] = [[] for _ in n]
                 marks: list = [None] * len(n)
@@ -160,8 +168,8 @@ def _finder(tests: Tests):
                     for a, b in zip(head.tolist(), tail.tolist()):
                         hits[r[a]].append({"item": tests.ids[item[a]], "start": int(start[a]), "at": int(at[a]), "n": int(at[b] + size[b] - at[a])})
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.struct([("item", pa.string()), ("start", pa.int64()), ("at", pa.int64()), ("n", pa.int64())]))), pa.array(marks, pa.binary())],
-                    ["doc_id", "n_words", "hits", "marked"],
+                    [batch.column(0).slice(first, len(n)), pa.array(_text_hashes(words, row, len(n))), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.struct([("item", pa.string()), ("start", pa.int64()), ("at", pa.int64()), ("n", pa.int64())]))), pa.array(marks, pa.binary())],
+                    ["doc_id", "text_hash", "n_words", "hits", "marked"],
                 )
 
     return run
@@ -195,7 +203,9 @@ def _tests(ids: list[str], parts: list[np.ndarray]) -> Tests:
     return Tests(ids, np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64), WINDOW)
 
 
-def _union_marks(marks) -> int:
+def _union_marks(marks) -> bytes | None:
+    if not marks:
+        return None
     width = max(len(m) for m in marks)
     out = np.zeros(width, np.uint8)
     for m in marks:
@@ -206,18 +216,20 @@ def _union_marks(marks) -> int:
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, hits, marked): the longest verbatim matches of each document and the bit mask of its hit words."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = [rows.mapInArrow(_finder(t), FOUND) for t in test_blocks(benchmark)]
+    found = [rows.mapInArrow(_finder(t, SHARD_WORDS), FOUND) for t in test_blocks(benchmark)]
     if not found:
-        found = [rows.mapInArrow(_finder(_tests([], [np.empty(0, np.uint64)])), FOUND)]
+        found = [rows.mapInArrow(_finder(_tests([], [np.empty(0, np.uint64)]), SHARD_WORDS), FOUND)]
+    names = ["doc_id", "n_words", "hits", "marked"]
     if len(found) == 1:
-        return found[0]
+        return found[0].select(*names)
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)
     merge = F.udf(_union_marks, "binary")
-    lists = F.collect_list("hits"), F.array_compact(F.collect_list("marked"))
-    out = out.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(lists[0]).alias("hits"), lists[1].alias("m"))
-    return out.select("doc_id", "n_words", "hits", F.when(F.size("m") > 0, merge("m")).alias("marked"))
+    # equal ids with equal texts have equal results, so a group stands for as many rows as it has of each block
+    copies = F.explode(F.sequence(F.lit(1), (F.col("k") / len(found)).cast("int")))
+    out = out.groupBy("doc_id", "n_words", "text_hash").agg(F.count("*").alias("k"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_compact(F.collect_list("marked")).alias("m"))
+    return out.withColumn("marked", merge("m")).withColumn("copy", copies).select(*names)
 
 
 def _digest(it):
