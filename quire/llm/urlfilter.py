@@ -23,7 +23,7 @@ from quire.llm import common as c
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-DAMPING, STEPS, THRESHOLD = 0.85, 10, 0.1
+DAMPING, STEPS, THRESHOLD = 0.85, 10, 0.05
 SALTS = 8
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _LINK = "(?i)href\\s*=\\s*[\"']?([a-z][a-z0-9+.-]*://[^\"'\\s>/?#]+)"
