@@ -274,7 +274,7 @@ def main_text(html: str | None, wrapper: dict | None) -> str:
         return any(isinstance(x, Node) and not x.dropped and ((x.name in names and _has_text(x)) or live(x, names)) for x in node.items)
 
     within = next((n for n in ("article", "main") if live(root, {n})), None)
-    template = wrapper is not None and wrapper["pages"] >= TEMPLATE_PAGES
+    template = wrapper is not None and len(wrapper["seen"]) >= TEMPLATE_PAGES
     out: list[str] = []
 
     def walk(node: Node, items: list | None, inside: bool, header: bool, heading: bool) -> None:
@@ -301,14 +301,12 @@ def _has_text(node: Node) -> bool:
 
 def page_wrapper(html: str) -> dict:
     items = skeleton(parse(html))
-    return {"pages": 1, "last": zlib.crc32(json.dumps(items).encode()), "items": items}
+    return {"seen": [zlib.crc32(json.dumps(items).encode())], "items": items}
 
 
 def merge_wrappers(a: dict, b: dict) -> dict:
-    """The wrapper of both; equal pages (copies) count once."""
-    if a["items"] == b["items"]:
-        return a if a["pages"] >= b["pages"] else b
-    return {"pages": a["pages"] + b["pages"], "last": b["last"], "items": merge(a["items"], b["items"])}
+    """The wrapper of both. `seen` keeps the smallest hashes of differing pages, enough to tell TEMPLATE_PAGES of them."""
+    return {"seen": sorted({*a["seen"], *b["seen"]})[: 4 * TEMPLATE_PAGES], "items": merge(a["items"], b["items"])}
 
 
 def _partial(it):
@@ -326,7 +324,7 @@ def _partial(it):
                 one = page_wrapper(html)
                 if host not in held:
                     held[host] = one
-                elif one["last"] != held[host]["last"]:
+                elif one["seen"][0] not in held[host]["seen"]:
                     held[host] = merge_wrappers(held[host], one)
             if len(held) > 20_000:
                 yield flush()
