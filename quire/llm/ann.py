@@ -3,8 +3,9 @@
 Vectors are dealt by a hash of the id over shards of about SHARD_ROWS rows. Each shard's task builds its graph: points
 enter in batches that double in size; a greedy beam search over the graph so far proposes each point's neighbours; relaxed
 distance pruning keeps a neighbour c only if no kept neighbour p has ALPHA * d(p, c) <= d(point, c), so edges stay diverse;
-reverse edges are added and a node of too many is pruned the same way. A second pass over all points refines the graph.
-Queries come in blocks; every (shard, block) is one beam search of width BEAM over that shard, whose best k go on, and
+reverse edges are added and a node of too many is pruned the same way. A second pass over all points refines the graph. Searches start at ENTRIES
+points far apart.
+Queries come in blocks; every (shard, block) is one beam search of width QUERY_BEAM over that shard, whose best k go on, and
 the k best of all shards are kept per query. Copies of one vector within a shard are one node that holds all their ids.
 
 Distances in the graph are Euclidean on unit vectors, which order as the cosine does. Scores are recomputed in double
@@ -28,7 +29,9 @@ from pyspark.sql import functions as F
 from quire.llm import common as c
 
 SHARD_ROWS, QUERY_BLOCK = 4096, 2048
-DEGREE, BEAM, ALPHA, SLACK, PASSES = 32, 64, 1.2, 8, 2
+DEGREE, BEAM, ALPHA, SLACK, PASSES, ENTRIES = 32, 64, 1.2, 8, 2, 24
+#: Width of a query's beam; building uses BEAM.
+QUERY_BEAM = 160
 TOP = 5
 
 
@@ -43,11 +46,10 @@ class Graph:
             return
         rng = np.random.default_rng(3)
         order = rng.permutation(n)
-        middle = self.x.mean(axis=0)
-        self.entry = int(np.argmin(((self.x - middle) ** 2).sum(axis=1)))
-        order = np.concatenate(([self.entry], order[order != self.entry]))
+        self.entries = self._spread(min(n, ENTRIES, self.beam // 2))
+        order = np.concatenate((self.entries, order[~np.isin(order, self.entries)]))
         for once in range(PASSES):
-            at, size = (1, 1) if once == 0 else (0, n)
+            at, size = 0, len(self.entries) if once == 0 else n
             while at < n:
                 # the first batches are small, as a point must find those before it in the graph
                 take = order[at : at + min(size, 1024)]
@@ -55,6 +57,15 @@ class Graph:
                 at += len(take)
                 size *= 2
 
+    def _spread(self, k: int) -> np.ndarray:
+        """k points far apart, from the one nearest to the mean on; searches start at them, so no dense cluster shuts the rest off."""
+        found = [int(np.argmin(((self.x - self.x.mean(axis=0)) ** 2).sum(axis=1)))]
+        least = np.full(len(self.x), np.inf)
+        while len(found) < k:
+            np.minimum(least, ((self.x - self.x[found[-1]]) ** 2).sum(axis=1), out=least)
+            found.append(int(np.argmax(least)))
+        return np.unique(found)
+
     def _near(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Squared distances of a's rows to the points b[row]; -1 gives infinity."""
         d = 2.0 - 2.0 * np.einsum("ijk,ik->ij", self.x[b], a)
@@ -64,14 +75,15 @@ class Graph:
     def _search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """(points, distances) of the beam that greedy search ends with, for each row of q, nearest first."""
         n, m = len(self.x), len(q)
+        e = len(self.entries)
         ids = np.full((m, beam), -1, np.int32)
-        ids[:, 0] = self.entry
+        ids[:, :e] = self.entries
         dist = np.full((m, beam), np.inf, np.float32)
-        dist[:, 0] = self._near(q, ids[:, :1])[:, 0]
-        done = np.zeros((m, beam), bool)
-        done[:, 1:] = True
+        dist[:, :e] = self._near(q, ids[:, :e])
+        done = np.ones((m, beam), bool)
+        done[:, :e] = False
         seen = np.zeros((m, n), bool)
-        seen[:, self.entry] = True
+        seen[:, self.entries] = True
         live = np.arange(m)
         while len(live):
             todo = np.where(done[live], np.inf, dist[live])
@@ -149,7 +161,7 @@ class Graph:
         """The k nearest nodes found for each unit row of q (-1 pads), by beam search."""
         if not len(self.x):
             return np.empty((len(q), 0), np.int32)
-        out = [self._search(np.ascontiguousarray(p, np.float32), max(self.beam, k))[0][:, :k] for p in np.array_split(q, -(-len(q) // 256))]
+        out = [self._search(np.ascontiguousarray(p, np.float32), max(QUERY_BEAM, k))[0][:, :k] for p in np.array_split(q, -(-len(q) // 256))]
         return np.concatenate(out)
 
 
@@ -219,6 +231,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = TOP, shard_rows: int =
     blocks = max(1, -(-asked.count() // QUERY_BLOCK))
     packed = asked.groupBy("dim", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
     packed = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("dim", "shard", "ids", "vs")
+    # a partition a shard: adaptive planning would put several of these small but slow shards into one task
+    data, packed = (x.repartition(shards, "dim", "shard") for x in (data, packed))
     found = data.groupBy("dim", "shard").cogroup(packed.groupBy("dim", "shard")).applyInPandas(_task(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

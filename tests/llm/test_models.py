@@ -61,7 +61,7 @@ def test_graph_degree_is_bounded():
     x = rng.normal(size=(400, 8))
     g = A.Graph(x / np.linalg.norm(x, axis=1, keepdims=True), degree=12, beam=32)
     assert g.edges.shape == (400, 12) and (g.edges != np.arange(400)[:, None]).all()
-    reach, todo = {g.entry}, [g.entry]
+    reach, todo = {*g.entries.tolist()}, g.entries.tolist()
     while todo:
         for y in g.edges[todo.pop()]:
             if y >= 0 and y not in reach:
