@@ -174,7 +174,7 @@ SQL = {
     "v3_parts": sql(SLICES + "," + _V3, "SELECT * FROM v3"),
     "v7_sizes": sql(SLICES + "," + _V7, "SELECT * FROM v7"),
     "v8_units": sql(PUNITS + ", ps AS (SELECT source || ':' || part_idx AS k, t AS text FROM slices)," + units_of("ps", "k", "again") + ", old AS (SELECT source, part_idx, index, start_char - part_start AS a, start_char - part_start + char_count AS b, sha256, sep_newlines FROM pu), new AS (SELECT split_part(k, ':', 1) AS source, split_part(k, ':', 2)::INT AS part_idx, idx AS index, start_char AS a, end_char AS b, sha256, sep_newlines FROM again), j AS (SELECT coalesce(o.source, n.source) AS source, coalesce(o.part_idx, n.part_idx) AS part_idx, coalesce(o.index, n.index) AS index, o.sha256 AS x, n.sha256 AS y, o.a <> n.a OR o.b <> n.b OR o.sha256 <> n.sha256 AS d, o.sep_newlines <> n.sep_newlines AS e FROM old o FULL JOIN new n ON o.source = n.source AND o.part_idx = n.part_idx AND o.index = n.index), i AS (SELECT source, part_idx FROM j WHERE x IS NULL OR y IS NULL UNION ALL SELECT source, part_idx FROM j WHERE d UNION ALL SELECT source, part_idx FROM j WHERE index > 1 AND e)", "SELECT source, format('part_{:03d}', part_idx) AS part_id, count(*) AS n, 2 AS level FROM i GROUP BY 1, 2"),
-    "out_lines": sql(LINES, "SELECT * FROM lines"),
+    "out_lines": sql(LINES, f"SELECT source, part_idx, oi, {strip('line')} AS line FROM lines"),
     "clean_output": sql(values("t", samples.RAW, "id, raw"), f"SELECT id, coalesce(array_to_string(list_transform(list_filter(string_split(replace(replace(raw, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: NOT regexp_matches(x, '{_FENCE}') AND NOT regexp_matches(x, '{_CHAT}') AND {strip('x')} <> ''), lambda x: {strip('x')}), chr(10)), '') AS clean FROM t"),
     "aligned_pairs": sql(PAIRS, "SELECT source, part_idx, si, si AS oi, length(s)::INT AS s_len, length(t)::INT AS t_len, s = t AS same FROM pairs"),
     "qa_parts": sql(PAIRS + "," + _BLOCKS + "," + _ADJ + f""",
