@@ -136,12 +136,12 @@ def fit_sample(sets: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, sample: int) -> DataFrame:
-    """(k, y, text) of at most `sample` labelled rows outside the held-out remainder, chosen by hash of the id; repeated ids
-    train as often as they occur. The chosen ids are broadcast: `sample` of them, some 12 bytes each, so no text is shuffled."""
+    """(k, y, text) of at most `sample` labelled rows outside the held-out remainder, chosen by hash of the id; of repeated
+    ids the smallest text counts. The chosen ids are broadcast: `sample` of them, some 12 bytes each, so only their texts move."""
     marks = labels.where(f"doc_id is not null and {label} is not null").groupBy(F.col("doc_id").cast("long").alias("k")).agg(F.max(label).cast("int").alias("y"))
     marks = marks.where(c.crc_mod(F.col("k"), mod) != held)
     chosen = marks.orderBy(F.xxhash64("k"), "k").limit(sample)
-    return docs.select(F.col("doc_id").cast("long").alias("k"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "k").select("k", "y", "text")
+    return docs.select(F.col("doc_id").cast("long").alias("k"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("text").alias("text"))
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:
