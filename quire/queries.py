@@ -24,6 +24,11 @@ class Case:
             self._made[name] = make()
         return self._made[name]
 
+    def keep(self, *names: str) -> None:
+        """Hold inputs that a query reads many times, in memory and beyond that on disk."""
+        for name in names:
+            self._made[name] = getattr(self, name).persist()
+
     @property
     def books(self) -> DataFrame:
         return self._once("books", lambda: fx.book(self.spark, self.dir))
@@ -183,6 +188,7 @@ def q_v8_units(c: Case) -> DataFrame:
 
 
 def q_manifest(c: Case) -> DataFrame:
+    c.keep("plan", "part_units")
     made = manifest.manifest(c.books, c.slices, c.part_units, c.labels)
     return made.select("source", "part_count", "total_char_count", "total_byte_count", "manifest_sha256", F.to_json("parts").alias("parts"))
 
@@ -200,16 +206,19 @@ def q_aligned_pairs(c: Case) -> DataFrame:
 
 
 def q_misaligned_pairs(c: Case) -> DataFrame:
+    c.keep("part_units", "lines")
     return qa.misaligned_pairs(c.part_units, c.lines, qa.counts(c.part_units, c.lines)).drop("s", "t")
 
 
 def q_qa_parts(c: Case) -> DataFrame:
+    c.keep("part_units", "lines")
     same = qa.counts(c.part_units, c.lines).where("n_src = n_out").select("source", "part_idx")
     on = ["source", "part_idx"]
     return qa.part_checks(c.part_units.join(same, on, "left_semi"), c.lines.join(same, on, "left_semi"), c.pairs)
 
 
 def q_qa_all(c: Case) -> DataFrame:
+    c.keep("part_units", "lines")
     sizes = qa.counts(c.part_units, c.lines)
     return qa.part_checks(c.part_units, c.lines, c.pairs.unionByName(qa.misaligned_pairs(c.part_units, c.lines, sizes)))
 
@@ -272,6 +281,7 @@ def q_verdicts(c: Case) -> DataFrame:
 
 
 def q_calibration(c: Case) -> DataFrame:
+    c.keep("part_units", "lines")
     return qa.calibrated(c.pairs)
 
 
