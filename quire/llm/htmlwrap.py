@@ -12,8 +12,9 @@ salt, then host), so a host with a third of all pages never meets in one task pa
 broadcast only while their measured size stays under BROADCAST_BYTES, else by a shuffle of the pages.
 
 Defined results: null or empty html, or html without text, gives an empty text; pages without a host stand alone, with
-no template; a text counts as template from TEMPLATE_PAGES differing pages on (inside an article or main element only up
-to TEMPLATE_WORDS words and outside headings). <br> and table cells part words but not blocks. Malformed markup is read
+no template; a text counts as template if its slot holds it on TEMPLATE_PAGES differing pages or more, and nothing else on any
+(inside an article or main element only up to TEMPLATE_WORDS words and outside headings); how many pages the host has does
+not matter. <br> and table cells part words but not blocks. Malformed markup is read
 as it comes: unclosed elements end with their parents, stray end tags are ignored. Repeated pages count once in a row.
 Extra columns are ignored.
 """
@@ -176,15 +177,24 @@ def parse(html: str) -> Node:
 
 
 # A wrapper item is [kind, key, optional, repeated, body]: kind 'e' an element (body: items), 'g' a repeated group (body:
-# items), 't' a text slot (body: the hash of its text on all pages, or null if it varies).
+# items), 't' a text slot (body: null if its text varies, else the text's hash and the smallest hashes of the differing pages
+# that hold it, TEMPLATE_PAGES at most; while a page's own skeleton is built, the text's hash alone).
 
 
 def skeleton(node: Node) -> list:
     return fold([["e", x.label, False, False, skeleton(x)] if isinstance(x, Node) else ["t", "#", False, False, x[1]] for x in node.items])
 
 
+def _merge_text(a: list | int | None, b: list | int | None) -> list | int | None:
+    if a == b:
+        return a
+    if not isinstance(a, list) or not isinstance(b, list) or a[0] != b[0]:
+        return None
+    return [a[0], sorted({*a[1], *b[1]})[:TEMPLATE_PAGES]]
+
+
 def _merge_item(a: list, b: list) -> list:
-    body = (a[4] if a[4] == b[4] else None) if a[0] == "t" else merge(a[4], b[4])
+    body = _merge_text(a[4], b[4]) if a[0] == "t" else merge(a[4], b[4])
     return [a[0], a[1], a[2] or b[2], a[3] or b[3], body]
 
 
@@ -274,7 +284,6 @@ def main_text(html: str | None, wrapper: dict | None) -> str:
         return any(isinstance(x, Node) and not x.dropped and ((x.name in names and _has_text(x)) or live(x, names)) for x in node.items)
 
     within = next((n for n in ("article", "main") if live(root, {n})), None)
-    template = wrapper is not None and len(wrapper["seen"]) >= TEMPLATE_PAGES
     out: list[str] = []
 
     def walk(node: Node, items: list | None, inside: bool, header: bool, heading: bool) -> None:
@@ -286,7 +295,7 @@ def main_text(html: str | None, wrapper: dict | None) -> str:
                 continue
             if within and not inside or header and not heading:
                 continue
-            fixed = template and w is not None and w[4] == x[1] and not w[3]
+            fixed = w is not None and not w[3] and w[4] is not None and w[4][0] == x[1] and len(w[4][1]) >= TEMPLATE_PAGES
             if fixed and (not inside or not heading and len(x[0].split()) <= TEMPLATE_WORDS):
                 continue
             out.append(x[0])
@@ -301,11 +310,17 @@ def _has_text(node: Node) -> bool:
 
 def page_wrapper(html: str) -> dict:
     items = skeleton(parse(html))
-    return {"seen": [zlib.crc32(json.dumps(items).encode())], "items": items}
+    seen = zlib.crc32(json.dumps(items).encode())
+    return {"seen": [seen], "items": _held_by(items, seen)}
+
+
+def _held_by(items: list, page: int) -> list:
+    """The items of one page's skeleton, their texts marked as held by that page."""
+    return [[*x[:4], (None if x[4] is None else [x[4], [page]]) if x[0] == "t" else _held_by(x[4], page)] for x in items]
 
 
 def merge_wrappers(a: dict, b: dict) -> dict:
-    """The wrapper of both. `seen` keeps the smallest hashes of differing pages, enough to tell TEMPLATE_PAGES of them."""
+    """The wrapper of both. `seen` keeps the smallest hashes of differing pages, so that most copies need no merge."""
     return {"seen": sorted({*a["seen"], *b["seen"]})[: 4 * TEMPLATE_PAGES], "items": merge(a["items"], b["items"])}
 
 

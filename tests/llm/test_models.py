@@ -137,6 +137,18 @@ def test_wrapper_tells_template_from_text(spark):
     assert H.extract(df).count() == len(rows) and H.extract(none(spark, PAGE)).count() == 0
 
 
+@pytest.mark.parametrize("tag", ["div", "article"])
+@pytest.mark.parametrize("extra", ["<blockquote>Only here</blockquote>", "<ul><li>Only here</ul>", "<table><tr><td>Only here</table>"])
+def test_text_of_fewer_pages_than_a_template_is_kept(spark, tag, extra):
+    body = lambda k, more="": f"<body><{tag}><h1>Title {k}</h1><p>Text {k}</p>{more}<section>Follow us</section></{tag}>"
+    rows = [(k, f"http://h.net/{k}", body(k)) for k in range(4)] + [(4, "http://h.net/4", body(4, extra)), (5, "http://h.net/5", body(4, extra))]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame([(*r, "h", "t", 1) for r in rows], PAGE)).collect()}
+    assert got == {k: f"Title {k}\nText {k}" for k in range(4)} | dict.fromkeys((4, 5), "Title 4\nText 4\nOnly here")
+    rows += [(k, f"http://h.net/{k}", body(k, extra)) for k in (6, 7)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame([(*r, "h", "t", 1) for r in rows], PAGE)).collect()}
+    assert got[4] == "Title 4\nText 4" and got[7] == "Title 7\nText 7"  # three differing pages make a template
+
+
 def test_article_without_its_surroundings():
     t = H.main_text(
         '<body><div class="site-header"><p>Logo</p></div><div class="cookie-notice">We use cookies</div><main><article class="post"><header><h1>T</h1><p>By X</p></header><p>One &eacute;&nbsp;x</p>'
