@@ -11,11 +11,13 @@ results are merged per document. So what a task holds of the benchmark is bounde
 
 Defined results: a null or word-less document has no words and is clean; null or empty items never occur; a null item_id
 is named by an empty string; items of equal text each count; documents with equal ids are reported row by row. Extra
-columns are ignored by matches() and kept by decontaminate(), which removes all rows of an affected id.
+columns are ignored by matches() and kept by decontaminate(), which decides row by row: a row goes if its own text holds a
+test window, whatever its id, null or shared.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -175,6 +177,19 @@ def _finder(tests: Tests, shard_words: int):
     return run
 
 
+def _rows(tests: Tests, at_text: int, affected: bool):
+    """The rows whose text holds a window of the tests, or those whose text holds none, with their columns."""
+
+    def run(it):
+        for batch in it:
+            for first, (words, row, _, n) in _shards(batch.column(at_text), WINDOW - 1, SHARD_WORDS):
+                bad = np.zeros(len(n), bool)
+                bad[row[occurrences(words, tests)[0]]] = True
+                yield batch.slice(first, len(n)).filter(pa.array(bad == affected))
+
+    return run
+
+
 def test_blocks(benchmark: DataFrame) -> Iterator[Tests]:
     """The items in blocks of at most TEST_WORDS words (an item alone may be longer), streamed to the driver as hashes."""
 
@@ -248,9 +263,20 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs that hold no test window; nothing is added or renamed."""
-    bad = report(docs.where("doc_id is not null"), benchmark).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("__bad"), "left_anti")
+    """The rows of docs that hold no test window, judged one by one; nothing is added or renamed.
+
+    One block of the benchmark filters the rows as they pass. Of several, each finds the rows that it affects, which then
+    go by id and text together, so no pass holds more than one block and no copy of the documents is written.
+    """
+    blocks = list(test_blocks(benchmark))
+    if not blocks:
+        return docs
+    if len(blocks) == 1:
+        return docs.mapInArrow(_rows(blocks[0], docs.columns.index("text"), False), docs.schema)
+    keyed = docs.select(F.col("doc_id").alias("__id"), F.sha2(F.col("text").cast("string").cast("binary"), 256).alias("__key"), F.col("text").cast("string").alias("__text"))
+    bad = functools.reduce(DataFrame.unionByName, [keyed.mapInArrow(_rows(t, 2, True), keyed.schema).select("__id", "__key") for t in blocks]).distinct()
+    own = F.sha2(F.col("text").cast("string").cast("binary"), 256)
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (own == F.col("__key")), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

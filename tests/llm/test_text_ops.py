@@ -82,6 +82,20 @@ def test_decontamination_of_awkward_rows(spark):
     assert D.report(docs, bench.limit(0)).where("contaminated or n_items > 0").count() == 0
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_decontamination_decides_row_by_row(spark, monkeypatch, small):
+    docs, bench = leaked()
+    if small:  # documents in pieces and the benchmark in several blocks
+        monkeypatch.setattr(D, "SHARD_WORDS", 13)
+        monkeypatch.setattr(D, "TEST_WORDS", 30)
+    # contaminated and clean rows without an id, a clean row that shares the id of an affected one, and repeated rows
+    docs += [(None, docs[1][1]), (None, "clean"), (None, None), (1, "clean too"), (1, None), (0, docs[3][1]), docs[0], docs[1]]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")
+    want = [d for d in docs if not brute_decontam([d], bench)[0][-1]]
+    assert rows_of(D.decontaminate(a, b)) == sorted(want, key=str) and (None, "clean") in want and (1, "clean too") in want
+    assert rows_of(D.decontaminate(a, b.limit(0))) == sorted(docs, key=str)
+
+
 def test_suffix_array_is_sorted():
     import numpy as np
 
