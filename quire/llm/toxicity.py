@@ -6,8 +6,10 @@ insult weigh more beside a mention of whom it is aimed at than either does alone
 
 Learning uses at most SAMPLE labelled rows, chosen by hash of the id, whose term sets (not texts) come to one fitting
 task. Terms enter the model if they occur in MIN_DOCS sampled rows and their smoothed odds ratio between the labels is at
-least ODDS either way; so words that are merely frequent in long texts carry no weight. Hash collisions between 64-bit
-terms are negligible, and unknown terms are ignored.
+least ODDS either way; so words that are merely frequent in long texts carry no weight. Terms that matter only in pairs
+enter by the pair: every pair of terms is tried, and both enter if the rows with both have odds that surpass those of
+either alone (and even odds) by ODDS, either way, and by more than chance: less than CHANCE pairs are expected to pass
+where no pair matters; near copies of a row count once in that. Hash collisions between 64-bit terms are negligible, and unknown terms are ignored.
 
 Defined results: null and empty texts have no terms and get the bias alone; without rows of both labels the score is the
 base rate (0 without rows). Rows of labels with a null doc_id or label never train; of repeated labels of one id the
@@ -27,6 +29,7 @@ from quire.llm import common as c
 
 SAMPLE, MIN_DOCS, ODDS = 12_000, 5, 4.0
 FACTORS, EPOCHS, RATE, DECAY, BATCH = 8, 12, 0.1, 1e-4, 256
+CHANCE, PAIR_BLOCK = 0.01, 512
 PREFIXES = (4, 5)
 THRESHOLD = 0.5
 
@@ -117,17 +120,128 @@ def _screened(sets: list[np.ndarray], y: np.ndarray, part: int) -> np.ndarray:
     own = [s[np.searchsorted(s, low) : np.searchsorted(s, high, side="right")] for s in sets]
     terms, inv = np.unique(np.concatenate(own), return_inverse=True)
     pos, every = np.bincount(inv, np.repeat(y, [len(s) for s in own]), len(terms)), np.bincount(inv, minlength=len(terms))
-    p, q = (pos + 0.5) / (y.sum() + 1), (every - pos + 0.5) / (len(y) - y.sum() + 1)
-    odds = (p / (1 - p)) / (q / (1 - q))
+    odds = _odds(pos, every, y.sum(), len(y))
     return terms[(every >= MIN_DOCS) & ((odds >= ODDS) | (odds <= 1 / ODDS))]
 
 
+def _odds(pos: np.ndarray, every: np.ndarray, n_pos: int, n: int) -> np.ndarray:
+    p, q = (pos + 0.5) / (n_pos + 1), (every - pos + 0.5) / (n - n_pos + 1)
+    return (p / (1 - p)) / (q / (1 - q))
+
+
+def _surprise(pos: np.ndarray, every: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """The least negative log of the chance that `pos` of `every` rows are toxic at `rate` (Chernoff's bound)."""
+    p = pos / np.maximum(every, 1)
+    part = lambda a, b: a * np.log(np.where(a > 0, a, 1) / b)
+    return every * (part(p, rate) + part(1 - p, 1 - rate))
+
+
+def _distinct(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """The term sets without those that share half their terms or more with an earlier one: copies are one witness.
+
+    Eight bands of three MinHash values find what may be a copy (at a similarity of 0.75 all but 1 in 80); full sets decide.
+    """
+    odd = np.random.default_rng(7).integers(1, 1 << 63, 24, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+    leaders: dict[tuple, int] = {}
+    out = []
+    for r, s in enumerate(sets):
+        if not len(s):
+            out.append(s)
+            continue
+        low = np.array([(s * m).min() for m in odd]).reshape(8, 3).tolist()
+        keys = [(band, *v) for band, v in enumerate(low)]
+        for x in {leaders[k] for k in keys if k in leaders}:
+            if 3 * np.isin(s, sets[x], assume_unique=True).sum() >= len(s) + len(sets[x]):
+                break
+        else:
+            out.append(s)
+            for k in keys:
+                leaders.setdefault(k, r)
+    return out
+
+
+def _paired(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """The terms that enter the model by a pair. All pairs that could pass are counted; blocks of terms keep that small."""
+    high, low = _distinct([s for s, t in zip(sets, y) if t]), _distinct([s for s, t in zip(sets, y) if not t])
+    sets, y = [*high, *low], np.repeat([1, 0], [len(high), len(low)])
+    n, n_pos = len(sets), int(y.sum())
+    rate = n_pos / n
+    high, n_high = np.unique(np.concatenate([s for s, t in zip(sets, y) if t]), return_counts=True)
+    low, n_low = np.unique(np.concatenate([s for s, t in zip(sets, y) if not t]), return_counts=True)
+    terms = np.union1d(high, low)
+    pos, every = np.zeros(len(terms), np.int64), np.zeros(len(terms), np.int64)
+    pos[np.searchsorted(terms, high)] = n_high
+    every[np.searchsorted(terms, low)] = n_low
+    every += pos
+    # a pair of so few rows could pass by chance: those terms need no count. `least` falls with the terms that remain
+    most = len(terms)
+    while True:
+        least = np.log(max(most, 2) ** 2 / CHANCE)
+        need_pos, need_every = least / -np.log(rate), least / -np.log1p(-rate)
+        keep = (pos >= need_pos) | (every >= need_every)
+        if keep.sum() >= most:
+            break
+        most = int(keep.sum())
+    terms, pos, every = terms[keep], pos[keep], every[keep]
+    if len(terms) < 2:
+        return terms[:0]
+    order = np.argsort(-every, kind="stable")
+    at = np.empty(len(terms), np.int64)
+    at[order] = np.arange(len(terms))
+    pos, every = pos[order], every[order]
+    # rows as bits, toxic ones first, each label padded to whole words of 64
+    def bits(some: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(terms), -(-len(some) // 64) * 8), np.uint8)
+        for lo in range(0, len(some), 256):
+            flag = np.zeros((256, len(terms)), np.uint8)
+            for r, s in enumerate(some[lo : lo + 256]):
+                x = np.minimum(np.searchsorted(terms, s), len(terms) - 1)
+                flag[r, at[x[terms[x] == s]]] = 1
+            got = np.packbits(flag, axis=0).T
+            out[:, lo // 8 : lo // 8 + 32] = got[:, : out.shape[1] - lo // 8]
+        return out
+
+    toxic, fair = bits([s for s, t in zip(sets, y) if t]), bits([s for s, t in zip(sets, y) if not t])
+    words = fair.view(np.uint64)
+    dense = lambda m, a: np.unpackbits(m[a : a + PAIR_BLOCK], axis=1).astype(np.float32)
+    share, odds = pos / every, _odds(pos, every, n_pos, n)
+    enters = np.zeros(len(terms), bool)
+    for a in range(0, len(terms), PAIR_BLOCK):
+        left, left_fair = dense(toxic, a), None
+        for b in range(a, len(terms), PAIR_BLOCK):
+            both = (left @ dense(toxic, b).T).astype(np.int64)
+            i, j = np.arange(a, a + both.shape[0])[:, None], np.arange(b, b + both.shape[1])[None, :]
+            upper, lower = np.maximum(np.maximum(share[i], share[j]), rate), np.minimum(np.minimum(share[i], share[j]), rate)
+            # what the pair's surprise can be at most, whatever its clean rows
+            rise = both * -np.log(upper) >= least
+            room = np.minimum(every[i], every[j])
+            fall = (room * -np.log1p(-np.minimum(lower, 1 - 1e-9)) >= least) & (both < room * lower)
+            x, z = np.nonzero((rise | fall) & (i < j))
+            if not len(x):
+                continue
+            if 20 * len(x) > both.size:
+                left_fair = dense(fair, a) if left_fair is None else left_fair
+                clean = (left_fair @ dense(fair, b).T)[x, z].astype(np.int64)
+            else:
+                clean = np.concatenate([np.bitwise_count(words[a + x[k : k + 8192]] & words[b + z[k : k + 8192]]).sum(axis=1, dtype=np.int64) for k in range(0, len(x), 8192)])
+            k, up, down = both[x, z], upper[x, z], lower[x, z]
+            total, one, two = k + clean, odds[a + x], odds[b + z]
+            pair = _odds(k, total, n_pos, n)
+            more = (pair >= ODDS * np.maximum(np.maximum(one, two), 1)) & (k > up * total)
+            less = (pair <= np.minimum(np.minimum(one, two), 1) / ODDS) & (k < down * total)
+            more[more] = _surprise(k[more], total[more], up[more]) >= least
+            less[less] = _surprise(k[less], total[less], down[less]) >= least
+            enters[a + x[more | less]] = True
+            enters[b + z[more | less]] = True
+    return np.sort(terms[order][enters])
+
+
 def fit_sample(sets: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
     rate = float(y.mean()) if len(y) else 0.0
     none = FactorizationMachine(np.empty(0, np.uint64), float(np.log((rate + 1e-9) / (1 - rate + 1e-9))))
     if not 0 < rate < 1:
         return none
-    terms = np.concatenate([_screened(sets, y, part) for part in range(16)])
+    terms = np.union1d(np.concatenate([_screened(sets, y, part) for part in range(16)]), _paired(sets, y))
     if not len(terms):
         return none
     model = FactorizationMachine(terms, none.b)

@@ -232,6 +232,66 @@ def test_toxicity_learns_and_rejects(spark, monkeypatch):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, s in got.items() if s < 0.5}
 
 
+def paired_corpus(n, seed):
+    """Toxic: one slur, or in a tenth of the rows an insult beside a group; either of these alone is in a twentieth of the clean rows."""
+    rng = random.Random(seed)
+    texts, kinds = [], []
+    for i in range(n):
+        w = [f"word{rng.randrange(60)}" for _ in range(30)]
+        kind = rng.choices(["slur", "pair", "insult", "group", "plain"], [9, 1, 4.5, 4.5, 81])[0]
+        w += {"slur": ["slurred"], "pair": ["insultor", "groupers"], "insult": ["insultor"], "group": ["groupers"], "plain": []}[kind]
+        rng.shuffle(w)
+        texts.append(" ".join(w))
+        kinds.append(kind)
+    return X.term_sets(pa.array(texts)), np.array(kinds)
+
+
+def test_terms_that_matter_only_in_pairs_are_learned():
+    sets, kinds = paired_corpus(4000, 1)
+    toxic = np.isin(kinds, ["slur", "pair"]).astype(int)
+    screened = np.concatenate([X._screened(sets, toxic, part) for part in range(16)])
+    alone = X.term_sets(pa.array(["insultor groupers"]))[0]
+    assert not np.isin(alone, screened).any()  # odds of about 2 each
+    model = X.fit_sample(sets, toxic)
+    assert np.isin(alone, model.terms).all() and len(model.terms) == len(screened) + len(alone)  # no plain word enters
+    held, kinds = paired_corpus(4000, 2)
+    found = model.raw([model.ids(s[model.known(s)]) for s in held]) >= 0
+    assert (found == np.isin(kinds, ["slur", "pair"])).all()
+
+
+def test_pair_counts_equal_brute_force(monkeypatch):
+    """Both ways of counting and both directions, over blocks smaller than the vocabulary."""
+    monkeypatch.setattr(X, "PAIR_BLOCK", 7)
+    monkeypatch.setattr(X, "_distinct", lambda sets: sets)  # rows of so few terms are near copies by chance
+    rng = np.random.default_rng(6)
+    vocabulary = np.sort(rng.integers(1, 1 << 63, 25, dtype=np.uint64))
+    has = rng.random((3000, 25)) < np.linspace(0.03, 0.6, 25)
+    y = ((rng.random(3000) < 0.3) | (has[:, 2] & has[:, 8])) & ~(has[:, 14] & has[:, 17])
+    sets, y = [vocabulary[r] for r in has], y.astype(int)
+    n, pos, want = len(y), int(y.sum()), set()
+    odds = lambda k, m: float(X._odds(np.float64(k), np.float64(m), pos, n))
+    least = math.log(25**2 / X.CHANCE)
+    for a, b in itertools.combinations(range(25), 2):
+        m, k = int((has[:, a] & has[:, b]).sum()), int(y[has[:, a] & has[:, b]].sum())
+        one = [(odds(y[has[:, t]].sum(), has[:, t].sum()), y[has[:, t]].mean()) for t in (a, b)]
+        up, down = max(pos / n, *(r for _, r in one)), min(pos / n, *(r for _, r in one))
+        kl = lambda r: sum(x * math.log(x / m / q) for x, q in ((k, r), (m - k, 1 - r)) if x)
+        rise = k > up * m and odds(k, m) >= X.ODDS * max(1, *(o for o, _ in one)) and kl(up) >= least
+        fall = k < down * m and odds(k, m) <= min(1, *(o for o, _ in one)) / X.ODDS and kl(down) >= least
+        want |= {a, b} if rise or fall else set()
+    assert {2, 8, 14, 17} <= want and len(want) < 25
+    assert set(np.searchsorted(vocabulary, X._paired(sets, y)).tolist()) == want
+
+
+def test_near_copies_are_one_witness_of_a_pair():
+    rng = np.random.default_rng(8)
+    base = [np.unique(rng.integers(1, 1 << 63, 200, dtype=np.uint64)) for _ in range(50)]
+    copies = [np.unique(np.append(s[: -1 - k], rng.integers(1, 1 << 63, 1, dtype=np.uint64))) for k, s in enumerate(base[:20])]
+    none = np.empty(0, np.uint64)
+    got = X._distinct([*base, *copies, none, *base[:3], none])
+    assert len(got) == 52 and all(a is b for a, b in zip(got, base))
+
+
 def test_quality_learns_and_rejects(spark):
     docs, labels, truth = frames(spark)
     model = Q.learn(docs, labels)
