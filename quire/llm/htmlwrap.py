@@ -1,27 +1,32 @@
 """Main text of web pages through wrappers: union-free regular expressions inferred from the pages of one host.
 
-A page becomes the stream of its block elements and text slots. Same-host streams are aligned one after another: equal
-items merge, a slot whose texts differ becomes a variable slot, an item that only one side has becomes optional, and an
-item or a run of items that follows itself becomes a repeated group. The result, one wrapper a host, tells the slots that
-hold the same text on every page (template) from those that hold the page's own. A page's text is then what its wrapper's
-variable slots hold inside the article, or where a page has neither article nor main element, inside its body, without
-navigation, headers, footers, sidebars, notices, adverts, forms, comments and hidden parts.
-
-Tasks merge their pages' streams to partial wrappers as they read; partial wrappers of a host merge in two steps (host and
-salt, then host), so a host with a third of all pages never meets in one task page by page. Wrappers are joined by a
-broadcast only while their measured size stays under BROADCAST_BYTES, else by a shuffle of the pages.
-
-Defined results: null or empty html, or html without text, gives an empty text; pages without a host stand alone, with
-no template; a text counts as template if its slot holds it on TEMPLATE_PAGES differing pages or more, and nothing else on any
-(inside an article or main element only up to TEMPLATE_WORDS words and outside headings); how many pages the host has does
-not matter. <br> and table cells part words but not blocks. Malformed markup is read
-as it comes: unclosed elements end with their parents, stray end tags are ignored. Repeated pages count once in a row.
-Extra columns are ignored.
+A page becomes the stream of its block elements and text slots, as a tree. A host's pages are aligned one after another into
+one wrapper, level by level: siblings of one label pair by their ordinal while every page has the same number of them; where
+the numbers differ they become one repeated element; what some pages lack becomes optional; siblings that come in both orders
+become a repeated group; and a slot whose texts differ becomes a variable one. `expression` writes the result as a regular
+expression. Alignment only ever takes unions, minima, maxima and sums, so the wrapper is the same in whatever order, and over
+whatever partitions, the pages come.
+
+The wrapper then decides what a page's text is. Slots that hold the same text on TEMPLATE_PAGES differing pages or more, and
+nothing else on any, are template. Of the rest, the element that holds most of the variable text not in links is followed
+down from the root while it holds DOMINANT of its parent's; the elements beside it go if they hold less than BESIDE of it.
+Names only settle what alignment leaves open: an article (else main) element with text is the place to look in; navigation, headers,
+footers, sidebars, forms, hidden parts, and classes that name notices, adverts or comments go, though their texts vary.
+
+Tasks align their pages as they read; partial wrappers of a host merge in two steps (host and salt, then host), so a host with
+a third of all pages never meets in one task page by page. Wrappers are joined by a broadcast only while their measured size
+stays under BROADCAST_BYTES, else by a shuffle of the pages. A wrapper grows with the variety of its host's pages, not with
+their number. Reading and matching are linear in a page's length, whatever its markup, and no walk recurses.
+
+Defined results: null or empty html, or html without text, gives an empty text; pages without a host, or on a host of
+fewer than TEMPLATE_PAGES differing pages, stand alone: only names decide. Inside an article or main element template goes
+only up to TEMPLATE_WORDS words and outside headings. <br> and table cells part words but not blocks. Malformed markup is read
+as it comes: unclosed elements end with their parents, stray end tags part blocks but close nothing, a tag whose quotes never close ends at its
+first '>'. Equal pages count as one. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import difflib
 import html as entities
 import json
 import re
@@ -36,6 +41,10 @@ from quire.llm import common as c
 from quire.llm.urlfilter import host_path
 
 TEMPLATE_PAGES, TEMPLATE_WORDS = 3, 8
+#: Share of the variable text that makes an element the one to follow, and the share of that one below which its neighbours go.
+DOMINANT, BESIDE = 2 / 3, 1 / 10
+#: Elements read by a task before it hands on the wrappers it holds.
+HELD_NODES = 500_000
 BROADCAST_BYTES = 8 << 20
 SALTS = 64
 
@@ -58,12 +67,16 @@ DROPPED_WORDS = {
 }
 HEADER_WORDS = {"header", "topbar"}
 DROPPED_ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar"}
+#: Elements of running text.
+RUNNING = {"p", "pre", "blockquote", "h1", "h2", "h3", "h4", "h5", "h6", "dt", "dd", "li", "figcaption", "caption", "summary"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "option": {"option"}, "tbody": {"tbody", "thead"}, "tfoot": {"tbody", "thead"}}
 
-_PART = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
+_TAG = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+_EDGE = re.compile("[\"'>]")
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"[a-z]+|[0-9]+")
+_RAW_END = {name: re.compile(rf"</{name}\b", re.I) for name in RAW}
 
 
 def _words(value: str) -> list[str]:
@@ -71,9 +84,9 @@ def _words(value: str) -> list[str]:
 
 
 class Node:
-    """A block element: its items are Nodes and (text, hash) slots in page order."""
+    """A block element of a page: its items are Nodes and (text, hash, characters in links) slots in page order."""
 
-    __slots__ = ("name", "label", "dropped", "soft", "header", "items")
+    __slots__ = ("name", "label", "dropped", "soft", "header", "items", "chars", "holds", "text", "inner")
 
     def __init__(self, name: str, label: str, dropped: bool):
         self.name, self.label, self.dropped, self.items = name, label, dropped, []
@@ -101,248 +114,399 @@ def _open(name: str, attrs: str) -> Node:
     return node
 
 
-def _settle(node: Node) -> tuple[int, bool]:
-    """Drop the elements whose class or id says so, unless they hold an article, or a main heading and most of the page."""
+def _settle(node: Node) -> None:
+    """Drop the children whose class or id says so, unless they hold an article, or a main heading and most of the page.
+
+    Called from the leaves up. Also notes what text and which article or main elements are left below.
+    """
     chars, holds, soft = 0, node.name in ("article", "main", "h1") and not node.soft, []
     for x in node.items:
         if not isinstance(x, Node):
             chars += len(x[0])
             continue
-        n, has = _settle(x)
-        chars += n
-        holds |= has and not x.dropped
-        if x.soft and not has:
+        chars += x.chars
+        holds |= x.holds and not x.dropped
+        if x.soft and not x.holds:
             x.dropped = True
         elif x.soft or x.header:
-            soft.append((x, n))
-    for x, n in soft:
-        if 2 * n > chars:
+            soft.append(x)
+    for x in soft:
+        if 2 * x.chars > chars:
             x.header = False
         elif x.soft:
             x.dropped = True
-    return chars, holds
+    node.chars, node.holds = chars, holds
+    left = [x for x in node.items if not isinstance(x, Node) or not x.dropped]
+    node.text = any(not isinstance(x, Node) or x.text for x in left)
+    node.inner = {n for n in ("article", "main") if any(isinstance(x, Node) and ((x.name == n and x.text) or n in x.inner) for x in left)}
+
+
+class _Ends:
+    """Where tags end: at the first '>' outside quotes. What a failed scan passed is not scanned again."""
+
+    def __init__(self, html: str):
+        self.html, self.failed, self.last = html, set(), html.rfind(">")
+
+    def of(self, at: int) -> int:
+        """The index of the closing '>' of the tag whose name ends at `at`, -1 without any."""
+        if at > self.last:
+            return -1
+        html, passed, x = self.html, [], at
+        while True:
+            m = _EDGE.search(html, x)
+            if m is None or m.start() in self.failed:
+                break
+            if m.group() == ">":
+                return m.start()
+            passed.append(m.start())
+            x = html.find(m.group(), m.end()) + 1
+            if not x:
+                break
+        self.failed.update(passed)
+        return html.find(">", at)
 
 
-def parse(html: str) -> Node:
-    """The tree of a page's block elements with their text, white space and character references resolved."""
+def parse(html: str) -> list[Node]:
+    """A page's block elements in page order, the root first; white space and character references are resolved."""
     root = Node("", "", False)
-    stack, text, at, n = [root], [], 0, len(html)
+    order, stack, open_, text, at, n, ends = [root], [root], {}, [], 0, len(html), _Ends(html)
+    link, linked = False, 0
 
     def flush():
+        nonlocal linked
         if text:
             joined = "".join(text)
             text.clear()
             t = " ".join((entities.unescape(joined) if "&" in joined else joined).split())
             if t:
-                stack[-1].items.append((t, zlib.crc32(t.encode("utf-8", "surrogatepass"))))
+                stack[-1].items.append((t, zlib.crc32(t.encode("utf-8", "surrogatepass")), min(linked, len(t))))
+        linked = 0
+
+    def leave(k: int):
+        for x in stack[k:]:
+            open_[x.name] -= 1
+        del stack[k:]
 
     while at < n:
-        m = _PART.search(html, at)
+        m = _TAG.search(html, at)
+        start = m.start() if m else n
+        if start > at:
+            text.append(html[at:start])
+            linked += link * (start - at)
         if m is None:
-            text.append(html[at:])
             break
-        if m.start() > at:
-            text.append(html[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        if m[1]:
+            end = html.find("-->", m.end())
+            at = end + 3 if end >= 0 else n
+            continue
+        end = html.find(">", m.end()) if m[2] and m.end() <= ends.last else -1 if m[2] else ends.of(m.end())
+        if end < 0:
+            text.append(html[start : m.end()])
+            at = m.end()
             continue
-        name = m[2].lower()
+        at = end + 1
+        if m[2]:
+            continue
+        closing, name = m[3], m[4].lower()
+        if name == "a":
+            link = not closing
         if name in APART:
             text.append(" ")
             continue
-        if name in RAW and not m[1]:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(html, at)
-            at = end.end() if end else n
+        if name in RAW and not closing:
+            stop = _RAW_END[name].search(html, at)
+            end = html.find(">", stop.end()) if stop else -1
+            at = end + 1 if end >= 0 else n
             continue
         if name not in BLOCK:
             continue
         flush()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].name == name:
-                    del stack[k:]
-                    break
+        if closing:
+            link = False
+            if open_.get(name):
+                k = len(stack) - 1
+                while stack[k].name != name:
+                    k -= 1
+                leave(k)
             continue
         if stack[-1].name == "p" or stack[-1].name in CLOSES.get(name, ()):
-            stack.pop()
+            leave(len(stack) - 1)
+            link = False
         if name in VOID:
             continue
-        node = _open(name, m[3])
+        attrs = html[m.end() : end]
+        node = _open(name, attrs)
         stack[-1].items.append(node)
-        if not m[3].endswith("/") or name not in ("svg", "math", "iframe", "object"):
+        order.append(node)
+        if not attrs.endswith("/") or name not in ("svg", "math", "iframe", "object"):
             stack.append(node)
+            open_[name] = open_.get(name, 0) + 1
     flush()
-    _settle(root)
-    return root
+    for node in reversed(order):
+        _settle(node)
+    return order
+
+
+class Slot:
+    """A text slot: the least and greatest hash of its texts, the pages that hold it (the smallest, TEMPLATE_PAGES at most), and its characters."""
+
+    __slots__ = ("low", "high", "pages", "chars", "linked")
 
+    def __init__(self, low: int, high: int, pages: list[int], chars: int, linked: int):
+        self.low, self.high, self.pages, self.chars, self.linked = low, high, pages, chars, linked
 
-# A wrapper item is [kind, key, optional, repeated, body]: kind 'e' an element (body: items), 'g' a repeated group (body:
-# items), 't' a text slot (body: null if its text varies, else the text's hash and the smallest hashes of the differing pages
-# that hold it, TEMPLATE_PAGES at most; while a page's own skeleton is built, the text's hash alone).
+    @property
+    def template(self) -> bool:
+        return self.low == self.high and len(self.pages) >= TEMPLATE_PAGES
 
+    def take(self, other: Slot) -> None:
+        self.low, self.high = min(self.low, other.low), max(self.high, other.high)
+        if self.pages != other.pages:
+            self.pages = sorted({*self.pages, *other.pages})[:TEMPLATE_PAGES]
+        self.chars += other.chars
+        self.linked += other.linked
 
-def skeleton(node: Node) -> list:
-    return fold([["e", x.label, False, False, skeleton(x)] if isinstance(x, Node) else ["t", "#", False, False, x[1]] for x in node.items])
 
+class Element:
+    """An element of a wrapper. columns: label -> [how many instances have it, whether it repeats, its Elements or Slots by
+    ordinal]; pairs: (label, ordinal) of neighbours, ordinal 0 of what repeats; `aside`: beside the text, set by decide()."""
 
-def _merge_text(a: list | int | None, b: list | int | None) -> list | int | None:
-    if a == b:
-        return a
-    if not isinstance(a, list) or not isinstance(b, list) or a[0] != b[0]:
-        return None
-    return [a[0], sorted({*a[1], *b[1]})[:TEMPLATE_PAGES]]
+    __slots__ = ("n", "columns", "pairs", "aside")
 
+    def __init__(self):
+        self.n, self.columns, self.pairs, self.aside = 1, {}, set(), False
 
-def _merge_item(a: list, b: list) -> list:
-    body = _merge_text(a[4], b[4]) if a[0] == "t" else merge(a[4], b[4])
-    return [a[0], a[1], a[2] or b[2], a[3] or b[3], body]
 
+TEXT = "#"
 
-def fold(items: list) -> list:
-    """Resolve tandem repeats: an item after an equal one, or a run of up to four items after an equal run, become repeated."""
-    for k in (1, 2, 3, 4):
-        i = 0
-        while i + 2 * k <= len(items):
-            a, b = items[i : i + k], items[i + k : i + 2 * k]
-            if [x[1] for x in a] != [x[1] for x in b]:
-                i += 1
+
+def _label(node: Node) -> str:
+    """Name and classes; '~' marks elements without block elements inside, '!' those that names drop."""
+    return node.label + "~" * (not any(isinstance(x, Node) for x in node.items)) + "!" * node.dropped
+
+
+def page_wrapper(order: list[Node]) -> Element:
+    """The wrapper of one page: its own tree."""
+    page = 0
+    for node in order:
+        for x in node.items:
+            page = zlib.crc32(b"%d" % x[1] if not isinstance(x, Node) else x.label.encode(), page)
+        page = zlib.crc32(b"/", page)
+    made = {}
+    for node in reversed(order):
+        e = Element()
+        before = None
+        for x in node.items:
+            label = _label(x) if isinstance(x, Node) else TEXT
+            part = made.pop(id(x)) if isinstance(x, Node) else Slot(x[1], x[1], [page], len(x[0]), x[2])
+            column = e.columns.setdefault(label, [1, False, []])
+            sign = (label, len(column[2]))
+            column[2].append(part)
+            if before:
+                e.pairs.add((before, sign))
+            before = sign
+        made[id(node)] = e
+    return made[id(order[0])]
+
+
+def _repeat(e: Element, label: str) -> None:
+    """The pairs of an element whose children of this label now repeat: their ordinals no longer count."""
+    one = lambda s: (label, 0) if s[0] == label else s
+    e.pairs = {(one(a), one(b)) for a, b in e.pairs}
+
+
+def align(a: Element, b: Element) -> Element:
+    """Align b into a, which becomes the wrapper of both; b is used up."""
+    work = [(a, b)]
+    while work:
+        x, y = work.pop()
+        if isinstance(x, Slot):
+            x.take(y)
+            continue
+        x.n += y.n
+        for label, (k, repeats, parts) in y.columns.items():
+            column = x.columns.get(label)
+            if column is None:
+                x.columns[label] = [k, repeats, parts]
                 continue
-            both = [_merge_item(x, y) for x, y in zip(a, b)]
-            if k == 1:
-                both[0][3] = True
-                items = items[:i] + both + items[i + 2 :]
+            column[0] += k
+            mine = column[2]
+            if column[1] or repeats or len(mine) != len(parts):
+                if not column[1]:
+                    _repeat(x, label)
+                if not repeats:
+                    _repeat(y, label)
+                work += [(mine[0], p) for p in (*mine[1:], *parts)]
+                column[1], column[2] = True, mine[:1]
             else:
-                group = ["g", "(" + " ".join(x[1] for x in both) + ")", False, True, both]
-                j = i + 2 * k
-                while [x[1] for x in items[j : j + k]] == [x[1] for x in both]:
-                    both = [_merge_item(x, y) for x, y in zip(both, items[j : j + k])]
-                    j += k
-                group[4] = both
-                items = items[:i] + [group] + items[j:]
-    return items
-
-
-def merge(a: list, b: list) -> list:
-    """Align two item lists: equal keys merge, what only one side has becomes optional, then repeats are resolved."""
-    if a == b:
-        return a
-    ka, kb = [x[1] for x in a], [x[1] for x in b]
-    if ka == kb:
-        return [_merge_item(x, y) for x, y in zip(a, b)]
-    out = []
-    maybe = lambda x: [x[0], x[1], True, x[3], x[4]]
-    for op, i, j, k, m in difflib.SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes():
-        if op == "equal":
-            out += [_merge_item(x, y) for x, y in zip(a[i:j], b[k:m])]
-        else:
-            out += [maybe(x) for x in _unmatched(a[i:j], out)] + [maybe(x) for x in _unmatched(b[k:m], out)]
-    return fold(out)
-
-
-def _unmatched(items: list, before: list) -> list:
-    """Items that continue the repeated item or group just before go into it; the rest stay."""
-    i = 0
-    while before and i < len(items):
-        last = before[-1]
-        if last[0] == "g":
-            keys = [x[1] for x in last[4]]
-            if [x[1] for x in items[i : i + len(keys)]] != keys:
-                break
-            last[4] = [_merge_item(x, y) for x, y in zip(last[4], items[i : i + len(keys)])]
-            i += len(keys)
-        elif last[1] == items[i][1]:
-            before[-1] = _merge_item(last, items[i])
-            before[-1][3] = True
-            i += 1
+                work += zip(mine, parts)
+        x.pairs |= y.pairs
+    return a
+
+
+def dump(root: Element) -> str:
+    """A wrapper as flat JSON rows, children before parents."""
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        if isinstance(x, Element):
+            todo += [p for label in sorted(x.columns) for p in x.columns[label][2]]
+    rows, place = [], {}
+    for x in reversed(order):
+        if isinstance(x, Slot):
+            rows.append([x.low, x.high, x.pages, x.chars, x.linked])
         else:
-            break
-    return items[i:]
+            rows.append([x.n, [[label, k, repeats, [place[id(p)] for p in parts]] for label, (k, repeats, parts) in sorted(x.columns.items())], sorted(x.pairs)])
+        place[id(x)] = len(rows) - 1
+    return json.dumps(rows, separators=(",", ":"))
 
 
-def slots(node: Node, wrapper: list | None):
-    """Match a page's items to its wrapper in order; yields (item, wrapper item or None)."""
-    flat, at = [], 0
-    for w in wrapper or []:
-        flat += w[4] if w[0] == "g" else [w]
-    keys = [w[1] for w in flat]
-    for x in node.items:
-        key = x.label if isinstance(x, Node) else "#"
-        hit = None
-        for j in [*range(at, len(keys)), *range(0, at)]:
-            if keys[j] == key:
-                hit, at = flat[j], j if flat[j][3] else j + 1
-                break
-        yield x, hit
+def load(text: str) -> Element:
+    made: list = []
+    for row in json.loads(text):
+        if len(row) == 5:
+            made.append(Slot(*row))
+            continue
+        e = Element()
+        e.n, e.pairs = row[0], {(tuple(a), tuple(b)) for a, b in row[2]}
+        e.columns = {label: [k, repeats, [made[p] for p in parts]] for label, k, repeats, parts in row[1]}
+        made.append(e)
+    return made[-1]
+
+
+def _elements(root: Element) -> list[Element]:
+    order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        order.append(x)
+        todo += [p for _, _, parts in x.columns.values() for p in parts if isinstance(p, Element)]
+    return order
+
+
+def pages_of(root: Element) -> int:
+    """How many differing pages a wrapper is known to have, counted up to TEMPLATE_PAGES."""
+    return len({p for e in _elements(root) for s in (e.columns[TEXT][2] if TEXT in e.columns else ()) for p in s.pages})
+
+
+def decide(root: Element) -> Element:
+    """Follow the variable text down from the root and mark the elements beside it."""
+    mass: dict[int, int] = {}
+    for e in reversed(_elements(root)):
+        own = sum(max(0, s.chars - s.linked) for s in (e.columns[TEXT][2] if TEXT in e.columns else ()) if not s.template)
+        mass[id(e)] = own + sum(mass[id(p)] for label, c in e.columns.items() if label != TEXT and label[-1] != "!" for p in c[2])
+    at, name = root, ""
+    while name not in ("article", "main"):
+        inside = [(mass[id(p)], label, i, p) for label, c in at.columns.items() if label != TEXT and label[-1] != "!" and re.split(r"[.~]", label)[0] not in RUNNING for i, p in enumerate(c[2])]
+        if not inside:
+            break
+        most, label, _, best = max(inside, key=lambda x: x[:3])
+        if not most or most < DOMINANT * mass[id(at)]:
+            break
+        for m, _, _, p in inside:
+            p.aside = m < BESIDE * most
+        at, name = best, re.split(r"[.~]", label)[0]
+    return root
 
 
-def main_text(html: str | None, wrapper: dict | None) -> str:
+def _ranks(e: Element) -> list[list[tuple]]:
+    """An element's (label, ordinal) children in order; those that come in both orders share a rank."""
+    signs = sorted((label, i) for label, c in e.columns.items() for i in range(len(c[2])))
+    after = {s: {s} for s in signs}
+    for a, b in e.pairs:
+        after[a].add(b)
+    for k in signs:  # transitive closure
+        for s in signs:
+            if k in after[s]:
+                after[s] |= after[k]
+    ranks: list[list[tuple]] = []
+    first = {s: min(t for t in after[s] if s in after[t]) for s in signs}
+    for s in sorted(signs, key=lambda s: (-len(after[s]), first[s], s)):
+        if ranks and first[ranks[-1][0]] == first[s]:
+            ranks[-1].append(s)
+        else:
+            ranks.append([s])
+    return ranks
+
+
+def expression(root: Element) -> str:
+    """The wrapper as a union-free regular expression over the tokens of `tokens`."""
+    made: dict[int, str] = {}
+    for e in reversed(_elements(root)):
+        out = []
+        for rank in _ranks(e):
+            group = []
+            for label, i in rank:
+                k, repeats, parts = e.columns[label]
+                one = "#" if label == TEXT else re.escape(f"<{label}>") + made[id(parts[i])] + "</>"
+                maybe = k < e.n or len(rank) > 1
+                group.append(f"(?:{one})" + ("*" if repeats and maybe else "+" if repeats else "?" if maybe else ""))
+            out.append(group[0] if len(group) == 1 else "(?:" + "".join(group) + ")+")
+        made[id(e)] = "".join(out)
+    return made[id(root)]
+
+
+def tokens(order: list[Node]) -> str:
+    """A page's stream as `expression` reads it: '#' a text, '<label>' and '</>' an element's ends."""
+    made: dict[int, str] = {}
+    for node in reversed(order):
+        made[id(node)] = "".join(f"<{_label(x)}>{made.pop(id(x))}</>" if isinstance(x, Node) else "#" for x in node.items)
+    return made[id(order[0])]
+
+
+def main_text(html: str | None, wrapper: Element | None) -> str:
+    """The text of a page, given its host's decided wrapper, or none."""
     if not html:
         return ""
-    root = parse(html)
-
-    def live(node: Node, names: set[str]) -> bool:
-        return any(isinstance(x, Node) and not x.dropped and ((x.name in names and _has_text(x)) or live(x, names)) for x in node.items)
-
-    within = next((n for n in ("article", "main") if live(root, {n})), None)
+    root = parse(html)[0]
+    within = next((n for n in ("article", "main") if n in root.inner), None)
     out: list[str] = []
-
-    def walk(node: Node, items: list | None, inside: bool, header: bool, heading: bool) -> None:
-        for x, w in slots(node, items):
-            if isinstance(x, Node):
-                if x.dropped or (x.header and not inside):
-                    continue
-                walk(x, w[4] if w else None, inside or x.name == within, header or x.header, heading or x.name in HEADINGS)
-                continue
+    todo: list[tuple] = [(root, wrapper, False, False, False)]
+    while todo:
+        x, w, inside, header, heading = todo.pop()
+        if not isinstance(x, Node):
             if within and not inside or header and not heading:
                 continue
-            fixed = w is not None and not w[3] and w[4] is not None and w[4][0] == x[1] and len(w[4][1]) >= TEMPLATE_PAGES
-            if fixed and (not inside or not heading and len(x[0].split()) <= TEMPLATE_WORDS):
+            if w is not None and w.template and w.low == x[1] and (not inside or not heading and len(x[0].split()) <= TEMPLATE_WORDS):
                 continue
             out.append(x[0])
-
-    walk(root, wrapper["items"] if wrapper else None, False, False, False)
+            continue
+        if x.dropped or (not inside and (x.header or (w is not None and w.aside and not within))):
+            continue
+        state = (inside or (x.name != "" and x.name == within), header or x.header, heading or x.name in HEADINGS)
+        below, ordinal = [], {}
+        for item in x.items:
+            label = _label(item) if isinstance(item, Node) else TEXT
+            i = ordinal[label] = ordinal.get(label, -1) + 1
+            column = w.columns.get(label) if w is not None else None
+            part = None if column is None else column[2][0] if column[1] else column[2][i] if i < len(column[2]) else None
+            if isinstance(part, Slot) and column[1]:
+                part = None  # a repeated slot holds many texts; none of them is template
+            below.append((item, part, *state))
+        todo += reversed(below)
     return "\n".join(out)
 
 
-def _has_text(node: Node) -> bool:
-    return any(not isinstance(x, Node) or (not x.dropped and _has_text(x)) for x in node.items)
-
-
-def page_wrapper(html: str) -> dict:
-    items = skeleton(parse(html))
-    seen = zlib.crc32(json.dumps(items).encode())
-    return {"seen": [seen], "items": _held_by(items, seen)}
-
-
-def _held_by(items: list, page: int) -> list:
-    """The items of one page's skeleton, their texts marked as held by that page."""
-    return [[*x[:4], (None if x[4] is None else [x[4], [page]]) if x[0] == "t" else _held_by(x[4], page)] for x in items]
-
-
-def merge_wrappers(a: dict, b: dict) -> dict:
-    """The wrapper of both. `seen` keeps the smallest hashes of differing pages, so that most copies need no merge."""
-    return {"seen": sorted({*a["seen"], *b["seen"]})[: 4 * TEMPLATE_PAGES], "items": merge(a["items"], b["items"])}
-
-
 def _partial(it):
     salt = (TaskContext.get().partitionId() if TaskContext.get() else 0) % SALTS
-    held: dict[str, dict] = {}
+    held: dict[str, Element] = {}
+    nodes = 0
 
     def flush():
-        rows = [(h, json.dumps(w)) for h, w in held.items()]
+        rows = [(h, dump(w)) for h, w in held.items()]
         held.clear()
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([salt] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.string())], ["host", "salt", "wrapper"])
 
     for batch in it:
         for at, col in c.slices(batch.column(1)):
             for host, html in zip(batch.column(0).slice(at, len(col)).to_pylist(), col.to_pylist()):
-                one = page_wrapper(html)
-                if host not in held:
-                    held[host] = one
-                elif one["seen"][0] not in held[host]["seen"]:
-                    held[host] = merge_wrappers(held[host], one)
-            if len(held) > 20_000:
-                yield flush()
+                order = parse(html)
+                one = page_wrapper(order)
+                held[host] = align(held[host], one) if host in held else one
+                nodes += len(order)
+                if nodes > HELD_NODES:
+                    yield flush()
+                    nodes = 0
     if held:
         yield flush()
 
@@ -351,30 +515,35 @@ def _reduce(pdf):
     import pandas as pd
 
     got = None
-    for w in sorted(pdf["wrapper"]):
-        got = json.loads(w) if got is None else merge_wrappers(got, json.loads(w))
-    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [json.dumps(got)]})
+    for w in pdf["wrapper"]:
+        got = load(w) if got is None else align(got, load(w))
+    return pd.DataFrame({"host": [pdf["host"].iloc[0]], "wrapper": [dump(got)]})
+
+
+def _finish(pdf):
+    done = _reduce(pdf)
+    return done[[pages_of(load(w)) >= TEMPLATE_PAGES for w in done["wrapper"]]]
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper as JSON) for every host of pages(host, html)."""
+    """(host, wrapper as JSON) for every host with TEMPLATE_PAGES differing pages or more of pages(host, html)."""
     rows = pages.where("host <> '' and html is not null and html <> ''").select("host", "html")
     part = rows.mapInArrow(_partial, "host string, salt int, wrapper string")
     part = part.groupBy("host", "salt").applyInPandas(_reduce, "host string, wrapper string")
-    return part.groupBy("host").applyInPandas(_reduce, "host string, wrapper string")
+    return part.groupBy("host").applyInPandas(_finish, "host string, wrapper string")
 
 
 def _extract(it):
-    known: dict[str, dict] = {}
+    known: dict[str, Element] = {}
     for batch in it:
         names = batch.schema.names
         for at, col in c.slices(batch.column(names.index("html"))):
             out = []
             for html, w in zip(col.to_pylist(), batch.column(names.index("wrapper")).slice(at, len(col)).to_pylist()):
                 if w is not None and w not in known:
-                    if len(known) > 2000:
+                    if len(known) > 500:
                         known.clear()
-                    known[w] = json.loads(w)
+                    known[w] = decide(load(w))
                 out.append(main_text(html, known[w] if w is not None else None))
             part = batch.slice(at, len(col))
             yield pa.RecordBatch.from_arrays([part.column(names.index("page_id")), part.column(names.index("url")), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], ["page_id", "url", "text", "n_chars"])

@@ -159,17 +159,6 @@ def test_article_without_its_surroundings():
     assert H.main_text("<p>un<b>closed<p>next <!-- x <p>gone", None) == "unclosed\nnext"
 
 
-def test_alignment_finds_optional_and_repeated_items():
-    one = H.page_wrapper("<div><h1>A</h1><p>x</p></div>")
-    two = H.page_wrapper("<div><h1>B</h1><p>y</p><p>z</p><hr><table><tr><td>q</table></div>")
-    w = H.merge_wrappers(one, two)
-    div = w["items"][0]
-    assert [(x[1], x[2], x[3]) for x in div[4]] == [("h1", False, False), ("p", False, True), ("table", True, False)]
-    assert div[4][0][4][0][4] is None  # the heading's text varies
-    rows = H.page_wrapper("<dl>" + "<dt>a</dt><dd>b</dd>" * 4 + "</dl>")["items"][0][4]
-    assert len(rows) == 1 and rows[0][0] == "g" and rows[0][3]
-
-
 LABELS = "doc_id long, quality int, toxic int"
 
 
