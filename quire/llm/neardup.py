@@ -1,24 +1,30 @@
 """MinHash near-duplicate detection verified through odd sketches and full shingle sets.
 
-Plan: (1) one pass makes each document's set of 5-word shingles, a 128-bit fingerprint of that set, k MinHash values
+Plan: (1) one pass makes each document's set of 5-word shingles, a 128-bit digest of that whole set, k MinHash values
 banded into bucket keys, and the odd sketch: the parity bitmap of the MinHash samples, whose XOR population count
-estimates high similarities closely. (2) Equal sets collapse to one representative by a partial aggregate, so groups of
-copies cost one row from here on. (3) Within each bucket every representative is tried, by sketch, against the bucket's
-leaders (the first row not yet linked); at most one confirmed link a representative results, and connected components
-follow. (4) Pairs in different components that share a bucket and whose sketches do not exclude similarity are all
-confirmed on full sets, so no link that could join two components stays untried. Here a second odd sketch, of the whole
-set, helps: its XOR population count never exceeds the symmetric difference, so it excludes pairs without any error.
-
-Buckets are streamed in sorted runs of at most `block` rows. Larger buckets are dealt over several blocks; in step 4 the
-rows outside the bucket's largest component visit every block, so no cross-component pair is missed.
+estimates high similarities closely. (2) Equal sets, by their digests, collapse to one representative in a partial
+aggregate, so groups of copies cost one row from here on. (3) Within each bucket every representative is tried, by sketch, against
+the bucket's leaders (the first row not yet linked); at most one confirmed link a representative results, and connected
+components follow. (4) Pairs in different components that share a bucket are all tried again: a second odd sketch, of the whole
+set, excludes most without any error, as its XOR population count never exceeds the symmetric difference; the rest are
+confirmed on full sets. So no link that could join two components stays untried.
+
+Buckets are streamed in sorted runs of at most `BLOCK` rows; larger ones are dealt over several blocks. In step 4 the rows
+outside such a bucket's largest component visit all its blocks, while they are at most OUTSIDE: linear in the bucket. A
+bucket with more of them (many different documents around one shared passage) is left by its shingles instead: sets of
+similarity 0.75 share one of the first quarter of their shingles in any fixed order, and with the shingles that many rows
+share put last, those groups are small. Groups that are not are dealt over blocks once more.
 
 Defined results: a null or word-less text has an empty set, n_shingles 0, and links with nothing; a null doc_id counts
-as its own key and is never a component of another row; repeated rows share their component. Extra columns are ignored.
-A pair at similarity exactly 0.75 is missed by all 32 bands of 4 with probability 5e-6.
+as its own key and is never a component of another row; repeated rows share their component. Rows of one doc_id but different
+texts are different documents, each with its own links; a component is named by the smallest doc_id among its rows. Extra
+columns are ignored. A pair at similarity exactly 0.75 is missed by all 32 bands of 4 with probability 5e-6.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,9 +36,11 @@ from quire.llm import common as c
 
 WORDS, K, BANDS, BITS = 5, 128, 32, 512
 THRESHOLD = 75
-#: Sketch bits that may differ: expected 57 at similarity 0.75; a true pair passes FAR_BITS but for about 1 in 1e6.
-NEAR_BITS, FAR_BITS = 62, 100
+#: Sketch bits that may differ for a row to be tried against a leader: expected 57 at similarity 0.75.
+NEAR_BITS = 62
 BLOCK = 2048
+#: Rows outside a bucket's largest component that may visit all its blocks, and the most shingles told to all tasks as frequent.
+OUTSIDE, FREQUENT = 8 * BLOCK, 1 << 20
 #: Bits of the odd sketch of a whole set.
 FULL_BITS = 4096
 
@@ -76,19 +84,19 @@ def odd_sketches(mins: np.ndarray) -> np.ndarray:
     return np.packbits(odd.reshape(len(mins), BITS), axis=1)
 
 
-SIG_SCHEMA = "doc_id long, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary"
+SIG_SCHEMA = "doc_id long, text_hash long, n_shingles long, f1 long, f2 long, bands array<long>, sketch binary"
 
 
 def _signatures(it):
     seeds = c.mix(np.arange(BANDS, dtype=np.uint64) + _U(99))
     for batch in it:
         for at, col in c.slices(batch.column(1)):
-            n, f1, f2, mins = [], [], [], []
+            n, digests, mins = [], [], []
             for s in shingle_sets(col):
                 n.append(len(s))
-                f1.append(int(np.bitwise_xor.reduce(s)) if len(s) else 0)
-                f2.append(int(np.sum(c.mix(s * _C[0]))) if len(s) else 0)
+                digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 mins.append(minhash(s))
+            f = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
             m = np.array(mins, np.uint64).reshape(-1, K)
             r = m.reshape(len(m), BANDS, K // BANDS)
             keys = seeds[None, :].repeat(len(m), 0)
@@ -98,18 +106,24 @@ def _signatures(it):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(at, len(col)),
+                    batch.column(2).slice(at, len(col)),
                     pa.array(n, pa.int64()),
-                    pa.array(np.array(f1, np.uint64).view(np.int64)),
-                    pa.array(np.array(f2, np.uint64).view(np.int64)),
+                    pa.array(f[:, 0]),
+                    pa.array(f[:, 1]),
                     pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(c.signed(keys.ravel()))),
                     pa.array([x.tobytes() for x in sk], pa.binary()),
                 ],
-                ["doc_id", "n_shingles", "f1", "f2", "bands", "sketch"],
+                ["doc_id", "text_hash", "n_shingles", "f1", "f2", "bands", "sketch"],
             )
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_signatures, SIG_SCHEMA)
+    return _keyed(docs).mapInArrow(_signatures, SIG_SCHEMA)
 
 
 def _groups(it, size: int = 1 << 16) -> Iterator[dict[str, np.ndarray]]:
@@ -142,10 +156,14 @@ def _columns(t: pa.Table) -> dict[str, np.ndarray]:
     return out
 
 
-def _apart(d: dict, i: np.ndarray, j: np.ndarray, bits: int) -> np.ndarray:
-    """Which pairs of rows pass the size bound and differ in at most `bits` sketch bits."""
+def _sizes_fit(d: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     a, b = d["n"][i], d["n"][j]
-    ok = np.minimum(a, b) * 100 >= np.maximum(a, b) * THRESHOLD
+    return np.minimum(a, b) * 100 >= np.maximum(a, b) * THRESHOLD
+
+
+def _close(d: dict, i: np.ndarray, j: np.ndarray, bits: int) -> np.ndarray:
+    """Which pairs of rows pass the size bound and differ in at most `bits` sketch bits."""
+    ok = _sizes_fit(d, i, j)
     x = np.flatnonzero(ok)
     ok[x] = np.bitwise_count(d["sketch"][i[x]] ^ d["sketch"][j[x]]).sum(axis=1) <= bits
     return ok
@@ -185,7 +203,7 @@ def _leaders(it):
             first[1:] = g[1:] != g[:-1]
             lead = live[np.flatnonzero(first)[np.cumsum(first) - 1]]
             others = np.flatnonzero(~first)
-            near = _apart(d, live[others], lead[others], NEAR_BITS)
+            near = _close(d, live[others], lead[others], NEAR_BITS)
             hit = others[near]
             if len(hit):
                 yield _pairs(d["rep"][live[hit]], d["rep"][lead[hit]])
@@ -193,7 +211,7 @@ def _leaders(it):
 
 
 def _crossings(it):
-    """All pairs of a bucket's rows in different components that the sketches do not exclude."""
+    """All pairs of a bucket's rows in different components that sizes and whole-set sketches leave open."""
     for d in _groups(it):
         n = len(d["group"])
         i, step = np.arange(n), 1
@@ -206,7 +224,7 @@ def _crossings(it):
                 j = part + step
                 x = (d["comp"][part] != d["comp"][j]) & (d["rep"][part] != d["rep"][j])
                 part, j = part[x], j[x]
-                x = _apart(d, part, j, FAR_BITS)
+                x = _sizes_fit(d, part, j)
                 part, j = part[x], j[x]
                 x = _may_meet(d, part, j)
                 if x.any():
@@ -258,53 +276,113 @@ def _blocks(count, salt) -> F.Column:
     return F.pmod(salt, F.ceil(count / F.lit(BLOCK)).cast("long")).cast("int")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text)."""
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sigs = c.stash(signatures(keyed))
-    reps = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    reps = c.stash(reps)
+def _shingle_rows(it):
+    for batch in it:
+        for _, col in c.slices(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([pa.array(c.signed(np.concatenate([*shingle_sets(col), np.empty(0, np.uint64)])))], ["h"])
+
+
+def _heads(frequent: np.ndarray):
+    """Each set's first shingles, the frequent ones ordered last: as many as a set of similarity 0.75 must share one of."""
+
+    def run(it):
+        for batch in it:
+            for at, col in c.slices(batch.column(1)):
+                reps, keys = [], []
+                for rep, s in zip(batch.column(0).slice(at, len(col)).to_numpy(), shingle_sets(col)):
+                    late = np.isin(s, frequent, assume_unique=True)
+                    head = np.concatenate([s[~late], s[late]])[: len(s) - math.ceil(THRESHOLD * len(s) / 100) + 1]
+                    keys.append(head)
+                    reps.append(np.full(len(head), rep))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(reps)), pa.array(c.signed(np.concatenate(keys)))], ["rep", "key"])
+
+    return run
+
+
+def _by_shingle(some: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, rep) of the sets some(rep): groups by shingle that hold every pair of similarity 0.75."""
+    body = texts.join(some, "rep", "left_semi").select("rep", "text")
+    counts = c.stash(body.mapInArrow(_shingle_rows, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
+    # so many occurrences cannot be of more than FREQUENT shingles
+    least = (counts.agg(F.sum("n")).first()[0] or 0) // FREQUENT
+    frequent = np.array([r.h for r in counts.where(F.col("n") > least).select("h").toLocalIterator()], np.int64).view(np.uint64)
+    return body.mapInArrow(_heads(np.sort(frequent)), "rep long, key long")
+
+
+def _crossing_pairs(placed: DataFrame, wide: DataFrame, texts: DataFrame, by_shingle: bool) -> DataFrame:
+    """(a, b) of placed(key, rep, comp): the pairs of a bucket in different components that sizes and whole-set sketches leave open."""
+    per = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mixed = per.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("outside")).where("comps > 1")
+    mixed = c.stash(mixed)
+    loose = (F.col("size") > BLOCK) & (F.col("outside") > OUTSIDE) if by_shingle else F.lit(False)
+    rows = placed.join(mixed.where(~loose).select("key", "main", "size"), "key")
+    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
+    own = _blocks(F.col("size"), F.xxhash64("rep", "key"))
+    every = F.when((F.col("comp") != F.col("main")) & (blocks > 1), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
+    rows = rows.withColumn("block", F.explode(every)).join(wide, "rep")
+    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block", "rep").select("key", "block", "rep", "comp", "n", "full")
+    found = rows.mapInArrow(_crossings, "a long, b long")
+    left = mixed.where(loose).select("key")
+    if by_shingle and left.limit(1).count():
+        some = c.stash(placed.join(left, "key", "left_semi").select("rep", "comp").distinct())
+        again = c.stash(_by_shingle(some, texts))
+        shared = again.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
+        again = again.join(shared, "key").join(some, "rep")
+        found = found.unionByName(_crossing_pairs(again, wide, texts, False))
+    return found.distinct()
+
+
+def _grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, top): every row with the least (doc_id, text_hash) of its component, null without an id or a word."""
+    keyed = _keyed(docs)
+    sigs = c.stash(signatures(docs))
+    reps = sigs.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2", "n_shingles")
+    reps = reps.agg(F.min(F.struct("doc_id", "text_hash")).alias("at"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    # numbers given while writing stay as written
+    reps = c.stash(reps.withColumn("rep", F.monotonically_increasing_id()))
     keys = reps.select("rep", F.posexplode("bands").alias("band", "h")).select("rep", F.xxhash64("band", "h").alias("key"))
     shared = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     members = c.stash(keys.join(shared, "key"))
-    wide = reps.select("rep", F.col("n_shingles").alias("n"), "sketch")
-    linked = members.select("rep").distinct()
-    texts = c.stash(keyed.select(F.col("doc_id").alias("rep"), "text").join(linked, "rep", "left_semi").dropDuplicates(["rep"]))
+    linked = members.select("rep").distinct().join(reps.select("rep", "at.doc_id", "at.text_hash"), "rep")
+    texts = c.stash(keyed.join(linked, ["doc_id", "text_hash"]).select("rep", "text").dropDuplicates(["rep"]))
 
+    wide = reps.select("rep", F.col("n_shingles").alias("n"), "sketch")
     rows = members.withColumn("block", _blocks(F.col("size"), F.xxhash64("rep", "key"))).join(wide, "rep")
     near = rows.repartition("key", "block").sortWithinPartitions("key", "block", "rep").select("key", "block", "rep", "n", "sketch").mapInArrow(_leaders, "a long, b long")
     first = c.stash(confirm(near.groupBy("a").agg(F.min("b").alias("b")), texts))
-    comps = components(first)
-
-    placed = members.join(comps, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
-    mixed = placed.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main")).where("comps > 1")
-    placed = placed.join(mixed.select("key", "main"), "key")
-    blocks = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    own = _blocks(F.col("size"), F.xxhash64("rep", "key"))
-    every = F.when((F.col("comp") != F.col("main")) & (blocks > 1), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
-    placed = placed.withColumn("block", F.explode(every))
+    placed = members.select("key", "rep").join(components(first), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     maps = texts.select("rep", "text").mapInArrow(_whole_sketches, "rep long, full binary")
-    rows = placed.join(wide, "rep").join(maps, "rep")
-    cross = rows.repartition("key", "block").sortWithinPartitions("key", "block", "rep").select("key", "block", "rep", "comp", "n", "sketch", "full").mapInArrow(_crossings, "a long, b long").distinct()
-    second = c.stash(confirm(cross, texts))
-    final = components(first.union(second))
+    whole = wide.drop("sketch").join(maps, "rep")
+    second = c.stash(confirm(_crossing_pairs(placed, whole, texts, True), texts))
+
+    joined = components(first.union(second)).join(reps.select("rep", "at"), "rep")
+    tops = joined.groupBy("comp").agg(F.min("at").alias("top"))
+    by_set = reps.select("f1", "f2", "n_shingles", "rep", "at").join(joined.select("rep", "comp").join(tops, "comp").select("rep", "top"), "rep", "left")
+    by_set = by_set.select("f1", "f2", "n_shingles", F.coalesce("top", "at").alias("top"))
+    out = sigs.select("doc_id", "text_hash", "n_shingles", "f1", "f2").join(by_set, ["f1", "f2", "n_shingles"], "left")
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0), F.col("top")).alias("top"))
+
 
-    by_set = reps.select("f1", "f2", "n_shingles", "rep").join(final, "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("comp", "rep").alias("component_id"))
-    out = sigs.select("doc_id", "n_shingles", "f1", "f2").join(by_set, ["f1", "f2", "n_shingles"], "left")
-    comp = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), comp).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of docs(doc_id, text)."""
+    comp = F.coalesce("top.doc_id", "doc_id")
+    return _grouped(docs).select("doc_id", "n_shingles", comp.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one row of each group of near duplicates, the one of the smallest doc_id; rows of a null doc_id all stay."""
-    found = c.stash(near_duplicates(docs))
-    drop = found.where("not kept").select(F.col("doc_id").alias("__drop")).distinct()
-    twice = found.where("kept and doc_id is not null").groupBy(F.col("doc_id").alias("__twice")).agg(F.count("*").alias("__n")).where("__n > 1").select("__twice")
-    rest = docs.join(drop, F.col("doc_id") == F.col("__drop"), "left_anti")
+    """docs with one row of each group of near duplicates, one of the smallest doc_id; rows of a null doc_id all stay, and so
+    does every text of a reused doc_id that is no near duplicate of another."""
+    found = c.stash(_grouped(docs))
+    own = F.struct("doc_id", "text_hash")
+    key = [F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")]
+    drop = found.where(F.col("top").isNotNull() & (own != F.col("top"))).select(*key).distinct()
+    twice = found.where("doc_id is not null").groupBy(*key).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
+    on = (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__hash"))
+    rest = docs.join(drop, on, "left_anti")
     if not twice.limit(1).count():
         return rest
-    again = F.col("doc_id") == F.col("__twice")
-    return rest.join(twice, again, "left_anti").unionByName(rest.join(twice, again, "left_semi").dropDuplicates(["doc_id"]))
+    again = rest.join(twice, on).dropDuplicates(["__id", "__hash"]).select(*[rest[n] for n in docs.columns])
+    return rest.join(twice, on, "left_anti").unionByName(again)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
