@@ -13,25 +13,51 @@ from pyspark.sql import functions as F
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BLOCK = 1 << 16
+_made: list[str] = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where that is unset (tests)."""
+    """The shared folder named by spark.checkpoint.dir. Where that is unset, a temporary one on a local master (as in tests);
+    an error on a cluster, whose executors do not see the driver's folders."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="quire-")
         spark.sparkContext.setCheckpointDir(where)
     return where
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new folder below the scratch folder, which Hadoop removes when the driver's JVM ends; clean_up() removes it before."""
+    path = f"{scratch_dir(spark).rstrip('/')}/quire-{uuid.uuid4().hex}"
+    where, files = _hadoop(spark, path)
+    files.mkdirs(where)
+    files.deleteOnExit(where)
+    _made.append(path)
+    return path
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove the scratch tables made so far, once all results that read them are written."""
+    while _made:
+        where, files = _hadoop(spark, _made.pop())
+        files.delete(where, True)
+
+
 def stash(df: DataFrame) -> DataFrame:
     """Write df as Parquet below the shared scratch folder and read it back.
 
     Cuts the lineage durably: a lost executor costs only the tasks that ran on it.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark).rstrip('/')}/quire-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    path = scratch_path(spark)
+    df.write.mode("append").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -6,8 +6,11 @@ doubling, and binary-searches every test suffix in it. A suffix's range of equal
 occurrences and their locations; runs on one diagonal merge into longest matches. Doubling stops once the order is
 settled or as deep as the longest search, so it is a full suffix order for every search made.
 
-The benchmark is dealt into blocks of at most `TEST_WORDS` words; each block is one pass over the documents, and blocks'
-results are merged per document. So what a task holds of the benchmark is bounded, whatever its size.
+The benchmark is dealt into blocks of at most `TEST_WORDS` words. A benchmark of one block is one pass over the documents.
+One of more is too, for a screen: a bitmap of SCREEN_BITS bits, whatever the benchmark's size, holds the hashes of all its
+windows, and only texts with a window whose bits are all set (none that matters is missed) are kept for the blocks, which
+search them one after another, each block's result written before the next is made. So driver and tasks hold one block
+and the bitmap at most; a benchmark that fills the bitmap costs time, not matches.
 
 Defined results: a null or word-less document has no words and is clean; null or empty items never occur; a null item_id
 is named by an empty string; items of equal text each count; documents with equal ids are reported row by row. Extra
@@ -17,12 +20,13 @@ test window, whatever its id, null or shared.
 
 from __future__ import annotations
 
-import functools
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +35,10 @@ from quire.llm import common as c
 WINDOW = 10
 SHARD_WORDS = 500_000
 TEST_WORDS = 500_000
+#: Size of the screen of a benchmark of several blocks, and the bits of it that each window sets.
+SCREEN_BITS, PROBES = 1 << 28, 8
+
+_STEP = np.uint64(0xD1342543DE82EF95)
 
 
 def suffix_array(words: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -129,15 +137,50 @@ def _shards(col: pa.Array, overlap: int, shard_words: int) -> Iterator[tuple[np.
         yield at, (np.concatenate(words), np.concatenate(rows), np.concatenate(places), np.diff(bounds))
 
 
-FOUND = "doc_id long, text_hash long, n_words long, hits array<struct<item:string,start:long,at:long,n:long>>, marked binary"
-
-
-def _text_hashes(words: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
-    """A hash of each row's word sequence."""
-    out = np.zeros(n, np.uint64)
-    first = np.searchsorted(row, row)
-    np.add.at(out, row, words * (np.arange(len(row)) - first + 1).astype(np.uint64))
-    return c.signed(c.mix(out))
+HITS = "array<struct<item:string,start:long,at:long,n:long>>"
+FOUND = f"doc_id long, n_words long, hits {HITS}, marked binary"
+
+
+class Screen:
+    """A bitmap over the hashes of windows of given lengths."""
+
+    def __init__(self, bits: int):
+        self.mask, self.bits, self.lens = np.uint64(bits - 1), np.zeros(-(-bits // 8), np.uint8), set()
+
+    def _probe(self, h: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """(byte, bit) of the k-th probe of each hash."""
+        x = c.mix(h + np.uint64((k + 1) * int(_STEP) % (1 << 64))) & self.mask
+        return (x >> np.uint64(3)).astype(np.int64), (x & np.uint64(7)).astype(np.uint8)
+
+    @staticmethod
+    def windows(words: np.ndarray, size: int) -> np.ndarray:
+        out = np.full(max(0, len(words) - size + 1), size, np.uint64)
+        for j in range(size if len(out) else 0):
+            out = c.mix(out) * _STEP + words[j : j + len(out)]
+        return c.mix(out)
+
+    def add(self, words: np.ndarray) -> None:
+        size = min(WINDOW, len(words))
+        if size:
+            self.lens.add(size)
+            h = self.windows(words, size)
+            for k in range(PROBES):
+                byte, bit = self._probe(h, k)
+                np.bitwise_or.at(self.bits, byte, np.uint8(1) << bit)
+
+    def may_hold(self, words: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
+        """Which of n rows may have a window of the benchmark; words of all rows, row by row."""
+        out = np.zeros(n, bool)
+        for size in self.lens:
+            h = self.windows(words, size)
+            at = np.flatnonzero(row[: len(h)] == row[size - 1 :]) if len(h) else np.empty(0, np.int64)
+            h = h[at]
+            for k in range(PROBES):
+                byte, bit = self._probe(h, k)
+                on = (self.bits[byte] >> bit) & 1 > 0
+                h, at = h[on], at[on]
+            out[row[at]] = True
+        return out
 
 
 def _finder(tests: Tests, shard_words: int):
@@ -170,8 +213,8 @@ def _finder(tests: Tests, shard_words: int):
                     for a, b in zip(head.tolist(), tail.tolist()):
                         hits[r[a]].append({"item": tests.ids[item[a]], "start": int(start[a]), "at": int(at[a]), "n": int(at[b] + size[b] - at[a])})
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, len(n)), pa.array(_text_hashes(words, row, len(n))), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.struct([("item", pa.string()), ("start", pa.int64()), ("at", pa.int64()), ("n", pa.int64())]))), pa.array(marks, pa.binary())],
-                    ["doc_id", "text_hash", "n_words", "hits", "marked"],
+                    [batch.column(0).slice(first, len(n)), pa.array(n, pa.int64()), pa.array(hits, pa.list_(pa.struct([("item", pa.string()), ("start", pa.int64()), ("at", pa.int64()), ("n", pa.int64())]))), pa.array(marks, pa.binary())],
+                    ["doc_id", "n_words", "hits", "marked"],
                 )
 
     return run
@@ -190,8 +233,8 @@ def _rows(tests: Tests, at_text: int, affected: bool):
     return run
 
 
-def test_blocks(benchmark: DataFrame) -> Iterator[Tests]:
-    """The items in blocks of at most TEST_WORDS words (an item alone may be longer), streamed to the driver as hashes."""
+def _items(benchmark: DataFrame) -> Iterator[tuple[str, np.ndarray]]:
+    """(id, word hashes) of every item, streamed to the driver."""
 
     def hashed(it):
         for batch in it:
@@ -202,14 +245,20 @@ def test_blocks(benchmark: DataFrame) -> Iterator[Tests]:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())], ["id", "words"])
 
     rows = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(hashed, "id string, words binary")
+    for r in rows.toLocalIterator():
+        yield r.id, np.frombuffer(bytes(r.words), np.uint64)
+
+
+def test_blocks(benchmark: DataFrame) -> Iterator[Tests]:
+    """The items in blocks of at most TEST_WORDS words (an item alone may be longer), made one at a time."""
     ids: list[str] = []
     parts: list[np.ndarray] = []
-    for r in rows.toLocalIterator():
-        if parts and sum(map(len, parts)) + len(r.words) // 8 > TEST_WORDS:
+    for name, words in _items(benchmark):
+        if parts and sum(map(len, parts)) + len(words) > TEST_WORDS:
             yield _tests(ids, parts)
             ids, parts = [], []
-        ids.append(r.id)
-        parts.append(np.frombuffer(bytes(r.words), np.uint64))
+        ids.append(name)
+        parts.append(words)
     if ids:
         yield _tests(ids, parts)
 
@@ -218,33 +267,70 @@ def _tests(ids: list[str], parts: list[np.ndarray]) -> Tests:
     return Tests(ids, np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64), WINDOW)
 
 
-def _union_marks(marks) -> bytes | None:
-    if not marks:
-        return None
-    width = max(len(m) for m in marks)
-    out = np.zeros(width, np.uint8)
-    for m in marks:
-        out[: len(m)] |= np.frombuffer(m, np.uint8)
-    return out.tobytes()
+def _screened(screen: Screen, at_text: int, keep_all: bool):
+    """The rows that may hold a window of the benchmark; or all rows as (doc_id, n_words, text), the text null where none can be."""
+
+    def run(it):
+        for batch in it:
+            for first, part in c.slices(batch.column(at_text), 4 << 20):
+                data, offs = c.buffers(part)
+                h, row, _ = c.word_hashes(data, offs, "alnum")
+                h[h == 0] = 1
+                may = pa.array(screen.may_hold(h, row, len(part)))
+                if not keep_all:
+                    yield batch.slice(first, len(part)).filter(may)
+                    continue
+                n = np.diff(np.searchsorted(row, np.arange(len(part) + 1)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(part)), pa.array(n, pa.int64()), pa.compute.if_else(may, part, pa.scalar(None, part.type))], ["doc_id", "n_words", "text"])
+
+    return run
+
+
+def _merged(it):
+    """One bit mask of each row's masks by block."""
+    for batch in it:
+        out = []
+        for marks in batch.column(2).to_pylist():
+            one = np.zeros(max(map(len, marks)), np.uint8)
+            for m in marks:
+                one |= np.frombuffer(m, np.uint8)
+            out.append(one.tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["row", "hits", "marked"])
+
+
+def _in_blocks(benchmark: DataFrame) -> tuple[Tests | None, Iterator[Tests] | None, Screen | None]:
+    """(the only block, None, None), or (None, all blocks in turn, the screen of all items); nothing but None without items."""
+    blocks = test_blocks(benchmark)
+    first, second = next(blocks, None), next(blocks, None)
+    if second is None:
+        return first, None, None
+    screen = Screen(SCREEN_BITS)
+    for _, words in _items(benchmark):
+        screen.add(words)
+    return None, itertools.chain([first, second], blocks), screen
+
+
+def _by_block(rows: DataFrame, blocks: Iterator[Tests], make, schema: str) -> DataFrame:
+    """rows.mapInArrow(make(block)) of all blocks, each written before the next is made."""
+    path = c.scratch_path(rows.sparkSession)
+    for block in blocks:
+        rows.mapInArrow(make(block), schema).write.mode("append").parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
 
 
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """(doc_id, n_words, hits, marked): the longest verbatim matches of each document and the bit mask of its hit words."""
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    found = [rows.mapInArrow(_finder(t, SHARD_WORDS), FOUND) for t in test_blocks(benchmark)]
-    if not found:
-        found = [rows.mapInArrow(_finder(_tests([], [np.empty(0, np.uint64)]), SHARD_WORDS), FOUND)]
-    names = ["doc_id", "n_words", "hits", "marked"]
-    if len(found) == 1:
-        return found[0].select(*names)
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    merge = F.udf(_union_marks, "binary")
-    # equal ids with equal texts have equal results, so a group stands for as many rows as it has of each block
-    copies = F.explode(F.sequence(F.lit(1), (F.col("k") / len(found)).cast("int")))
-    out = out.groupBy("doc_id", "n_words", "text_hash").agg(F.count("*").alias("k"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"), F.array_compact(F.collect_list("marked")).alias("m"))
-    return out.withColumn("marked", merge("m")).withColumn("copy", copies).select(*names)
+    only, blocks, screen = _in_blocks(benchmark)
+    if blocks is None:
+        return rows.mapInArrow(_finder(only or _tests([], [np.empty(0, np.uint64)]), SHARD_WORDS), FOUND)
+    seen = rows.mapInArrow(_screened(screen, 1, True), "doc_id long, n_words long, text string").withColumn("row", F.monotonically_increasing_id())
+    seen = c.stash(seen)
+    found = _by_block(seen.where("text is not null").select("row", "text"), blocks, lambda t: _finder(t, SHARD_WORDS), FOUND).where("marked is not null")
+    found = found.groupBy(F.col("doc_id").alias("row")).agg(F.flatten(F.collect_list("hits")).alias("hits"), F.collect_list("marked").alias("marks"))
+    found = found.mapInArrow(_merged, f"row long, hits {HITS}, marked binary")
+    out = seen.select("row", "doc_id", "n_words").join(found, "row", "left")
+    return out.select("doc_id", "n_words", F.coalesce("hits", F.array().cast(HITS)).alias("hits"), "marked")
 
 
 def _digest(it):
@@ -265,17 +351,16 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no test window, judged one by one; nothing is added or renamed.
 
-    One block of the benchmark filters the rows as they pass. Of several, each finds the rows that it affects, which then
-    go by id and text together, so no pass holds more than one block and no copy of the documents is written.
+    One block of the benchmark filters the rows as they pass. Of several, each finds the rows that it affects among those
+    that pass the screen, which then go by id and text together.
     """
-    blocks = list(test_blocks(benchmark))
-    if not blocks:
-        return docs
-    if len(blocks) == 1:
-        return docs.mapInArrow(_rows(blocks[0], docs.columns.index("text"), False), docs.schema)
-    keyed = docs.select(F.col("doc_id").alias("__id"), F.sha2(F.col("text").cast("string").cast("binary"), 256).alias("__key"), F.col("text").cast("string").alias("__text"))
-    bad = functools.reduce(DataFrame.unionByName, [keyed.mapInArrow(_rows(t, 2, True), keyed.schema).select("__id", "__key") for t in blocks]).distinct()
+    only, blocks, screen = _in_blocks(benchmark)
+    if blocks is None:
+        return docs if only is None else docs.mapInArrow(_rows(only, docs.columns.index("text"), False), docs.schema)
     own = F.sha2(F.col("text").cast("string").cast("binary"), 256)
+    keyed = docs.select(F.col("doc_id").alias("__id"), own.alias("__key"), F.col("text").cast("string").alias("__text"))
+    some = c.stash(keyed.mapInArrow(_screened(screen, 2, False), keyed.schema))
+    bad = _by_block(some, blocks, lambda t: _rows(t, 2, True), some.schema).select("__id", "__key").distinct()
     return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__id")) & (own == F.col("__key")), "left_anti")
 
 

@@ -96,6 +96,45 @@ def test_decontamination_decides_row_by_row(spark, monkeypatch, small):
     assert rows_of(D.decontaminate(a, b.limit(0))) == sorted(docs, key=str)
 
 
+def test_large_benchmark_passes_over_the_documents_once(spark, monkeypatch, tmp_path):
+    """Several blocks: one scan of the documents, and only texts with a window go on; each block sees just those."""
+    monkeypatch.setattr(D, "TEST_WORDS", 30)
+    monkeypatch.setattr(D, "SCREEN_BITS", 1 << 16)
+    docs, bench = leaked()
+    docs += [(1000 + i, " ".join(f"x{i}y{j}" for j in range(50))) for i in range(40)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "docs"))
+    a, b = spark.read.parquet(str(tmp_path / "docs")), spark.createDataFrame(bench, "item_id long, text string")
+    written, blocks, stash, by_block = [], [], D.c.stash, D._by_block
+    monkeypatch.setattr(D.c, "stash", lambda df: written.append(df) or stash(df))
+    monkeypatch.setattr(D, "_by_block", lambda rows, found, *more: by_block(rows, (blocks.append(rows) or t for t in found), *more))
+    out = D.report(a, b)
+    assert rows_of(out) == brute_decontam(docs, bench)
+    assert len(written) == 1 and written[0]._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    assert str(tmp_path) not in "".join(out.inputFiles()) and len(blocks) > 1
+    assert all("quire-" in df.inputFiles()[0] for df in blocks) and blocks[0].count() < 40
+
+
+def test_screen_misses_no_window_and_may_be_full():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    words = rng.integers(1, 50, 3000).astype(np.uint64)
+    row = np.sort(rng.integers(0, 60, 3000))
+    items = [words[a : a + n] for a, n in ((5, 10), (70, 3), (900, 14), (2000, 1))]
+    for bits in (8, 1 << 20):
+        screen = D.Screen(bits)
+        for x in items:
+            screen.add(x)
+        may = screen.may_hold(words, row, 60)
+        for x in items:
+            size = min(len(x), D.WINDOW)
+            for k in range(len(x) - size + 1):
+                for at in range(len(words) - size + 1):
+                    if row[at] == row[at + size - 1] and (words[at : at + size] == x[k : k + size]).all():
+                        assert may[row[at]]
+    assert not D.Screen(1 << 20).may_hold(words, row, 60).any()
+
+
 def test_suffix_array_is_sorted():
     import numpy as np
 
