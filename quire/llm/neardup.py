@@ -7,7 +7,8 @@ aggregate, so groups of copies cost one row from here on. (3) Within each bucket
 the bucket's leaders (the first row not yet linked); at most one confirmed link a representative results, and connected
 components follow. (4) Pairs in different components that share a bucket are all tried again: a second odd sketch, of the whole
 set, excludes most without any error, as its XOR population count never exceeds the symmetric difference; the rest are
-confirmed on full sets. So no link that could join two components stays untried.
+confirmed on full sets. First only the nearest pair of each two components in a block: one link joins them, however many
+there are; then every pair still across components. So no link that could join two components stays untried.
 
 Buckets are streamed in sorted runs of at most `BLOCK` rows; larger ones are dealt over several blocks. In step 4 the rows
 outside such a bucket's largest component visit all its blocks, while they are at most OUTSIDE: linear in the bucket. A
@@ -169,13 +170,12 @@ def _close(d: dict, i: np.ndarray, j: np.ndarray, bits: int) -> np.ndarray:
     return ok
 
 
-def _may_meet(d: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs the whole sets' sketches leave open: similarity t needs a symmetric difference of (1 - t) / (1 + t) of the sizes' sum at most."""
-    out = np.empty(len(i), bool)
+def _least_apart(d: dict, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """A lower bound of each pair's symmetric difference, from the whole sets' sketches."""
+    out = np.empty(len(i), np.int64)
     for a in range(0, len(i), 1 << 14):
         x, y = i[a : a + (1 << 14)], j[a : a + (1 << 14)]
-        least = np.bitwise_count(d["full"][x] ^ d["full"][y]).sum(axis=1, dtype=np.int64)
-        out[a : a + (1 << 14)] = least * (100 + THRESHOLD) <= (100 - THRESHOLD) * (d["n"][x] + d["n"][y])
+        out[a : a + (1 << 14)] = np.bitwise_count(d["full"][x] ^ d["full"][y]).sum(axis=1, dtype=np.int64)
     return out
 
 
@@ -189,8 +189,8 @@ def _whole_sketches(it):
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(col)), pa.array(maps, pa.binary())], ["rep", "full"])
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+def _pairs(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "b", "ca", "cb"][: len(columns)])
 
 
 def _leaders(it):
@@ -210,35 +210,64 @@ def _leaders(it):
             live = live[others[~near]]
 
 
-def _crossings(it):
-    """All pairs of a bucket's rows in different components that sizes and whole-set sketches leave open."""
-    for d in _groups(it):
-        n = len(d["group"])
-        i, step = np.arange(n), 1
-        while True:
-            i = i[i + step < n]
-            i = i[d["group"][i] == d["group"][i + step]]
-            if not len(i):
-                break
-            for part in np.array_split(i, len(i) // (1 << 16) + 1):
-                j = part + step
-                x = (d["comp"][part] != d["comp"][j]) & (d["rep"][part] != d["rep"][j])
-                part, j = part[x], j[x]
-                x = _sizes_fit(d, part, j)
-                part, j = part[x], j[x]
-                x = _may_meet(d, part, j)
-                if x.any():
-                    a, b = d["rep"][part[x]], d["rep"][j[x]]
-                    yield _pairs(np.maximum(a, b), np.minimum(a, b))
-            step += 1
+def _best(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Of rows (a, b, ca, cb, distance) the nearest of each (ca, cb)."""
+    a, b, ca, cb, near = cols
+    order = np.lexsort((b, a, near, cb, ca))
+    cols = [x[order] for x in cols]
+    new = np.ones(len(a), bool)
+    new[1:] = (cols[2][1:] != cols[2][:-1]) | (cols[3][1:] != cols[3][:-1])
+    return [x[new] for x in cols]
+
+
+def _crossings(nearest: bool):
+    """The pairs of a bucket's rows in different components that sizes and whole-set sketches leave open: similarity t needs a
+    symmetric difference of (1 - t) / (1 + t) of the sizes' sum at most. All of them, or the nearest one of each two components."""
+
+    def run(it):
+        for d in _groups(it):
+            held: list[list[np.ndarray]] = []
+            n = len(d["group"])
+            i, step = np.arange(n), 1
+            while True:
+                i = i[i + step < n]
+                i = i[d["group"][i] == d["group"][i + step]]
+                if not len(i):
+                    break
+                for part in np.array_split(i, len(i) // (1 << 16) + 1):
+                    j = part + step
+                    x = (d["comp"][part] != d["comp"][j]) & (d["rep"][part] != d["rep"][j])
+                    part, j = part[x], j[x]
+                    x = _sizes_fit(d, part, j)
+                    part, j = part[x], j[x]
+                    least, both = _least_apart(d, part, j), d["n"][part] + d["n"][j]
+                    x = least * (100 + THRESHOLD) <= (100 - THRESHOLD) * both
+                    if not x.any():
+                        continue
+                    part, j = part[x], j[x]
+                    low = d["rep"][part] < d["rep"][j]
+                    p, q = np.where(low, j, part), np.where(low, part, j)  # a is the larger number
+                    held.append([d["rep"][p], d["rep"][q], d["comp"][p], d["comp"][q], least[x] / both[x]])
+                    if sum(len(h[0]) for h in held) > 1 << 20:
+                        held = [[np.concatenate(col) for col in zip(*held)]]
+                        if nearest:
+                            held = [_best(held[0])]
+                        if not nearest or len(held[0][0]) > 1 << 19:
+                            yield _pairs(*held[0][:4])
+                            held = []
+                step += 1
+            if held:
+                cols = [np.concatenate(col) for col in zip(*held)]
+                yield _pairs(*(_best(cols) if nearest else cols)[:4])
+
+    return run
 
 
 def _confirm(it):
     """Keep the pairs whose full sets meet the threshold; a leader's set is made once for its run of rows."""
     last, kept = None, None
     for batch in it:
-        a, b = batch.column(0), batch.column(1)
-        ids = b.to_numpy()
+        ids = batch.column(1).to_numpy()
         ok = np.zeros(batch.num_rows, bool)
         for at, col in c.slices(batch.column(2)):
             for r, s in enumerate(shingle_sets(col), at):
@@ -246,14 +275,16 @@ def _confirm(it):
                     last, kept = ids[r], next(shingle_sets(batch.column(3).slice(r, 1)))
                 both = len(np.intersect1d(s, kept, assume_unique=True))
                 ok[r] = 100 * both >= THRESHOLD * (len(s) + len(kept) - both)
-        yield pa.RecordBatch.from_arrays([a, b], ["a", "b"]).filter(pa.array(ok))
+        names = [x for x in batch.schema.names if x not in ("ta", "tb")]
+        yield batch.select(names).filter(pa.array(ok))
 
 
 def confirm(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """pairs(a, b) that hold on the full texts(rep, text)."""
+    """The rows of pairs(a, b, ...) that hold on the full texts(rep, text)."""
     left = texts.select(F.col("rep").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("rep").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_confirm, "a long, b long")
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb", *pairs.columns[2:])
+    return rows.mapInArrow(_confirm, ", ".join(f"{x} long" for x in pairs.columns))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -309,8 +340,8 @@ def _by_shingle(some: DataFrame, texts: DataFrame) -> DataFrame:
     return body.mapInArrow(_heads(np.sort(frequent)), "rep long, key long")
 
 
-def _crossing_pairs(placed: DataFrame, wide: DataFrame, texts: DataFrame, by_shingle: bool) -> DataFrame:
-    """(a, b) of placed(key, rep, comp): the pairs of a bucket in different components that sizes and whole-set sketches leave open."""
+def _crossing_pairs(placed: DataFrame, wide: DataFrame, texts: DataFrame, nearest: bool, by_shingle: bool = True) -> DataFrame:
+    """(a, b, ca, cb) of placed(key, rep, comp): the pairs that `_crossings` leaves open in its buckets."""
     per = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = per.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("outside")).where("comps > 1")
     mixed = c.stash(mixed)
@@ -321,14 +352,14 @@ def _crossing_pairs(placed: DataFrame, wide: DataFrame, texts: DataFrame, by_shi
     every = F.when((F.col("comp") != F.col("main")) & (blocks > 1), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
     rows = rows.withColumn("block", F.explode(every)).join(wide, "rep")
     rows = rows.repartition("key", "block").sortWithinPartitions("key", "block", "rep").select("key", "block", "rep", "comp", "n", "full")
-    found = rows.mapInArrow(_crossings, "a long, b long")
+    found = rows.mapInArrow(_crossings(nearest), "a long, b long, ca long, cb long")
     left = mixed.where(loose).select("key")
     if by_shingle and left.limit(1).count():
         some = c.stash(placed.join(left, "key", "left_semi").select("rep", "comp").distinct())
         again = c.stash(_by_shingle(some, texts))
         shared = again.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
         again = again.join(shared, "key").join(some, "rep")
-        found = found.unionByName(_crossing_pairs(again, wide, texts, False))
+        found = found.unionByName(_crossing_pairs(again, wide, texts, nearest, False))
     return found.distinct()
 
 
@@ -350,12 +381,17 @@ def _grouped(docs: DataFrame) -> DataFrame:
     rows = members.withColumn("block", _blocks(F.col("size"), F.xxhash64("rep", "key"))).join(wide, "rep")
     near = rows.repartition("key", "block").sortWithinPartitions("key", "block", "rep").select("key", "block", "rep", "n", "sketch").mapInArrow(_leaders, "a long, b long")
     first = c.stash(confirm(near.groupBy("a").agg(F.min("b").alias("b")), texts))
-    placed = members.select("key", "rep").join(components(first), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    labels = c.stash(members.select("rep").distinct().join(components(first), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp")))
     maps = texts.select("rep", "text").mapInArrow(_whole_sketches, "rep long, full binary")
     whole = wide.drop("sketch").join(maps, "rep")
-    second = c.stash(confirm(_crossing_pairs(placed, whole, texts, True), texts))
-
-    joined = components(first.union(second)).join(reps.select("rep", "at"), "rep")
+    for nearest in (True, False):
+        open_ = _crossing_pairs(members.select("key", "rep").join(labels, "rep"), whole, texts, nearest)
+        edges = c.stash(confirm(open_, texts).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+        if edges.limit(1).count():
+            joined = components(edges).select(F.col("rep").alias("comp"), F.col("comp").alias("into"))
+            labels = c.stash(labels.join(joined, "comp", "left").select("rep", F.coalesce("into", "comp").alias("comp")))
+
+    joined = labels.join(reps.select("rep", "at"), "rep")
     tops = joined.groupBy("comp").agg(F.min("at").alias("top"))
     by_set = reps.select("f1", "f2", "n_shingles", "rep", "at").join(joined.select("rep", "comp").join(tops, "comp").select("rep", "top"), "rep", "left")
     by_set = by_set.select("f1", "f2", "n_shingles", F.coalesce("top", "at").alias("top"))
