@@ -5,9 +5,11 @@ sigmoid(b + sum w_i + sum over pairs <v_i, v_j>) over the distinct known terms o
 insult weigh more beside a mention of whom it is aimed at than either does alone.
 
 Learning uses at most SAMPLE labelled rows, chosen by hash of the id, whose term sets (not texts) come to one fitting
-task. Terms enter the model if they occur in MIN_DOCS sampled rows and their smoothed odds ratio between the labels is at
-least ODDS either way; so words that are merely frequent in long texts carry no weight. Terms that matter only in pairs
-enter by the pair: every pair of terms is tried, and both enter if the rows with both have odds that surpass those of
+task; rows count in that order while their texts stay within SAMPLE_BYTES. Terms enter the model if they occur in MIN_DOCS
+sampled rows and their smoothed odds ratio between the labels is at least ODDS either way; so words that are merely frequent in
+long texts carry no weight. With odds of LEAN either way they enter if that holds among texts of like length (the odds
+ratio pooled over classes of length by powers of two) and by more than chance: so enter insults and groups that are common in
+clean texts too. Terms that matter only in pairs enter by the pair: every pair of terms is tried, and both enter if the rows with both have odds that surpass those of
 either alone (and even odds) by ODDS, either way, and by more than chance: less than CHANCE pairs are expected to pass
 where no pair matters; near copies of a row count once in that. Hash collisions between 64-bit terms are negligible, and unknown terms are ignored.
 
@@ -22,12 +24,12 @@ import pickle
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import common as c
 
-SAMPLE, MIN_DOCS, ODDS = 12_000, 5, 4.0
+SAMPLE, SAMPLE_BYTES, MIN_DOCS, ODDS, LEAN = 12_000, 128 << 20, 5, 4.0, 2.0
 FACTORS, EPOCHS, RATE, DECAY, BATCH = 8, 12, 0.1, 1e-4, 256
 CHANCE, PAIR_BLOCK = 0.01, 512
 PREFIXES = (4, 5)
@@ -124,6 +126,39 @@ def _screened(sets: list[np.ndarray], y: np.ndarray, part: int) -> np.ndarray:
     return terms[(every >= MIN_DOCS) & ((odds >= ODDS) | (odds <= 1 / ODDS))]
 
 
+def _leaning(sets: list[np.ndarray], y: np.ndarray, part: int) -> np.ndarray:
+    """The terms of one sixteenth of the hash range with odds of LEAN among texts of like length, by more than chance (the
+    pooled odds ratio and chi-square of Mantel and Haenszel)."""
+    low, high = np.uint64(part << 60), np.uint64((part << 60) + (1 << 60) - 1)
+    own = [s[np.searchsorted(s, low) : np.searchsorted(s, high, side="right")] for s in sets]
+    flat = np.concatenate(own)
+    terms, inv, every = np.unique(flat, return_inverse=True, return_counts=True)
+    # rare terms cannot pass: even the clearest would be too likely by chance
+    least = np.log(16 * max(len(terms), 2) / CHANCE)
+    keep = every >= np.maximum(MIN_DOCS, least / -np.log(max(min(y.mean(), 1 - y.mean()), 1e-9)))
+    at = np.cumsum(keep) - 1
+    hit = keep[inv]
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in own])[hit]
+    inv, terms = at[inv[hit]], terms[keep]
+    stratum = np.array([len(s).bit_length() for s in sets])
+    up, down, excess, spread = (np.zeros(len(terms)) for _ in range(4))
+    for k in np.unique(stratum):
+        inside = stratum == k
+        n, pos = float(inside.sum()), float(y[inside].sum())
+        if n < 2 or not 0 < pos < n:
+            continue
+        x = inside[row]
+        m = np.bincount(inv[x], minlength=len(terms)).astype(float)
+        a = np.bincount(inv[x], y[row[x]], len(terms))
+        up += a * (n - pos - (m - a)) / n
+        down += (m - a) * (pos - a) / n
+        excess += a - m * pos / n
+        spread += m * pos * (n - pos) * (n - m) / (n * n * (n - 1))
+    odds = (up + 0.5) / (down + 0.5)
+    sure = np.maximum(np.abs(excess) - 0.5, 0) ** 2 >= 2 * least * spread
+    return terms[sure & (spread > 0) & ((odds >= LEAN) | (odds <= 1 / LEAN))]
+
+
 def _odds(pos: np.ndarray, every: np.ndarray, n_pos: int, n: int) -> np.ndarray:
     p, q = (pos + 0.5) / (n_pos + 1), (every - pos + 0.5) / (n - n_pos + 1)
     return (p / (1 - p)) / (q / (1 - q))
@@ -160,10 +195,15 @@ def _distinct(sets: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def _witnesses(sets: list[np.ndarray], y: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """The rows of each label without near copies."""
+    high, low = _distinct([s for s, t in zip(sets, y) if t]), _distinct([s for s, t in zip(sets, y) if not t])
+    return [*high, *low], np.repeat([1, 0], [len(high), len(low)])
+
+
 def _paired(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """The terms that enter the model by a pair. All pairs that could pass are counted; blocks of terms keep that small."""
-    high, low = _distinct([s for s, t in zip(sets, y) if t]), _distinct([s for s, t in zip(sets, y) if not t])
-    sets, y = [*high, *low], np.repeat([1, 0], [len(high), len(low)])
+    sets, y = _witnesses(sets, y)
     n, n_pos = len(sets), int(y.sum())
     rate = n_pos / n
     high, n_high = np.unique(np.concatenate([s for s, t in zip(sets, y) if t]), return_counts=True)
@@ -241,7 +281,9 @@ def fit_sample(sets: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
     none = FactorizationMachine(np.empty(0, np.uint64), float(np.log((rate + 1e-9) / (1 - rate + 1e-9))))
     if not 0 < rate < 1:
         return none
-    terms = np.union1d(np.concatenate([_screened(sets, y, part) for part in range(16)]), _paired(sets, y))
+    alone = [_screened(sets, y, part) for part in range(16)]
+    some, marks = _witnesses(sets, y)
+    terms = np.union1d(np.concatenate([*alone, *(_leaning(some, marks, part) for part in range(16))]), _paired(sets, y))
     if not len(terms):
         return none
     model = FactorizationMachine(terms, none.b)
@@ -251,11 +293,17 @@ def fit_sample(sets: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, mod: int, held: int, sample: int) -> DataFrame:
     """(k, y, text) of at most `sample` labelled rows outside the held-out remainder, chosen by hash of the id; of repeated
-    ids the smallest text counts. The chosen ids are broadcast: `sample` of them, some 12 bytes each, so only their texts move."""
+    ids the smallest text counts. The chosen ids are broadcast: `sample` of them, some 12 bytes each, so only their texts move.
+    In the order of that hash, rows count while their texts stay within SAMPLE_BYTES; so the fitting task's memory has a bound."""
     marks = labels.where(f"doc_id is not null and {label} is not null").groupBy(F.col("doc_id").cast("long").alias("k")).agg(F.max(label).cast("int").alias("y"))
     marks = marks.where(c.crc_mod(F.col("k"), mod) != held)
     chosen = marks.orderBy(F.xxhash64("k"), "k").limit(sample)
-    return docs.select(F.col("doc_id").cast("long").alias("k"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "k").groupBy("k", "y").agg(F.min("text").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("k"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "k")
+    rows = c.stash(rows.groupBy("k", "y").agg(F.min("text").alias("text")))
+    # one small task orders at most `sample` pairs of id and size
+    upto = F.sum("n").over(Window.orderBy(F.xxhash64("k"), "k").rowsBetween(Window.unboundedPreceding, 0))
+    sizes = rows.select("k", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).withColumn("upto", upto)
+    return rows.join(F.broadcast(sizes.where(F.col("upto") <= SAMPLE_BYTES).select("k")), "k")
 
 
 def learn(docs: DataFrame, labels: DataFrame) -> FactorizationMachine:

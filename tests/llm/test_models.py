@@ -210,8 +210,7 @@ def test_raw_score_is_the_definition():
         assert abs(m.raw([np.array(r, int)])[0] - want) < 1e-9
 
 
-def test_toxicity_learns_and_rejects(spark, monkeypatch):
-    monkeypatch.setattr(X, "ODDS", 1.5)
+def test_toxicity_learns_and_rejects(spark):
     docs, labels, truth = frames(spark)
     model = X.learn(docs, labels)
     got = {r.doc_id: r.score for r in X.score(docs, model).collect()}
@@ -248,6 +247,74 @@ def test_terms_that_matter_only_in_pairs_are_learned():
     assert (found == np.isin(kinds, ["slur", "pair"])).all()
 
 
+def auc(score, y):
+    rank = np.empty(len(y))
+    rank[np.argsort(score, kind="stable")] = np.arange(len(y))
+    pos = y.sum()
+    return (rank[y == 1].sum() - pos * (pos - 1) / 2) / (pos * (len(y) - pos))
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5])
+def test_ten_insults_and_ten_groups(share):
+    """Toxic only when any of ten insults meets any of ten groups, each as common in clean rows as chance has it."""
+    rng = random.Random(1)
+    names = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(20)]
+
+    def rows(n):
+        texts, y = [], []
+        for _ in range(n):
+            w = [f"word{rng.randrange(300)}" for _ in range(rng.randrange(20, 60))]
+            insult, group = rng.random() < share, rng.random() < share
+            w += rng.choices(names[:10], k=insult) + rng.choices(names[10:], k=group)
+            rng.shuffle(w)
+            texts.append(" ".join(w))
+            y.append(int(insult and group))
+        return X.term_sets(pa.array(texts)), np.array(y)
+
+    sets, y = rows(6000)
+    model = X.fit_sample(sets, y)
+    held, z = rows(3000)
+    ids = [model.ids(s[model.known(s)]) for s in held]
+    assert auc(model.raw(ids), z) >= 0.95
+    model.v[:] = 0  # the additive part alone is worse
+    assert auc(model.raw(ids), z) < auc_of_pairs(held, z, names) + 0.01
+
+
+def auc_of_pairs(held, z, names):
+    """What the two counts, added up, can tell."""
+    insult, group = (np.isin(np.concatenate(X.term_sets(pa.array(some))), np.concatenate(held)) for some in (names[:10], names[10:]))
+    assert insult.all() and group.all()
+    parts = [np.unique(np.concatenate(X.term_sets(pa.array(some)))) for some in (names[:10], names[10:])]
+    return auc(np.array([float(np.isin(s, parts[0]).any()) + float(np.isin(s, parts[1]).any()) for s in held]), z)
+
+
+def test_words_of_long_texts_do_not_enter():
+    """Toxic rows are longer here, so each common word is in more of them; none of these tells anything."""
+    rng = random.Random(5)
+    texts, y = [], []
+    for _ in range(4000):
+        toxic = rng.random() < 0.2
+        w = [f"{rng.choice('abcdefghij')}{rng.randrange(40)}" for _ in range(rng.choice((120, 150)) if toxic else rng.choice((30, 40, 140)))]
+        texts.append(" ".join([*w, *["slurred"] * toxic]))
+        y.append(int(toxic))
+    sets = X.term_sets(pa.array(texts))
+    found = np.concatenate([X._leaning(sets, np.array(y), part) for part in range(16)])
+    slur = X.term_sets(pa.array(["slurred"]))[0]
+    assert np.isin(slur, found).all() and len(found) == len(slur)
+
+
+def test_training_rows_are_bounded_in_bytes(spark, monkeypatch):
+    monkeypatch.setattr(X, "SAMPLE_BYTES", 1000)
+    docs = spark.createDataFrame([(i, "x" * 100 if i % 7 else None) for i in range(60)], "doc_id long, text string")
+    rows = X.labelled(docs, spark.createDataFrame([(i, 1, i % 2) for i in range(60)], LABELS), "toxic", 5, 0, 40).collect()
+    assert sum(len(r.text or "") for r in rows) == 1000 and len(rows) <= 40 and rows_again(spark, docs) == {r.k for r in rows}
+
+
+def rows_again(spark, docs):
+    marks = spark.createDataFrame([(i, 1, i % 2) for i in range(60)], LABELS)
+    return {r.k for r in X.labelled(docs.repartition(3), marks, "toxic", 5, 0, 40).collect()}
+
+
 def test_pair_counts_equal_brute_force(monkeypatch):
     """Both ways of counting and both directions, over blocks smaller than the vocabulary."""
     monkeypatch.setattr(X, "PAIR_BLOCK", 7)
