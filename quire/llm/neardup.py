@@ -190,7 +190,7 @@ def _whole_sketches(it):
 
 
 def _pairs(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["a", "b", "ca", "cb"][: len(columns)])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["a", "b", "ca", "cb", "near"][: len(columns)])
 
 
 def _leaders(it):
@@ -253,12 +253,12 @@ def _crossings(nearest: bool):
                         if nearest:
                             held = [_best(held[0])]
                         if not nearest or len(held[0][0]) > 1 << 19:
-                            yield _pairs(*held[0][:4])
+                            yield _pairs(*held[0])
                             held = []
                 step += 1
             if held:
                 cols = [np.concatenate(col) for col in zip(*held)]
-                yield _pairs(*(_best(cols) if nearest else cols)[:4])
+                yield _pairs(*(_best(cols) if nearest else cols))
 
     return run
 
@@ -340,8 +340,8 @@ def _by_shingle(some: DataFrame, texts: DataFrame) -> DataFrame:
     return body.mapInArrow(_heads(np.sort(frequent)), "rep long, key long")
 
 
-def _crossing_pairs(placed: DataFrame, wide: DataFrame, texts: DataFrame, nearest: bool, by_shingle: bool = True) -> DataFrame:
-    """(a, b, ca, cb) of placed(key, rep, comp): the pairs that `_crossings` leaves open in its buckets."""
+def _open_pairs(placed: DataFrame, wide: DataFrame, texts: DataFrame, nearest: bool, by_shingle: bool = True) -> DataFrame:
+    """(a, b, ca, cb, near) of placed(key, rep, comp): what `_crossings` leaves open in its buckets."""
     per = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = per.groupBy("key").agg(F.count("*").alias("comps"), F.max_by("comp", F.struct("n", "comp")).alias("main"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("outside")).where("comps > 1")
     mixed = c.stash(mixed)
@@ -352,15 +352,24 @@ def _crossing_pairs(placed: DataFrame, wide: DataFrame, texts: DataFrame, neares
     every = F.when((F.col("comp") != F.col("main")) & (blocks > 1), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(own))
     rows = rows.withColumn("block", F.explode(every)).join(wide, "rep")
     rows = rows.repartition("key", "block").sortWithinPartitions("key", "block", "rep").select("key", "block", "rep", "comp", "n", "full")
-    found = rows.mapInArrow(_crossings(nearest), "a long, b long, ca long, cb long")
+    found = rows.mapInArrow(_crossings(nearest), "a long, b long, ca long, cb long, near double")
     left = mixed.where(loose).select("key")
     if by_shingle and left.limit(1).count():
         some = c.stash(placed.join(left, "key", "left_semi").select("rep", "comp").distinct())
         again = c.stash(_by_shingle(some, texts))
         shared = again.groupBy("key").agg(F.count("*").alias("k")).where("k > 1").select("key")
         again = again.join(shared, "key").join(some, "rep")
-        found = found.unionByName(_crossing_pairs(again, wide, texts, nearest, False))
-    return found.distinct()
+        found = found.unionByName(_open_pairs(again, wide, texts, nearest, False))
+    return found
+
+
+def _crossing_pairs(placed: DataFrame, wide: DataFrame, texts: DataFrame, nearest: bool) -> DataFrame:
+    """(a, b, ca, cb): the open pairs, each once, or the nearest one of each two components over all buckets."""
+    found = _open_pairs(placed, wide, texts, nearest)
+    if not nearest:
+        return found.select("a", "b", "ca", "cb").distinct()
+    best = F.min(F.struct("near", "a", "b", "ca", "cb")).alias("x")
+    return found.groupBy(F.least("ca", "cb").alias("l"), F.greatest("ca", "cb").alias("g")).agg(best).select("x.a", "x.b", "x.ca", "x.cb")
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
