@@ -1,37 +1,46 @@
 """Approximate nearest neighbours by a robust-pruned directed graph in each shard.
 
-Vectors are dealt by a hash of the id over shards of about SHARD_ROWS rows. Each shard's task builds its graph: points
-enter in batches that double in size; a greedy beam search over the graph so far proposes each point's neighbours; relaxed
-distance pruning keeps a neighbour c only if no kept neighbour p has ALPHA * d(p, c) <= d(point, c), so edges stay diverse;
-reverse edges are added and a node of too many is pruned the same way. A second pass over all points refines the graph. Searches start at ENTRIES
-points far apart.
-Queries come in blocks; every (shard, block) is one beam search of width QUERY_BEAM over that shard, whose best k go on, and
-the k best of all shards are kept per query. Copies of one vector within a shard are one node that holds all their ids.
+Vectors are dealt to cells by their nearest of at most CELLS centroids, fitted on a bounded sample (CENTRE_ROWS rows of
+CENTRE_BYTES); a cell of more than SHARD_ROWS rows (or SHARD_BYTES) is dealt over shards by a hash of the id. Each shard's task
+builds its graph: points enter in batches that double in size; a greedy beam search over the graph so far proposes each point's
+neighbours; relaxed distance pruning keeps a neighbour c only if no kept neighbour p has ALPHA * d(p, c) <= d(point, c), so
+edges stay diverse; reverse edges are added and a node of too many is pruned the same way. A second pass over all points
+refines the graph. Searches start at ENTRIES points far apart. Copies of one vector within a shard are one node that holds
+all their ids.
+
+A query visits the shards of its nearest cells, as many as the data ask for: CALIBRATION queries are answered exactly over all
+rows, and the cells to visit are the fewest that hold COVER of the neighbours so found. Clustered vectors need few,
+vectors without structure all of them. A search of width QUERY_BEAM in each shard gives its best k, and the k best of all
+shards are kept. No task holds more than a shard and QUERY_ROWS queries: a shard with more builds its graph once for each such part.
 
 Distances in the graph are Euclidean on unit vectors, which order as the cosine does. Scores are recomputed in double
 precision on the original vectors, for the beam's k + SLACK best nodes.
 
 Defined results: vectors that are null, of length zero, or hold null or non-finite components take no part; vectors of
-different dimensions never meet; a query is not its own candidate, rows of another id with an equal vector are; ties go
-to the smaller id; of rows with one id and equal vectors, each counts once. A query without candidates has no rows.
-Extra columns are ignored.
+different dimensions never meet (those of another than the most common dimension have one cell each); a query is not its own
+candidate, rows of another id with an equal vector are; ties go to the smaller id; of rows with one id and equal vectors, each
+counts once. A query without candidates has no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm import common as c
 
-SHARD_ROWS, QUERY_BLOCK = 4096, 2048
+SHARD_ROWS, SHARD_BYTES, QUERY_ROWS = 16384, 64 << 20, 32768
+CELLS, CENTRE_ROWS, CENTRE_BYTES, ROUNDS = 2048, 16384, 32 << 20, 6
+CALIBRATION, COVER = 256, 0.99
 DEGREE, BEAM, ALPHA, SLACK, PASSES, ENTRIES = 32, 64, 1.2, 8, 2, 24
 #: Width of a query's beam; building uses BEAM.
-QUERY_BEAM = 160
+QUERY_BEAM = 192
 TOP = 5
 
 
@@ -209,31 +218,133 @@ class Shard:
                 yield int(i), x, -s
 
 
+def _matrix(col: pa.Array, dim: int) -> np.ndarray:
+    return col.flatten().to_numpy().reshape(len(col), dim)
+
+
+def centres(sample: np.ndarray, k: int) -> np.ndarray:
+    """k centroids of the unit vectors of a sample by Lloyd's rounds from its first rows."""
+    x = _unit(sample).astype(np.float32)
+    mid = x[:k].copy()
+    for _ in range(ROUNDS):
+        own = _nearest(x, mid, 1)[:, 0]
+        n = np.bincount(own, minlength=k)
+        total = np.zeros_like(mid)
+        np.add.at(total, own, x)
+        mid[n > 0] = total[n > 0] / n[n > 0, None]
+    return mid
+
+
+def _nearest(x: np.ndarray, mid: np.ndarray, k: int) -> np.ndarray:
+    """The k nearest centroids of each row, nearest first."""
+    out = []
+    for part in np.array_split(x, max(1, len(x) >> 12)):
+        d = (mid * mid).sum(axis=1) - 2 * (part @ mid.T)
+        out.append(np.argmin(d, axis=1)[:, None] if k == 1 else np.argsort(d, axis=1, kind="stable")[:, :k])
+    return np.concatenate(out)
+
+
+def _placing(mid: np.ndarray, dim: int, visits: int):
+    """(id, v, cells): each row's `visits` nearest cells."""
+
+    def run(it):
+        for batch in it:
+            if batch.num_rows:
+                cells = _nearest(_unit(_matrix(batch.column(1), dim)).astype(np.float32), mid, visits).astype(np.int32)
+                lists = pa.ListArray.from_arrays(np.arange(0, cells.size + 1, cells.shape[1], dtype=np.int32), pa.array(cells.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["id", "v", "cells"])
+
+    return run
+
+
+def _exact(ids: np.ndarray, q: np.ndarray, dim: int, k: int):
+    """(query, cell, score): each query's k nearest of a batch, by all distances."""
+    unit = _unit(q)
+
+    def run(it):
+        for batch in it:
+            if not batch.num_rows:
+                continue
+            score = unit @ _unit(_matrix(batch.column(1), dim)).T
+            score[ids[:, None] == batch.column(0).to_numpy()[None, :]] = -np.inf
+            top = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            value = np.take_along_axis(score, top, 1)
+            r, j = np.nonzero(np.isfinite(value))
+            cells = batch.column(2).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(r.astype(np.int32)), pa.array(cells[top[r, j]]), pa.array(value[r, j])], ["query", "cell", "score"])
+
+    return run
+
+
+def _visits(rows: DataFrame, asked: DataFrame, mid: np.ndarray, dim: int, k: int) -> int:
+    """How many nearest cells hold COVER of the neighbours of a sample of queries."""
+    sample = asked.orderBy(F.xxhash64("id"), "id").limit(CALIBRATION).select("id", "v").collect()
+    if not sample:
+        return 1
+    ids, q = np.array([r.id for r in sample]), np.array([r.v for r in sample])
+    found = rows.select("id", "v", "cell").mapInArrow(_exact(ids, q, dim, k), "query int, cell int, score double")
+    best = Window.partitionBy("query").orderBy(F.desc("score"), "cell")
+    found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query", "cell").collect()
+    place = np.argsort(_nearest(_unit(q).astype(np.float32), mid, len(mid)), axis=1)  # of each cell in each query's order
+    ranks = np.sort([place[r["query"], r.cell] for r in found])
+    return int(ranks[min(len(ranks) - 1, math.ceil(COVER * len(ranks)) - 1)]) + 1 if len(ranks) else 1
+
+
 def _task(k: int):
-    def run(key, shard: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
+    def run(key, shard: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out: list = []
-        if len(shard) and len(blocks):
+        if len(shard) and len(queries):
             built = Shard(shard["id"].to_numpy(), np.stack(shard["v"].to_numpy()))
-            for ids, v in zip(blocks["ids"], blocks["vs"]):
-                out += built.top(np.asarray(ids), np.stack([np.asarray(x) for x in v]), k)
+            out += built.top(queries["id"].to_numpy(), np.stack(queries["v"].to_numpy()), k)
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
     return run
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = TOP, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def _spread(spark, n: int) -> DataFrame:
+    """(slot, key): a key for each of n slots that hash partitioning over n partitions puts into a partition of its own."""
+    if n > 1 << 20:
+        return spark.range(n).select(F.col("id").alias("slot"), F.col("id").cast("int").alias("key"))
+    tried = spark.range(n * (16 + n.bit_length()), numPartitions=1).select(F.col("id").cast("int").alias("key"))
+    own = tried.groupBy(F.pmod(F.hash("key"), F.lit(n)).alias("slot")).agg(F.min("key").alias("key"))
+    # a slot that no try fell into, which is rare, shares a partition
+    return spark.range(n).select(F.col("id").alias("slot")).join(own, "slot", "left").select("slot", F.coalesce("key", (-1 - F.col("slot")).cast("int")).alias("key"))
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = TOP, shard_rows: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest among the other rows."""
-    rows = c.stash(usable(vectors))
-    n = rows.count()
-    shards = max(1, -(-n // shard_rows))
-    data = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    asked = rows.where(is_query)
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    packed = asked.groupBy("dim", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list("id").alias("ids"), F.collect_list("v").alias("vs"))
-    packed = packed.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).select("dim", "shard", "ids", "vs")
-    # a partition a shard: adaptive planning would put several of these small but slow shards into one task
-    data, packed = (x.repartition(shards, "dim", "shard") for x in (data, packed))
-    found = data.groupBy("dim", "shard").cogroup(packed.groupBy("dim", "shard")).applyInPandas(_task(k), "query_id long, vec_id long, score double")
+    spark = vectors.sparkSession
+    rows = c.stash(usable(vectors).withColumn("asked", is_query))
+    sizes = rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
+    dim, n = (sizes[0].dim, sizes[0].n) if sizes else (1, 0)
+    most = shard_rows or max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * dim)))
+    common = rows.where(F.col("dim") == dim)
+    cells, visits = min(CELLS, -(-n // most)), 1
+    one = F.when(F.col("dim") == dim, 0).otherwise(-F.col("dim"))
+    data, asked = rows.select("id", "v", one.alias("cell")), rows.where("asked").select("id", "v", one.alias("cell"))
+    if cells > 1:
+        sample = common.orderBy(F.xxhash64("id"), "id").limit(max(cells, min(CENTRE_ROWS, CENTRE_BYTES // (8 * dim)))).select("v").collect()
+        mid = centres(np.array([r.v for r in sample]), cells)
+        placed = common.select("id", "v").mapInArrow(_placing(mid, dim, 1), "id long, v array<double>, cells array<int>")
+        placed = c.stash(placed.select("id", "v", F.col("cells")[0].alias("cell")))
+        visits = _visits(placed, common.where("asked"), mid, dim, k)
+        routed = common.where("asked").select("id", "v").mapInArrow(_placing(mid, dim, visits), "id long, v array<double>, cells array<int>")
+        rest = F.col("dim") != dim
+        data = placed.unionByName(rows.where(rest).select("id", "v", one.alias("cell")))
+        asked = routed.select("id", "v", F.explode("cells").alias("cell")).unionByName(rows.where(rest & F.col("asked")).select("id", "v", one.alias("cell")))
+    # a cell's shards, and how many parts of its queries each serves
+    room = lambda col, size: F.ceil(col / F.lit(size)).cast("int")
+    per = data.groupBy("cell").agg(room(F.count("*"), most).alias("shards")).join(asked.groupBy("cell").agg(room(F.count("*"), QUERY_ROWS).alias("parts")), "cell")
+    per = c.stash(per.withColumn("base", F.sum(F.col("shards") * F.col("parts")).over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))).na.fill(0, ["base"]))
+    slots = per.agg(F.sum(F.col("shards") * F.col("parts"))).first()[0] or 1
+    keys = c.stash(_spread(spark, slots))
+    pick = lambda count, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col(count)).cast("int")
+    every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+    data = data.join(per, "cell").withColumn("s", pick("shards", 1)).withColumn("p", every("parts"))
+    asked = asked.join(per, "cell").withColumn("p", pick("parts", 2)).withColumn("s", every("shards"))
+    slot = F.col("base") + F.col("s") * F.col("parts") + F.col("p")
+    data, asked = (x.withColumn("slot", slot).join(keys, "slot").select(*[F.col(n).alias(n) for n in ("key", "id", "v")]).repartition(slots, "key") for x in (data, asked))
+    found = data.groupBy("key").cogroup(asked.groupBy("key")).applyInPandas(_task(k), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -48,6 +48,54 @@ def test_search_recall_and_ties(spark):
     assert [i for i, _ in got[0]] == [1000, 1001, 1002, 1003, 1004] and all(abs(s - 1) < 1e-12 for _, s in got[0])
 
 
+@pytest.mark.parametrize("kind", ["uniform", "clustered"])
+def test_recall_of_full_shards(kind):
+    """Shards beyond the beam's reach: recall against brute force, and how few distances a search computes."""
+    rng = np.random.default_rng(9)
+    n = 6000
+    unit = lambda x: (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    middle = rng.normal(size=(60, 48))
+    x = unit(rng.normal(size=(n, 48)) if kind == "uniform" else middle[rng.integers(0, 60, n)] + 0.3 * rng.normal(size=(n, 48)))
+    q = unit(x[rng.integers(0, n, 150)] + 0.1 * rng.normal(size=(150, 48)))
+    graph = A.Graph(x)
+    tried = []
+    near = graph._near
+    graph._near = lambda a, b: tried.append(int((b >= 0).sum())) or near(a, b)
+    found, want = graph.best(q, 5), np.argsort(-(q @ x.T), axis=1)[:, :5]
+    assert np.mean([len({*a} & {*b}) / 5 for a, b in zip(found.tolist(), want.tolist())]) >= 0.97
+    assert sum(tried) / (150 * n) < (0.6 if kind == "uniform" else 0.3)
+
+
+@pytest.mark.parametrize("kind", ["uniform", "clustered", "hot"])
+def test_routed_search_recall(spark, monkeypatch, kind):
+    """Many cells, some dealt over shards, query parts: clustered vectors visit few cells, others all; recall holds."""
+    rng = np.random.default_rng(12)
+    n, visited = 3000, []
+    middle = rng.normal(size=(40, 24))
+    own = rng.integers(0, 40, n) if kind == "clustered" else np.where(rng.random(n) < 0.4, 0, 1)
+    x = rng.normal(size=(n, 24)) if kind == "uniform" else middle[own] + (0.1 if kind == "clustered" else np.where(own == 0, 0.05, 1)[:, None]) * rng.normal(size=(n, 24))
+    rows = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)] + [(5000 + i, [1.0, 2.0, float(i)]) for i in range(30)]
+    visits = A._visits
+    monkeypatch.setattr(A, "_visits", lambda *a: visited.append(visits(*a)) or visited[-1])
+    monkeypatch.setattr(A, "QUERY_ROWS", 40)
+    df = spark.createDataFrame([(i, v, 0, 1, "x") for i, v in rows], VEC)
+    got = {}
+    for r in A.search(df, F.col("id") % 10 == 0, shard_rows=250).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = brute_top(rows, lambda q: q % 10 == 0, 5)
+    hit = sum(len(got[q] & {i for _, i in want[q]}) for q in want)
+    assert hit >= 0.95 * sum(map(len, want.values())) and all(len(got[q]) == 5 for q in want)
+    assert visited[0] <= 3 if kind == "clustered" else visited[0] > 3 if kind == "uniform" else True
+    assert all(got[q] <= set(range(5000, 5030)) for q in want if q >= 5000)
+
+
+def test_each_shard_has_a_partition_of_its_own(spark):
+    for n in (1, 7, 200):
+        keys = [r.key for r in A._spread(spark, n).collect()]
+        parts = [r[0] for r in spark.createDataFrame([(k,) for k in keys], "key int").select(F.pmod(F.hash("key"), F.lit(n))).collect()]
+        assert len(keys) == n and len(set(parts)) >= 0.99 * n
+
+
 def test_search_of_awkward_vectors(spark):
     rows = [(0, [1.0, 0.0]), (50, [0.0, 0.0]), (100, None), (1, [2.0, 0.0]), (2, [float("nan"), 1.0]), (3, [1.0, None]), (4, [1.0, float("inf")]), (5, [1.0, 1.0, 1.0]), (None, [1.0, 1.0]), (6, [0.0, 3.0]), (150, [1.0, 1.0, 0.0]), (7, [])]
     df = spark.createDataFrame([(i, v, None, None, None) for i, v in rows], VEC)
