@@ -28,8 +28,14 @@ def tail_newlines(x: Column) -> Column:
     return F.length(x) - F.length(strip_end_newlines(x))
 
 
+def clipped(x: Column, n: int) -> Column:
+    """At most n characters of a text, for messages."""
+    return F.left(x, F.lit(n))
+
+
 def without_bom(x: Column) -> Column:
-    return F.regexp_replace(x, "^﻿", "")
+    """Up to two byte-order marks go: one of the encoding, one that was written as text."""
+    return F.regexp_replace(x, "^﻿{1,2}", "")
 
 
 def line_ending(x: Column) -> Column:
@@ -51,7 +57,3 @@ def han_only(x: Column) -> Column:
 def is_symbol_or_short(x: Column) -> Column:
     """Lines of at most 3 code points, or without letters and digits."""
     return (F.length(x) <= 3) | x.rlike(r"^[^\p{L}\p{N}]+\z")
-
-
-def round_half_even(x: Column) -> Column:
-    return F.bround(x, 0)

@@ -1,12 +1,15 @@
 """Context for a part: note sections and glossary terms that occur in it, under a budget of characters.
 
-sections: (file, prio, ord, heading, body); terms: (src_term, tgt_term); parts: (key, part_idx, text). Notes are small and
-written by hand; they are broadcast only when Spark's size estimate stays under its threshold, which the join decides.
+sections: (file, prio, ord, heading, body); terms: (src_term, tgt_term); parts: (key, part_idx, text). All keys of sections
+and terms are looked for in one pass over the parts, by an automaton over them, while they are at most NEEDLES of
+NEEDLE_CHARS characters together, which is counted first. More of them meet the parts by an equi-join on their first
+characters. Neither way compares every part with every key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.config import ContextLimits
@@ -40,28 +43,89 @@ def md_terms(sections: DataFrame) -> DataFrame:
     return rows.select("ord", "ln", F.col("c")[0].alias("src_term"), F.col("c")[1].alias("tgt_term"))
 
 
+#: What tasks take as an automaton at most; length of the prefixes that join beyond it.
+NEEDLES, NEEDLE_CHARS, PREFIX = 100_000, 8_000_000, 4
+
+
+def occurring(parts: DataFrame, needles: DataFrame, key: str = "source") -> DataFrame:
+    """(key, part_idx, k, in_han): which needles(k) occur in a part's text, and (in_han) which in its Han projection."""
+    names = needles.select("k").where("k <> ''").distinct()
+    size = names.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length("k")), F.lit(0)).alias("chars")).first()
+    hay = parts.select(key, "part_idx", F.col("text").cast("string").alias("text"), T.han_only(F.col("text")).alias("han"))
+    if size.n <= NEEDLES and size.chars <= NEEDLE_CHARS:
+        try:
+            import ahocorasick  # noqa: F401
+
+            return _by_automaton(hay, [r.k for r in names.collect()], key)
+        except ImportError:
+            pass
+    return _by_prefix(hay, names, key)
+
+
+def _by_automaton(hay: DataFrame, names: list[str], key: str) -> DataFrame:
+    kind = hay.schema[key].dataType.simpleString()
+
+    def run(it):
+        import ahocorasick
+
+        words = ahocorasick.Automaton()
+        for i, k in enumerate(names):
+            words.add_word(k, i)
+        words.make_automaton()
+        for batch in it:
+            for at in range(batch.num_rows):
+                for in_han in (False, True):
+                    text = batch.column(3 if in_han else 2)[at].as_py()
+                    found = sorted({i for _, i in words.iter(text)}) if text and names else []
+                    if found:
+                        part, n = batch.slice(at, 1), len(found)
+                        same = pa.array([0] * n)
+                        yield pa.RecordBatch.from_arrays([part.column(0).take(same), part.column(1).take(same), pa.array([names[i] for i in found]), pa.array([in_han] * n)], [key, "part_idx", "k", "in_han"])
+
+    return hay.mapInArrow(run, f"{key} {kind}, part_idx int, k string, in_han boolean")
+
+
+def _by_prefix(hay: DataFrame, names: DataFrame, key: str) -> DataFrame:
+    out = None
+    for in_han, column in ((False, "text"), (True, "han")):
+        for size in range(1, PREFIX + 1):
+            grams = F.array_distinct(F.regexp_extract_all(column, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+            some = names.where(F.length("k") == size) if size < PREFIX else names.where(F.length("k") >= size)
+            rows = hay.select(key, "part_idx", F.explode(grams).alias("gram")).join(some.select("k", F.left("k", F.lit(size)).alias("gram")), "gram")
+            rows = rows.join(hay.select(key, "part_idx", F.col(column).alias("whole")), [key, "part_idx"]).where(F.contains("whole", "k"))
+            rows = rows.select(key, "part_idx", "k", F.lit(in_han).alias("in_han"))
+            out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _bare(heading: Column) -> Column:
+    return F.split_part(F.split_part(heading, F.lit("（"), F.lit(1)), F.lit("("), F.lit(1))
+
+
 def context_hits(parts: DataFrame, sections: DataFrame, terms: DataFrame | None = None, key: str = "source") -> DataFrame:
     """(key, part_idx, file, prio, ord, heading, body) of the sections whose heading, its part before a bracket, or for
     terms.md any source term, occurs in the part or in its Han projection."""
     base = sections.where("heading <> ''")
-    keys = base.select("file", "ord", F.explode(F.array_distinct(F.array("heading", F.split_part(F.split_part("heading", F.lit("（"), F.lit(1)), F.lit("("), F.lit(1))))).alias("k"))
+    keys = base.select("file", "ord", F.explode(F.array_distinct(F.array("heading", _bare(F.col("heading"))))).alias("k"))
     if terms is not None:
-        keys = keys.unionByName(base.where("file = 'terms.md'").select("file", "ord").crossJoin(terms.select(F.col("src_term").alias("k"))))
-    found = _containing(parts, keys.where("k <> ''"), key).select(key, "part_idx", "file", "ord").distinct()
-    return found.join(base, ["file", "ord"]).select(key, "part_idx", "file", "prio", "ord", "heading", "body")
-
-
-def _containing(parts: DataFrame, keys: DataFrame, key: str) -> DataFrame:
-    """parts x keys(k, ...) where the part's text, or its Han projection, contains k."""
-    hay = parts.select(key, "part_idx", "text", T.han_only(F.col("text")).alias("han"))
-    return hay.join(keys, F.contains("text", "k") | F.contains("han", "k"))
+        # a term stands for all sections of terms.md at once; they are joined by file below
+        keys = keys.unionByName(terms.select(F.lit("terms.md").alias("file"), F.lit(None).cast("int").alias("ord"), F.col("src_term").alias("k")))
+    found = occurring(parts, keys, key).join(keys.distinct(), "k").select(key, "part_idx", "file", "ord").distinct()
+    whole = base.select("file", "prio", "ord", "heading", "body")
+    one = found.where("ord is not null").join(whole, ["file", "ord"])
+    every = found.where("ord is null").drop("ord").join(whole, "file")
+    out = one.select(key, "part_idx", "file", "prio", "ord", "heading", "body")
+    return out if terms is None else out.unionByName(every.select(*out.columns)).distinct()
 
 
 def gloss_hits(parts: DataFrame, terms: DataFrame, key: str = "source") -> DataFrame:
     """(key, part_idx, src_term, tgt_term) of the terms that occur in a part, or whose Han characters occur in its Han projection."""
-    hay = parts.select(key, "part_idx", "text", T.han_only(F.col("text")).alias("han"))
-    t = terms.where("src_term <> ''").select("src_term", "tgt_term", T.han_only(F.col("src_term")).alias("k"))
-    return hay.join(t, F.contains("text", "src_term") | ((F.col("k") != "") & F.contains("han", "k"))).select(key, "part_idx", "src_term", "tgt_term")
+    t = terms.where("src_term <> ''").select("src_term", "tgt_term")
+    keys = t.select("src_term", "tgt_term", F.col("src_term").alias("k"), F.lit(False).alias("in_han"))
+    keys = keys.unionByName(t.select("src_term", "tgt_term", T.han_only(F.col("src_term")).alias("k"), F.lit(True).alias("in_han"))).where("k <> ''")
+    keys = keys.groupBy("src_term", "tgt_term", "k", "in_han").agg(F.count("*").alias("copies"))
+    found = occurring(parts, keys, key).join(keys, ["k", "in_han"]).groupBy(key, "part_idx", "src_term", "tgt_term").agg(F.max("copies").alias("copies"))
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(key, "part_idx", "src_term", "tgt_term")
 
 
 def within_budget(hits: DataFrame, key: str = "source", budget: int = ContextLimits.budget) -> DataFrame:

@@ -27,6 +27,7 @@ FORBIDDEN = (
     ("chapter number", rf"^第{_S}*{_D}+{_S}*部分"),
     ("heading mark", rf"^#{{1,6}}{_S}"),
 )
+#: Kana characters, and the share of them above which they are residue.
 KANA = "[぀-ゟ゠-ヿ]"
 KANA_MAX = 0.15
 SHINGLE, REPEAT_MAX, ADJACENT_MIN = 30, 0.15, 8
@@ -40,6 +41,7 @@ def out_lines(parts_out: DataFrame, key: str = "source") -> DataFrame:
 
 def clean_output(raw: Column) -> Column:
     """A model's raw answer as lines: fences, whole-line chatter and blank lines go, the rest is stripped."""
+    #: Whole lines by which a model opens or closes its answer.
     fence = f"^{_S}*```[a-zA-Z]*{_S}*\\z"
     chatter = f"^{_S}*(好的|以下是|下面是|译文如下|翻译如下|这是译文|已翻译|希望对你有帮助|Note:|Sure|Here is)[:：,]?{_S}*\\z"
     lines = F.split(F.regexp_replace(raw, "\r\n?", "\n"), "\n", -1)
@@ -122,10 +124,11 @@ def shingle_repeats(out: DataFrame, key: str = "source") -> DataFrame:
     """(key, part_idx, n_blocks, n_repeated) of the 30-character blocks of a part's joined lines."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("oi", "line"))), lambda x: x["line"]), "")
     rows = out.groupBy(key, "part_idx").agg(text.alias("text"))
+    # blocks start before the last SHINGLE characters, so a part of whole blocks leaves out its last one
     n = F.ceil(F.greatest(F.length("text") - SHINGLE, F.lit(0)) / SHINGLE).cast("int")
-    blocks = F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.substr("text", i * SHINGLE + 1, F.lit(SHINGLE)))).otherwise(F.array().cast("array<string>"))
+    blocks = F.slice(F.regexp_extract_all("text", F.lit(f"(?s).{{{SHINGLE}}}"), F.lit(0)), F.lit(1), n)
     rows = rows.select(key, "part_idx", n.alias("n_blocks"), blocks.alias("b"))
-    return rows.select(key, "part_idx", "n_blocks", (F.size("b") - F.size(F.array_distinct("b"))).alias("n_repeated"))
+    return rows.select(key, "part_idx", "n_blocks", (F.col("n_blocks") - F.size(F.array_distinct("b"))).alias("n_repeated"))
 
 
 def forbidden(out: DataFrame, key: str = "source") -> DataFrame:

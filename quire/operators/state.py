@@ -110,8 +110,3 @@ def claims(events: DataFrame, key: str = "key") -> DataFrame:
 def latest(events: DataFrame, key: str = "key") -> DataFrame:
     """Each key's last event, without a sort of its history."""
     return events.groupBy(key).agg(F.max("seq").alias("seq"), F.max_by("action", "seq").alias("action"))
-
-
-def seen_before(events: DataFrame, key: str = "key") -> DataFrame:
-    """Events with the action before them."""
-    return events.withColumn("before", F.lag("action").over(Window.partitionBy(key).orderBy("seq")))

@@ -1,38 +1,65 @@
 """Segmentation: a text becomes its non-blank lines with offsets, separators and hashes.
 
-A text is one row (key, text). All windows run per text, over one hash exchange on its key.
+A text is one row (key, text). Its lines, offsets and separators are made inside the row; only the finished units are
+exploded, so segmentation needs no exchange, and texts of any key spread over tasks as their rows do.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
+#: Offsets are summed by blocks of so many lines and within a block, so the work grows with the lines, not their square.
+_RUN = 64
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once; an expression used inside a lambda would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _starts(lens: Column) -> Column:
+    """The sum of all lengths before each element."""
+    total = lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda acc, x: acc + x)
+    n = F.size(lens)
+    runs = F.transform(F.sequence(F.lit(0), ((n - 1) / F.lit(_RUN)).cast("int")), lambda r: total(F.slice(lens, r * _RUN + 1, F.lit(_RUN))))
+    heads = F.aggregate(runs, F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+    at = lambda i: (i / F.lit(_RUN)).cast("int")
+    return _let(heads, lambda h: F.transform(lens, lambda x, i: F.get(h, at(i)) + total(F.slice(lens, at(i) * _RUN + 1, i - at(i) * _RUN))))
+
+
+def _unit_array(text: Column) -> Column:
+    """The non-blank lines of a text as structs (ln, start_char, text, sep); sep counts the newlines since the last line that was not empty."""
+
+    def placed(lines: Column, starts: Column) -> Column:
+        rows = F.transform(lines, lambda x, i: F.struct(i.alias("ln"), F.get(starts, i).alias("start_char"), x.alias("text")))
+        return F.filter(rows, lambda x: F.length(x["text"]) > 0)
+
+    def spaced(rows: Column) -> Column:
+        sep = lambda x, i: x["ln"] - F.when(i > 0, F.get(rows, i - 1)["ln"])
+        return F.transform(rows, lambda x, i: F.struct(x["ln"].alias("ln"), x["start_char"].alias("start_char"), x["text"].alias("text"), sep(x, i).alias("sep")))
 
-def lines(texts: DataFrame, key: str = "source") -> DataFrame:
-    """(key, ln, text, start_char): every line, blank or not; ln counts from 0."""
-    w = Window.partitionBy(key).orderBy("ln").rowsBetween(Window.unboundedPreceding, -1)
-    rows = texts.select(key, F.posexplode(F.split("text", "\n", -1)).alias("ln", "text"))
-    return rows.withColumn("start_char", F.coalesce(F.sum(F.length("text") + 1).over(w), F.lit(0)).cast("long"))
+    lens = lambda lines: F.transform(lines, lambda x: F.length(x) + 1)
+    made = _let(F.split(text, "\n", -1), lambda ls: _let(lens(ls), lambda n: _let(_starts(n), lambda st: _let(placed(ls, st), spaced))))
+    return F.filter(made, lambda x: F.length(T.strip(x["text"])) > 0)
 
 
 def units(texts: DataFrame, key: str = "source") -> DataFrame:
     """(key, ln, idx, start_char, end_char, char_count, sha256, sep_newlines, blank_before, text).
 
-    sep_newlines is the run of newlines just before the line; it is 0 for a text's first unit. A line of white space only
-    is no unit, yet it ends such a run. idx counts a text's units from 1.
+    ln counts all lines from 0, idx a text's units from 1. sep_newlines is the run of newlines just before the line; it is 0 for a
+    text's first unit. A line of white space only is no unit, yet it ends such a run.
     """
-    w = Window.partitionBy(key).orderBy("ln")
-    rows = lines(texts, key).where(F.length("text") > 0)
-    rows = rows.withColumn("sep", (F.col("ln") - F.lag("ln", 1).over(w)).cast("int"))
-    rows = rows.where(F.length(T.strip(F.col("text"))) > 0).withColumn("idx", F.row_number().over(w))
-    sep = F.when(F.col("idx") == 1, 0).otherwise(F.col("sep"))
-    n = F.length("text")
+    rows = texts.select(key, F.posexplode(_unit_array(F.col("text"))).alias("i", "u"))
+    sep = F.when(F.col("i") == 0, 0).otherwise(F.col("u.sep"))
+    n = F.length("u.text")
     return rows.select(
-        key, "ln", "idx", "start_char", (F.col("start_char") + n).alias("end_char"), n.alias("char_count"), T.sha256(F.col("text")).alias("sha256"),
-        sep.cast("int").alias("sep_newlines"), F.greatest(sep - 1, F.lit(0)).cast("int").alias("blank_before"), "text",
+        key, F.col("u.ln").alias("ln"), (F.col("i") + 1).alias("idx"), F.col("u.start_char").alias("start_char"), (F.col("u.start_char") + n).alias("end_char"), n.alias("char_count"),
+        T.sha256(F.col("u.text")).alias("sha256"), sep.cast("int").alias("sep_newlines"), F.greatest(sep - 1, F.lit(0)).cast("int").alias("blank_before"), F.col("u.text").alias("text"),
     )
 
 
