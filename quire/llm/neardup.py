@@ -7,8 +7,9 @@ aggregate, so groups of copies cost one row from here on. (3) Within each bucket
 the bucket's leaders (the first row not yet linked); at most one confirmed link a representative results, and connected
 components follow. (4) Pairs in different components that share a bucket are all tried again: a second odd sketch, of the whole
 set, excludes most without any error, as its XOR population count never exceeds the symmetric difference; the rest are
-confirmed on full sets. First only the nearest pair of each two components in a block: one link joins them, however many
-there are; then every pair still across components. So no link that could join two components stays untried.
+confirmed on full sets. In rounds, each component tries its nearest pair only, as one link joins two components however
+many there are; once that joins nothing more, every pair still across components is tried. So no link that could join two
+components stays untried, and groups of near copies cost their number, not its square.
 
 Buckets are streamed in sorted runs of at most `BLOCK` rows; larger ones are dealt over several blocks. In step 4 the rows
 outside such a bucket's largest component visit all its blocks, while they are at most OUTSIDE: linear in the bucket. A
@@ -210,19 +211,21 @@ def _leaders(it):
             live = live[others[~near]]
 
 
-def _best(cols: list[np.ndarray]) -> list[np.ndarray]:
-    """Of rows (a, b, ca, cb, distance) the nearest of each (ca, cb)."""
+def _nearest_of_each(cols: list[np.ndarray]) -> list[np.ndarray]:
+    """Of pairs (a, b, ca, cb, distance) those that are the nearest of one of their components."""
     a, b, ca, cb, near = cols
-    order = np.lexsort((b, a, near, cb, ca))
-    cols = [x[order] for x in cols]
-    new = np.ones(len(a), bool)
-    new[1:] = (cols[2][1:] != cols[2][:-1]) | (cols[3][1:] != cols[3][:-1])
-    return [x[new] for x in cols]
+    comp, pair = np.concatenate([ca, cb]), np.tile(np.arange(len(a)), 2)
+    order = np.lexsort((b[pair], a[pair], near[pair], comp))
+    comp, pair = comp[order], pair[order]
+    new = np.ones(len(comp), bool)
+    new[1:] = comp[1:] != comp[:-1]
+    keep = np.unique(pair[new])
+    return [x[keep] for x in cols]
 
 
 def _crossings(nearest: bool):
     """The pairs of a bucket's rows in different components that sizes and whole-set sketches leave open: similarity t needs a
-    symmetric difference of (1 - t) / (1 + t) of the sizes' sum at most. All of them, or the nearest one of each two components."""
+    symmetric difference of (1 - t) / (1 + t) of the sizes' sum at most. All of them, or each component's nearest one."""
 
     def run(it):
         for d in _groups(it):
@@ -251,14 +254,14 @@ def _crossings(nearest: bool):
                     if sum(len(h[0]) for h in held) > 1 << 20:
                         held = [[np.concatenate(col) for col in zip(*held)]]
                         if nearest:
-                            held = [_best(held[0])]
+                            held = [_nearest_of_each(held[0])]
                         if not nearest or len(held[0][0]) > 1 << 19:
                             yield _pairs(*held[0])
                             held = []
                 step += 1
             if held:
                 cols = [np.concatenate(col) for col in zip(*held)]
-                yield _pairs(*(_best(cols) if nearest else cols))
+                yield _pairs(*(_nearest_of_each(cols) if nearest else cols))
 
     return run
 
@@ -364,12 +367,12 @@ def _open_pairs(placed: DataFrame, wide: DataFrame, texts: DataFrame, nearest: b
 
 
 def _crossing_pairs(placed: DataFrame, wide: DataFrame, texts: DataFrame, nearest: bool) -> DataFrame:
-    """(a, b, ca, cb): the open pairs, each once, or the nearest one of each two components over all buckets."""
+    """(a, b, ca, cb): the open pairs, each once, or each component's nearest one over all buckets."""
     found = _open_pairs(placed, wide, texts, nearest)
-    if not nearest:
-        return found.select("a", "b", "ca", "cb").distinct()
-    best = F.min(F.struct("near", "a", "b", "ca", "cb")).alias("x")
-    return found.groupBy(F.least("ca", "cb").alias("l"), F.greatest("ca", "cb").alias("g")).agg(best).select("x.a", "x.b", "x.ca", "x.cb")
+    if nearest:
+        pair = F.struct("near", "a", "b", "ca", "cb")
+        found = found.select(F.explode(F.array("ca", "cb")).alias("comp"), pair.alias("x")).groupBy("comp").agg(F.min("x").alias("x")).select("x.*")
+    return found.select("a", "b", "ca", "cb").distinct()
 
 
 def _grouped(docs: DataFrame) -> DataFrame:
@@ -393,12 +396,19 @@ def _grouped(docs: DataFrame) -> DataFrame:
     labels = c.stash(members.select("rep").distinct().join(components(first), "rep", "left").select("rep", F.coalesce("comp", "rep").alias("comp")))
     maps = texts.select("rep", "text").mapInArrow(_whole_sketches, "rep long, full binary")
     whole = wide.drop("sketch").join(maps, "rep")
-    for nearest in (True, False):
+    nearest = True
+    while True:
         open_ = _crossing_pairs(members.select("key", "rep").join(labels, "rep"), whole, texts, nearest)
         edges = c.stash(confirm(open_, texts).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-        if edges.limit(1).count():
+        some = edges.limit(1).count()
+        if some:
             joined = components(edges).select(F.col("rep").alias("comp"), F.col("comp").alias("into"))
             labels = c.stash(labels.join(joined, "comp", "left").select("rep", F.coalesce("into", "comp").alias("comp")))
+        elif nearest:
+            nearest = False
+            continue
+        if not nearest:
+            break
 
     joined = labels.join(reps.select("rep", "at"), "rep")
     tops = joined.groupBy("comp").agg(F.min("at").alias("top"))
