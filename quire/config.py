@@ -55,13 +55,19 @@ class ContextLimits:
 class Run:
     """A project's settings: languages, genre and limits."""
 
+    source: str = ""
     source_lang: str = ""
     target_lang: str = ""
     source_name: str = ""
     target_name: str = ""
     genre: str = ""
-    max_attempts: int = 3
-    stale_seconds: int = 1800
     parts: PartLimits = field(default_factory=PartLimits)
     bands: RatioBands = field(default_factory=RatioBands)
     context: ContextLimits = field(default_factory=ContextLimits)
+
+    @classmethod
+    def from_env(cls, env: dict, prefix: str = "QUIRE_") -> Run:
+        """Texts are stripped; numbers that are not plain digits leave their defaults."""
+        names = ("source", "source_lang", "target_lang", "source_name", "target_name", "genre")
+        context = ContextLimits(**{n: _number(env, f"{prefix}CONTEXT_{n.upper()}", getattr(ContextLimits, n)) for n in ("budget", "translation_tail", "raw_tail", "glossary")})
+        return cls(**{n: env.get(prefix + n.upper(), "").strip() for n in names}, parts=PartLimits.from_env(env, prefix), context=context)

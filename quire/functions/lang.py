@@ -24,6 +24,11 @@ def norm_lang(code: Column) -> Column:
     return F.when(x.isin(*ZH_HANS), "zh-hans").when(x.isin(*ZH_HANT), "zh-hant").otherwise(F.split_part(x, F.lit("-"), F.lit(1)))
 
 
+def lang_pair(source: Column, target: Column) -> Column:
+    """The pair of keys under which a pair of languages is registered."""
+    return F.struct(norm_lang(source).alias("source_lang"), norm_lang(target).alias("target_lang"))
+
+
 def lang_name(code: Column, explicit: Column, default: str) -> Column:
     """An explicit name, else the known name of the code, else the code, else the default."""
     known = F.create_map(*[F.lit(x) for pair in NAMES.items() for x in pair])

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
@@ -33,3 +33,27 @@ HANDLERS: dict[tuple[str, str], Handler] = {("ja", "zh-hans"): ja_to_zh_hans}
 def fix_line(src: Column, cur: Column, source_lang: str, target_lang: str) -> tuple[Column, Column]:
     handler = HANDLERS.get((source_lang, target_lang))
     return handler(src, cur) if handler else (cur, F.array().cast("array<string>"))
+
+
+def registered(source_lang: str, target_lang: str) -> bool:
+    return (source_lang, target_lang) in HANDLERS
+
+
+def punctuate(units: DataFrame, outputs: DataFrame, source_lang: str, target_lang: str, key: str = "source") -> DataFrame:
+    """(key, part_idx, text, sha256, fits, changed, tags) of outputs(key, part_idx, text): the non-blank lines, beside the part's units by
+    place, rewritten for the pair of languages; blank lines stay. A part whose numbers differ does not fit and is left alone, as
+    everything is for a pair without an entry. Nothing is written; the caller writes what changed, with its new hash."""
+    on = [key, "part_idx"]
+    lines = outputs.select(*on, F.posexplode(F.split("text", "\n", -1)).alias("ln", "cur"))
+    w = Window.partitionBy(*on)
+    full = T.strip(F.col("cur")) != ""
+    lines = lines.withColumns({"k": F.when(full, F.count_if(full).over(w.orderBy("ln"))), "n_out": F.count_if(full).over(w)})
+    src = units.select(*on, F.col("index").cast("long").alias("k"), F.col("text").alias("src"), F.count("*").over(w).alias("n_src"))
+    rows = lines.join(src, [*on, "k"], "left")
+    rows = rows.withColumn("fits", F.coalesce(F.max("n_src").over(w) == F.col("n_out"), F.col("n_out") == 0))
+    line, tags = fix_line(F.col("src"), F.col("cur"), source_lang, target_lang)
+    apply = F.col("fits") & F.col("k").isNotNull()
+    rows = rows.select(*on, "ln", "cur", "fits", F.when(apply, line).otherwise(F.col("cur")).alias("line"), F.when(apply, tags).otherwise(F.array().cast("array<string>")).alias("tags"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ln", "line"))), lambda x: x["line"]), "\n")
+    rows = rows.groupBy(*on).agg(joined.alias("text"), F.first("fits").alias("fits"), F.count_if(F.col("cur") != F.col("line")).alias("changed"), F.flatten(F.collect_list("tags")).alias("tags"))
+    return rows.select(*on, "text", T.sha256(F.col("text")).alias("sha256"), "fits", "changed", F.array_sort("tags").alias("tags"))

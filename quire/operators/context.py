@@ -150,3 +150,40 @@ def prev_tails(parts: DataFrame, outputs: DataFrame | None = None, key: str = "s
     else:
         rows = rows.withColumn("t", F.lit(None).cast("string"))
     return rows.select(key, "part_idx", F.lag("r").over(w).alias("raw_tail"), F.lag("t").over(w).alias("translation_tail"))
+
+
+#: Heads of the context block's pieces; wording is our own.
+TRANSLATED_HEAD = "[End of the previous part's translation: for names and tone only, do not output]"
+RAW_HEAD = "[End of the previous part's source: for what goes on only, do not translate]"
+NOTES_HEAD = "[Notes of this project: keep to them]"
+
+
+def _chosen(items: Column, budget: int) -> Column:
+    """The sections of a sorted list that fit, as text: one that would exceed the budget is skipped, the first is always taken."""
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("texts"))
+
+    def step(acc, x):
+        text = F.concat(F.lit("["), x["file"], F.lit("] "), x["heading"], F.lit("\n"), x["body"])
+        fits = (acc["used"] + F.length(x["body"]) <= budget) | (F.size(acc["texts"]) == 0)
+        return F.when(fits, F.struct((acc["used"] + F.length(x["body"])).alias("used"), F.concat(acc["texts"], F.array(text)).alias("texts"))).otherwise(acc)
+
+    return F.aggregate(items, start, step)["texts"]
+
+
+def context_block(parts: DataFrame, sections: DataFrame, terms: DataFrame, outputs: DataFrame | None = None, key: str = "source", limits: ContextLimits = ContextLimits()) -> DataFrame:
+    """(key, part_idx, context, hits) of parts(key, part_idx, text): the tails of the part before, the sections that occur under the
+    budget, and the first terms(pos, src_term, tgt_term) that occur; hits names what occurs, chosen or not."""
+    on = [key, "part_idx"]
+    found = context_hits(parts, sections, terms, key)
+    items = F.array_sort(F.collect_list(F.struct("prio", "ord", "file", "heading", "body")))
+    found = found.groupBy(*on).agg(_chosen(items, limits.budget).alias("texts"), F.transform(items, lambda x: F.concat(x["file"], F.lit("::"), x["heading"])).alias("names"))
+    named = gloss_hits(parts, terms, key).distinct().join(terms.groupBy("src_term", "tgt_term").agg(F.min("pos").alias("pos")), ["src_term", "tgt_term"])
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "src_term", "tgt_term"))), lambda x: F.concat(x["src_term"], F.lit(" → "), x["tgt_term"]))
+    named = named.groupBy(*on).agg(F.concat(F.lit("[terms.md] terms\n"), F.array_join(F.slice(listed, 1, limits.glossary), "\n")).alias("gloss"))
+    rows = parts.select(*on).join(prev_tails(parts, outputs, key, limits), on).join(found, on, "left").join(named, on, "left")
+    none = F.array().cast("array<string>")
+    notes = F.array_join(F.concat(F.coalesce("texts", none), F.array_compact(F.array("gloss"))), "\n\n")
+    piece = lambda head, text: F.when(text.isNotNull() & (text != ""), F.concat(F.lit(head + "\n"), text))
+    block = F.array_compact(F.array(piece(TRANSLATED_HEAD, F.col("translation_tail")), piece(RAW_HEAD, F.col("raw_tail")), piece(NOTES_HEAD, notes)))
+    hits = F.concat(F.coalesce("names", none), F.when(F.col("gloss").isNotNull(), F.array(F.lit("terms.md::terms"))).otherwise(none))
+    return rows.select(*on, F.array_join(block, "\n\n").alias("context"), hits.alias("hits"))

@@ -5,9 +5,9 @@ from __future__ import annotations
 import hashlib
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 from quire.config import PartLimits
 from quire.functions import text as T
@@ -20,8 +20,7 @@ def canonical(value) -> bytes:
     return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()
 
 
-@F.udf(StringType())
-def _signed(text: str | None) -> str | None:
+def _signature(text: str | None) -> str | None:
     """The hash of a JSON document's canonical form, without its own signature."""
     if text is None:
         return None
@@ -30,6 +29,13 @@ def _signed(text: str | None) -> str | None:
     return hashlib.sha256(canonical(doc)).hexdigest()
 
 
+def _sign_batches(it):
+    """Arrow batches whose last column is a document as JSON: that column becomes its signature."""
+    for batch in it:
+        signed = pa.array([_signature(x) for x in batch.columns[-1].to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], signed], schema=pa.schema([*list(batch.schema)[:-1], pa.field("manifest_sha256", pa.string())]))
+
+
 def manifest(texts: DataFrame, slices: DataFrame, units_in_parts: DataFrame, labels: DataFrame, key: str = "source", limits: PartLimits = PartLimits()) -> DataFrame:
     """One row a text with its parts and their paragraphs nested. A text's catalog is one row, as its text is."""
     on = [key, "part_idx"]
@@ -56,7 +62,8 @@ def manifest(texts: DataFrame, slices: DataFrame, units_in_parts: DataFrame, lab
 def sign(rows: DataFrame) -> DataFrame:
     """Add, or renew, manifest_sha256."""
     rows = rows.drop("manifest_sha256")
-    return rows.withColumn("manifest_sha256", _signed(F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"})))
+    rows = rows.withColumn("manifest_sha256", F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}))
+    return rows.mapInArrow(_sign_batches, rows.schema)
 
 
 def signature_errors(rows: DataFrame, key: str = "source") -> DataFrame:

@@ -9,7 +9,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.lang import lang_name
+from quire.functions import text as T
+from quire.functions.lang import lang_name, out_name, sanitize_title
 
 RETRY_STATUS = (408, 409, 425, 429, 500, 502, 503, 504)
 TRIES = 3
@@ -54,6 +55,24 @@ def user_prompt(part_id: Column, label: Column, n_lines: Column, text: Column, c
     return F.concat(head, F.lit("part: "), part_id, F.lit("\nchapter: "), label, F.lit("\nlines: "), n_lines.cast("string"), F.lit("\n\n"), text)
 
 
+TITLE_PROMPT = "You translate titles of fiction from {src} to {tgt}. Answer with the translated title alone, without quotation marks or comment."
+
+
+def title_prompt(code: Column, src_name: Column, tgt_code: Column, tgt_name: Column) -> Column:
+    src, tgt = lang_name(code, src_name, "the source language"), lang_name(tgt_code, tgt_name, "the target language")
+    return F.replace(F.replace(F.lit(TITLE_PROMPT), F.lit("{src}"), src), F.lit("{tgt}"), tgt)
+
+
+def percent(x: Column) -> Column:
+    """A share as a percentage of one decimal, for messages."""
+    return F.format_string("%.1f%%", x * 100)
+
+
+def claim_token() -> Column:
+    """A token no other claim has."""
+    return F.uuid()
+
+
 Client = Callable[[str, str, int], tuple[str, str]]
 
 
@@ -87,3 +106,11 @@ def translate(prompts: DataFrame, client: Client, key: str = "source") -> DataFr
             yield pd.DataFrame({key: pdf[key], "part_idx": pdf["part_idx"], "text": [g[0] for g in got], "finish": [g[1] for g in got]})
 
     return prompts.select(key, "part_idx", "system", "user", "max_tokens").mapInPandas(run, f"{key} {kind}, part_idx int, text string, finish string")
+
+
+def translate_titles(titles: DataFrame, client: Client, key: str = "source", tokens: int = 200) -> DataFrame:
+    """(key, title, file) of titles(key, raw, system): the model's title as a file's stem, and the file's name; without an answer
+    that leaves something, title is null and the name falls back to the key's."""
+    rows = titles.select(key, F.lit(1).alias("part_idx"), "system", F.col("raw").alias("user"), F.lit(tokens).alias("max_tokens"))
+    got = translate(rows, client, key).select(key, sanitize_title(F.split_part(T.strip(F.col("text")), F.lit("\n"), F.lit(1))).alias("title"))
+    return got.select(key, "title", out_name(F.col("title"), F.col(key).cast("string")).alias("file"))

@@ -6,7 +6,9 @@ counts pair by position, a plain equi-join; only the others go to Python for a s
 
 from __future__ import annotations
 
+import dataclasses
 import difflib
+import functools
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -120,15 +122,15 @@ def adjacent_duplicates(out: DataFrame, key: str = "source") -> DataFrame:
     return out.withColumn("same", F.coalesce(same, F.lit(False))).groupBy(key, "part_idx").agg(F.count_if("same").alias("n_adjacent"))
 
 
+def _shingles(text: Column) -> Column:
+    """A text's blocks of SHINGLE characters; they start before its last SHINGLE ones, so a text of whole blocks leaves out its last."""
+    n = F.ceil(F.greatest(F.length(text) - SHINGLE, F.lit(0)) / SHINGLE).cast("int")
+    return F.slice(F.regexp_extract_all(text, F.lit(f"(?s).{{{SHINGLE}}}"), F.lit(0)), F.lit(1), n)
+
+
 def shingle_repeats(out: DataFrame, key: str = "source") -> DataFrame:
     """(key, part_idx, n_blocks, n_repeated) of the 30-character blocks of a part's joined lines."""
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("oi", "line"))), lambda x: x["line"]), "")
-    rows = out.groupBy(key, "part_idx").agg(text.alias("text"))
-    # blocks start before the last SHINGLE characters, so a part of whole blocks leaves out its last one
-    n = F.ceil(F.greatest(F.length("text") - SHINGLE, F.lit(0)) / SHINGLE).cast("int")
-    blocks = F.slice(F.regexp_extract_all("text", F.lit(f"(?s).{{{SHINGLE}}}"), F.lit(0)), F.lit(1), n)
-    rows = rows.select(key, "part_idx", n.alias("n_blocks"), blocks.alias("b"))
-    return rows.select(key, "part_idx", "n_blocks", (F.col("n_blocks") - F.size(F.array_distinct("b"))).alias("n_repeated"))
+    return part_lines(out, key).select(key, "part_idx", "n_blocks", "n_repeated")
 
 
 def forbidden(out: DataFrame, key: str = "source") -> DataFrame:
@@ -136,6 +138,13 @@ def forbidden(out: DataFrame, key: str = "source") -> DataFrame:
     return out.groupBy(key, "part_idx").agg(*[F.count_if(F.col("line").rlike(p)).alias(f"f{i + 1}") for i, (_, p) in enumerate(FORBIDDEN)])
 
 
+def marked_lines(out: DataFrame, key: str = "source") -> DataFrame:
+    """(key, part_idx, pattern, name, n, sample): for each pattern that marks lines of a part, how many, and the start of the first."""
+    hits = F.array_compact(F.array(*[F.when(F.col("line").rlike(p), F.struct(F.lit(i + 1).alias("pattern"), F.lit(name).alias("name"))) for i, (name, p) in enumerate(FORBIDDEN)]))
+    rows = out.select(key, "part_idx", "oi", T.clipped(F.col("line"), 40).alias("sample"), F.inline(hits))
+    return rows.groupBy(key, "part_idx", "pattern", "name").agg(F.count("*").alias("n"), F.min_by("sample", "oi").alias("sample"))
+
+
 def kana_ratio(x: Column) -> Column:
     """Share of kana in the characters that are not white space."""
     return F.regexp_count(x, F.lit(KANA)) / F.greatest(F.length(F.regexp_replace(x, _S, "")), F.lit(1))
@@ -150,19 +159,39 @@ def has_residue(x: Column, lang: str) -> Column:
     return RESIDUE[lang](x) if lang in RESIDUE else F.lit(False)
 
 
+def part_lines(out: DataFrame, key: str = "source", lang: str = "") -> DataFrame:
+    """(key, part_idx, n_out, out_chars, marked, residue, n_adjacent, n_blocks, n_repeated): what the lines of a part tell, from one aggregate."""
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("oi", "line"))), lambda x: x["line"])
+    rows = out.groupBy(key, "part_idx").agg(ordered.alias("ls"))
+    ls = F.col("ls")
+    marked = F.exists(ls, lambda x: functools.reduce(Column.__or__, [x.rlike(p) for _, p in FORBIDDEN]))
+    again = F.transform(ls, lambda x, i: F.coalesce((i > 0) & (F.length(x) > ADJACENT_MIN) & (x == F.get(ls, i - 1)), F.lit(False)))
+    rows = rows.withColumn("joined", F.array_join("ls", "")).withColumn("b", _shingles(F.col("joined")))
+    return rows.select(
+        key, "part_idx", F.size("ls").alias("n_out"), F.length("joined").alias("out_chars"), marked.cast("int").alias("marked"),
+        has_residue(F.array_join("ls", "\n"), lang).cast("int").alias("residue"), F.size(F.filter(again, lambda x: x)).alias("n_adjacent"),
+        F.size("b").alias("n_blocks"), (F.size("b") - F.size(F.array_distinct("b"))).alias("n_repeated"),
+    )
+
+
+def part_pairs(pairs: DataFrame, key: str = "source", bands: RatioBands = RatioBands()) -> DataFrame:
+    """(key, part_idx, short, ratio_level, special, ratio_median, jumps): what the pairs of a part tell, from one aggregate."""
+    order = F.filter(F.array_sort(F.collect_list(F.struct("si", "oi"))), lambda x: x["si"].isNotNull() & x["oi"].isNotNull())
+    most = lambda c: F.max(F.col(c).cast("int")).alias(c)
+    rows = pair_checks(pairs, bands).groupBy(key, "part_idx").agg(most("short"), most("ratio_level"), most("special_missing"), F.median("unit_ratio").alias("ratio_median"), order.alias("o"))
+    back = F.transform("o", lambda x, i: F.coalesce((i > 0) & (x["oi"] < F.get("o", i - 1)["oi"]), F.lit(False)))
+    return rows.select(key, "part_idx", "short", "ratio_level", F.col("special_missing").alias("special"), "ratio_median", F.size(F.filter(back, lambda x: x)).alias("jumps"))
+
+
 def part_checks(src: DataFrame, out: DataFrame, pairs: DataFrame, key: str = "source", bands: RatioBands = RatioBands(), lang: str = "") -> DataFrame:
     """One row a part: the level of every check (0 pass, 1 warn, 2 fail; null where an empty counterpart leaves it open)."""
     on = [key, "part_idx"]
-    sizes = counts(src, out, key)
-    chars = src.groupBy(*on).agg(F.sum(F.length(T.strip(F.col("text")))).alias("src_chars"))
-    out_chars = out.groupBy(*on).agg(F.sum(F.length("line")).alias("out_chars"), F.max(F.greatest(*[F.col("line").rlike(p).cast("int") for _, p in FORBIDDEN])).alias("marked"))
-    if lang in RESIDUE:
-        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("oi", "line"))), lambda x: x["line"]), "\n")
-        out_chars = out_chars.join(out.groupBy(*on).agg(has_residue(joined, lang).cast("int").alias("residue")), on)
-    else:
-        out_chars = out_chars.withColumn("residue", F.lit(0))
-    per = pair_checks(pairs, bands).groupBy(*on).agg(F.max(F.col("short").cast("int")).alias("short"), F.max("ratio_level").alias("ratio_level"), F.max(F.col("special_missing").cast("int")).alias("special"), F.median("unit_ratio").alias("ratio_median"))
-    rows = sizes.join(chars, on, "left").join(out_chars, on, "left").join(per, on, "left").join(order_jumps(pairs, key), on, "left").join(adjacent_duplicates(out, key), on, "left").join(shingle_repeats(out, key), on, "left")
+    rows = src.groupBy(*on).agg(F.count("*").alias("n_src"), F.sum(F.length(T.strip(F.col("text")))).alias("src_chars"))
+    rows = rows.join(part_lines(out, key, lang), on, "left").join(part_pairs(pairs, key, bands), on, "left").na.fill(0, ["n_out"])
+    return _levels(rows, on, bands)
+
+
+def _levels(rows: DataFrame, on: list[str], bands: RatioBands) -> DataFrame:
     full = F.col("n_out") > 0
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     only = lambda c: F.when(full, c)
@@ -170,7 +199,7 @@ def part_checks(src: DataFrame, out: DataFrame, pairs: DataFrame, key: str = "so
     repeated = zero("n_repeated") / F.greatest(zero("n_blocks"), F.lit(1))
     ratio = F.when(F.col("src_chars") > 0, zero("out_chars") / F.col("src_chars")).otherwise(F.lit(0.0))
     rows = rows.select(
-        *on, "n_src", "n_out",
+        *on, F.col("n_src"), F.col("n_out").cast("long").alias("n_out"),
         F.when(full, 0).otherwise(FAIL).alias("v9"),
         only(F.when(F.col("n_src") == F.col("n_out"), 0).when(delta > 0.10, FAIL).otherwise(WARN)).alias("v10a"),
         only(F.when(zero("jumps") > 0, FAIL).otherwise(0)).alias("v10b"),
@@ -185,6 +214,14 @@ def part_checks(src: DataFrame, out: DataFrame, pairs: DataFrame, key: str = "so
     return rows.withColumn("level", F.greatest("v9", "v10a", "v10b", "v10c", "v10d", "v10e", "v11", "v12", "part_ratio_level"))
 
 
+def with_bands(rows: DataFrame, stored: DataFrame, key: str = "source", defaults: RatioBands = RatioBands()) -> tuple[DataFrame, RatioBands]:
+    """rows and the bands to check them by: a key's stored bands where it has them, else the defaults, value by value."""
+    names = [f.name for f in dataclasses.fields(RatioBands)]
+    had = [n for n in names if n in stored.columns]
+    rows = rows.join(stored.select(key, *[F.col(n).alias(f"band_{n}") for n in had]), key, "left")
+    return rows, RatioBands(**{n: F.coalesce(F.col(f"band_{n}"), F.lit(getattr(defaults, n))) if n in had else getattr(defaults, n) for n in names})
+
+
 def calibrated(pairs: DataFrame, key: str = "source", bands: RatioBands = RatioBands(), least: int = 30) -> DataFrame:
     """Bands per key from its pairs of at least 8 characters: from nearest-rank p1 and p99, only ever wider than bands."""
     rows = pairs.where("s is not null and t is not null and length(s) >= 8").select(key, (F.length("t") / F.length("s")).alias("r"))

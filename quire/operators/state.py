@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_ATTEMPTS = 3
-STATUSES = ("PENDING", "IN_PROGRESS", "DONE", "FAILED")
+STATUSES = ("PENDING", "IN_PROGRESS", "NEEDS_REVIEW", "DONE", "FAILED")
 
 
 def initial(parts: DataFrame, key: str = "source") -> DataFrame:

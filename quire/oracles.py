@@ -6,6 +6,7 @@ from quire import samples
 from quire.functions import lang as L
 from quire.functions import text as T
 from quire.operators import context as C
+from quire.operators import manifest as MF
 from quire.operators import qa
 
 W = r"[\s\x{0b}\x1c-\x1f\x{85}\p{Z}]"
@@ -147,6 +148,64 @@ _HAN = "regexp_replace({}, '[^\\x{{4e00}}-\\x{{9fff}}\\x{{3400}}-\\x{{4dbf}}々
 _NAME = "CASE " + " ".join(f"WHEN k = {lit(a)} THEN {lit(b)}" for a, b in L.NAMES.items()) + " WHEN k = '' THEN '?' ELSE k END"
 
 
+_PLANNED = PLAN + """,
+absorbed AS (
+  WITH RECURSIVE a AS (
+    SELECT source, list(struct_pack(s := start_char, e := end_char, f := forced_cut, l := cut_level) ORDER BY part_idx) AS p, 0 AS k FROM plan GROUP BY 1
+    UNION ALL
+    SELECT source, CASE WHEN t THEN list_concat(p[1:n - 2], [struct_pack(s := p[n - 1].s, e := p[n].e, f := p[n - 1].f OR p[n].f, l := p[n].l)])
+        ELSE list_concat(list_concat(p[1:i - 2], [struct_pack(s := p[i - 1].s, e := p[i + 1].e, f := p[i - 1].f OR p[i].f OR p[i + 1].f, l := p[i + 1].l)]), p[i + 2:]) END, k + 1
+    FROM (SELECT *, len(p) AS n, len(p) >= 2 AND p[len(p)].e - p[len(p)].s < 2000 AND p[len(p)].e - p[len(p) - 1].s <= 15000 AS t,
+        list_min(list_filter(range(2, len(p)), lambda i: p[i].e - p[i].s < 2000 AND p[i + 1].e - p[i - 1].s <= 15000)) AS i FROM a) WHERE t OR i IS NOT NULL)
+  SELECT source, arg_max(p, k) AS p FROM a GROUP BY 1)"""
+_QA = PAIRS + "," + _BLOCKS + "," + _ADJ + f""",
+lc AS (SELECT source, part_idx, sum(length(line)) AS out_chars, bool_or({_ANY}) AS marked FROM lines GROUP BY 1, 2),
+sc AS (SELECT source, part_idx, sum(length({strip('text')})) AS src_chars FROM pu GROUP BY 1, 2),
+pp AS (SELECT source, part_idx, bool_or(short) AS short, max({_LEVEL}) AS lv, median(r) AS md FROM pc GROUP BY 1, 2),
+qo AS (SELECT z.source, z.part_idx, z.n_src, z.n_out, 0 AS v9, 0 AS v10a, 0 AS v10b, CASE WHEN short THEN 2 ELSE 0 END AS v10c, lv AS v10d, CASE WHEN n_adjacent > 0 OR n_repeated / greatest(n_blocks, 1)::DOUBLE > 0.15 THEN 2 ELSE 0 END AS v10e, CASE WHEN marked THEN 2 ELSE 0 END AS v11, 0 AS v12,
+  out_chars / src_chars::DOUBLE AS ratio, md AS ratio_median FROM sizes z JOIN lc USING (source, part_idx) JOIN sc USING (source, part_idx) JOIN pp USING (source, part_idx) JOIN ad USING (source, part_idx) JOIN sr USING (source, part_idx) WHERE n_src = n_out),
+qw AS (SELECT *, CASE WHEN ratio < 0.6 OR ratio > 2.5 THEN 1 ELSE 0 END AS part_ratio_level FROM qo),
+ql AS (SELECT *, greatest(v10c, v10d, v10e, v11, part_ratio_level) AS level FROM qw)"""
+_V8 = "@ps," + units_of("ps", "k", "again") + ", old AS (SELECT source, part_idx, index, start_char - part_start AS a, start_char - part_start + char_count AS b, sha256, sep_newlines FROM pu), new AS (SELECT split_part(k, ':', 1) AS source, split_part(k, ':', 2)::INT AS part_idx, idx AS index, start_char AS a, end_char AS b, sha256, sep_newlines FROM again), j AS (SELECT coalesce(o.source, n.source) AS source, coalesce(o.part_idx, n.part_idx) AS part_idx, coalesce(o.index, n.index) AS index, o.sha256 AS x, n.sha256 AS y, o.a <> n.a OR o.b <> n.b OR o.sha256 <> n.sha256 AS d, o.sep_newlines <> n.sep_newlines AS e FROM old o FULL JOIN new n ON o.source = n.source AND o.part_idx = n.part_idx AND o.index = n.index), v8 AS (SELECT source, part_idx FROM j WHERE x IS NULL OR y IS NULL UNION ALL SELECT source, part_idx FROM j WHERE d UNION ALL SELECT source, part_idx FROM j WHERE index > 1 AND e)"
+_CODES = {"v9": "V9", "v10a": "V10.A", "v10b": "V10.B", "v10c": "V10.C", "v10d": "V10.D", "v10e": "V10.E", "v11": "V11", "v12": "V12", "part_ratio_level": "V10.part-ratio"}
+_AUDIT = _QA + "," + _V8.replace("@ps", "ps AS (SELECT source || ':' || part_idx AS k, t AS text FROM slices WHERE part_idx % 11 <> 5)") + f""",
+miss AS (SELECT * FROM slices WHERE part_idx % 11 = 5),
+have AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY part_idx) AS rn FROM slices WHERE part_idx % 11 <> 5),
+lost AS (SELECT DISTINCT source FROM miss),
+found AS (SELECT source, 'V1' AS code, 2 AS level FROM book WHERE {NUM} % 5 = 0 UNION ALL SELECT source, 'V1', 2 FROM book WHERE {NUM} % 7 = 0
+  UNION ALL SELECT source, 'V2', 2 FROM have WHERE rn <> part_idx UNION ALL SELECT source, 'V2', 2 FROM lost UNION ALL SELECT source, 'V2', 2 FROM lost
+  UNION ALL SELECT source, 'V3', 2 FROM miss UNION ALL SELECT source, 'V5', 2 FROM lost UNION ALL SELECT source, 'V6', 2 FROM lost
+  UNION ALL SELECT source, 'V7', CASE WHEN char_count > 20000 THEN 2 ELSE 1 END FROM have WHERE char_count > 15000 OR char_count < 2000 UNION ALL SELECT source, 'V8', 2 FROM v8
+  {" ".join(f"UNION ALL SELECT source, '{code}', {c} FROM qw WHERE {c} > 0" for c, code in _CODES.items())}
+  UNION ALL SELECT source, 'STATE', 2 FROM book WHERE {NUM} % 3 = 0 UNION ALL SELECT source, 'STATE', 2 FROM book WHERE {NUM} % 4 = 0)"""
+_CAL = PAIRS + ", k AS (SELECT source, list_sort(list(r)) AS rs, count(r) AS n FROM pc WHERE r IS NOT NULL GROUP BY 1), g AS (SELECT source, n, rs[round_even((n - 1) * 0.01, 0)::INT + 1] AS p1, rs[round_even((n - 1) * 0.99, 0)::INT + 1] AS p99 FROM k), bands AS (SELECT source, CASE WHEN n >= 30 THEN round(least(p1, 0.45), 3) ELSE 0.45 END AS wl, CASE WHEN n >= 30 THEN round(greatest(p99, 1.8), 3) ELSE 1.8 END AS wh, CASE WHEN n >= 30 THEN round(least(p1 * 0.8, 0.3), 3) ELSE 0.3 END AS fl, CASE WHEN n >= 30 THEN round(greatest(p99 * 1.3, 2.5), 3) ELSE 2.5 END AS fh FROM g WHERE " + NUM + " % 2 = 0)"
+_SET = "rows AS (SELECT source, part_idx, CASE part_idx % 3 WHEN 0 THEN 'NEEDS_REVIEW' WHEN 1 THEN 'IN_PROGRESS' ELSE status END AS s FROM st)"
+_TERMS = "terms AS (SELECT item_id AS pos, left(text, 12) AS src_term, item_id::VARCHAR AS tgt_term FROM benchmark WHERE left(text, 12) <> '')"
+_BLOCK = OUTS + "," + _SECTIONS + "," + _TERMS + """,
+ch AS (SELECT DISTINCT d.source, d.part_idx, s.prio, s.ord, s.file, s.heading, s.body FROM slices d JOIN sec s ON s.heading <> '' AND s.file <> 'terms.md' AND (contains(d.t, s.heading) OR (split_part(split_part(s.heading, '（', 1), '(', 1) <> '' AND contains(d.t, split_part(split_part(s.heading, '（', 1), '(', 1))))),
+cr AS (SELECT *, row_number() OVER (PARTITION BY source, part_idx ORDER BY prio, ord) AS rn FROM ch),
+cb AS (WITH RECURSIVE x AS (SELECT source, part_idx, rn, length(body)::BIGINT AS used, ['[' || file || '] ' || heading || chr(10) || body] AS texts, [file || '::' || heading] AS names FROM cr WHERE rn = 1
+  UNION ALL SELECT x.source, x.part_idx, h.rn, CASE WHEN used + length(h.body) <= 500 THEN used + length(h.body) ELSE used END, CASE WHEN used + length(h.body) <= 500 THEN list_append(texts, '[' || h.file || '] ' || h.heading || chr(10) || h.body) ELSE texts END, list_append(names, h.file || '::' || h.heading)
+    FROM x JOIN cr h ON h.source = x.source AND h.part_idx = x.part_idx AND h.rn = x.rn + 1) SELECT source, part_idx, arg_max(texts, rn) AS texts, arg_max(names, rn) AS names FROM x GROUP BY 1, 2),
+cg AS (SELECT source, part_idx, '[terms.md] terms' || chr(10) || array_to_string(list(src_term || ' → ' || tgt_term ORDER BY pos, src_term)[1:40], chr(10)) AS gloss FROM slices d JOIN terms ON contains(d.t, src_term) GROUP BY 1, 2),
+pt AS (SELECT s.source, s.part_idx, lag(right(s.t, 600)) OVER w AS r, lag(right(o.text, 1200)) OVER w AS q FROM slices s LEFT JOIN outs o USING (source, part_idx) WINDOW w AS (PARTITION BY s.source ORDER BY s.part_idx)),
+bl AS (SELECT pt.source, pt.part_idx, list_concat(coalesce(names, []), CASE WHEN gloss IS NULL THEN [] ELSE ['terms.md::terms'] END) AS hits, r, q, array_to_string(list_concat(coalesce(texts, []), CASE WHEN gloss IS NULL THEN [] ELSE [gloss] END), chr(10) || chr(10)) AS notes FROM pt LEFT JOIN cb USING (source, part_idx) LEFT JOIN cg USING (source, part_idx)),
+bx AS (SELECT source, part_idx, hits, array_to_string(list_filter([CASE WHEN q <> '' THEN '""" + C.TRANSLATED_HEAD.replace("'", "''") + """' || chr(10) || q END, CASE WHEN r <> '' THEN '""" + C.RAW_HEAD.replace("'", "''") + """' || chr(10) || r END, CASE WHEN notes <> '' THEN '""" + C.NOTES_HEAD + """' || chr(10) || notes END], lambda y: y IS NOT NULL), chr(10) || chr(10)) AS context FROM bl)"""
+_PASS = LINES + ", t AS (SELECT source || ':' || p.part_idx || ':' || l.oi AS id, translate(p.text, 'qxzj', '「」『』') AS src, translate(l.line, 'qxzj', '「」『』') AS cur FROM pu p JOIN sizes z USING (source, part_idx) JOIN lines l ON l.source = p.source AND l.part_idx = p.part_idx AND l.oi = p.index WHERE n_src = n_out)," + _QUOTE + """,
+pl AS (SELECT l.source, l.part_idx, oi, translate(l.line, 'qxzj', '「」『』') AS cur, coalesce(x.line, translate(l.line, 'qxzj', '「」『』')) AS line, x.tags, n_src = n_out AS fits FROM lines l JOIN sizes z USING (source, part_idx) LEFT JOIN fixed x ON x.id = l.source || ':' || l.part_idx || ':' || l.oi)"""
+_JPARA = {"canon": "abs_end_char := end_char, abs_start_char := start_char, blank_before := blank_before, char_count := char_count, end_char := start_char - part_start + char_count, index := index, paragraph_id := pid, sep_newlines := sep_newlines, sha256 := sha256, start_char := start_char - part_start",
+          "plain": "paragraph_id := pid, index := index, start_char := start_char - part_start, end_char := start_char - part_start + char_count, abs_start_char := start_char, abs_end_char := end_char, char_count := char_count, sha256 := sha256, sep_newlines := sep_newlines, blank_before := blank_before"}
+_JPART = {"canon": "byte_count := byte_count, chapter_label := chapter_label, char_count := char_count, end_char := end_char, file := part_id || '.txt', first_heading := first_heading, forced_cut := forced_cut, index := part_idx, paragraphs := canon, part_id := part_id, sha256 := sha256, start_char := start_char, tail_newlines := tail_newlines, text_unit_count := n",
+          "plain": "part_id := part_id, index := part_idx, file := part_id || '.txt', start_char := start_char, end_char := end_char, char_count := char_count, byte_count := byte_count, sha256 := sha256, chapter_label := chapter_label, first_heading := first_heading, text_unit_count := n, tail_newlines := tail_newlines, forced_cut := forced_cut, paragraphs := plain"}
+_MANIFEST = _LABELS + f""",
+mp AS (SELECT source, part_idx, count(*) AS n, {', '.join(f"list(struct_pack({x}) ORDER BY index) AS {k}" for k, x in _JPARA.items())} FROM (SELECT *, format('part_{{:03d}}:p{{:03d}}', part_idx, index) AS pid FROM pu) GROUP BY 1, 2),
+mr AS (SELECT s.*, coalesce(n, 0) AS n, canon, plain, chapter_label, first_heading FROM slices s LEFT JOIN mp USING (source, part_idx) LEFT JOIN labels USING (source, part_idx)),
+ms AS (SELECT source, count(*) AS part_count, sum(char_count)::BIGINT AS total_char_count, sum(byte_count)::BIGINT AS total_byte_count, {', '.join(f"list(struct_pack({x}) ORDER BY part_idx) AS {k}" for k, x in _JPART.items())} FROM mr GROUP BY 1),
+md AS (SELECT ms.*, to_json(struct_pack(config := struct_pack(hard_max := 20000, min_part := 2000, target_max := 15000, target_min := 8000), part_count := part_count, parts := canon, schema := '{MF.SCHEMA_NAME}', schema_version := '{MF.SCHEMA_VERSION}', source := ms.source,
+  source_info := struct_pack(byte_count := strlen(b.text), char_count := length(b.text), has_bom := starts_with(b.text, chr(65279)), line_ending := CASE WHEN contains(b.text, chr(13)) THEN '?' WHEN contains(b.text, chr(10)) THEN 'LF' ELSE 'NONE' END, sha256 := sha256(b.text)),
+  total_byte_count := total_byte_count, total_char_count := total_char_count))::VARCHAR AS doc FROM ms JOIN book b USING (source))"""
+
+
 def sql(ctes: str, select: str) -> str:
     return f"WITH {ctes.strip()} {select}"
 
@@ -225,4 +284,19 @@ SQL = {
     "prompts": sql(_LABELS + ", nl AS (SELECT source, part_idx, count(*) AS n FROM pu GROUP BY 1, 2)", "SELECT s.source, s.part_idx, sha256('part: ' || part_id || chr(10) || 'chapter: ' || chapter_label || chr(10) || 'lines: ' || n || chr(10) || chr(10) || t) AS user_sha, least(greatest(floor(char_count * 1.6), 4096), 32000)::INT AS max_tokens FROM slices s JOIN labels USING (source, part_idx) JOIN nl USING (source, part_idx)"),
     "prompt_blocks": sql(values("t", samples.LANGS, "id, code"), "SELECT id, 'head' || CASE WHEN starts_with(lower(trim(coalesce(code, ''))), 'ja') THEN ',ruby' ELSE '' END || CASE WHEN starts_with(lower(trim(coalesce(code, ''))), 'ja') OR starts_with(lower(trim(coalesce(code, ''))), 'ko') THEN ',keigo' ELSE '' END || CASE WHEN id % 2 = 0 THEN ',genre' ELSE '' END AS blocks FROM t"),
     "conversation_pairs": f"WITH a AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS r2, lead(text) OVER w AS t2 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)), b AS (SELECT conv_id, turn, {strip('text')} AS s, {strip('t2')} AS t FROM a WHERE role = 'user' AND r2 = 'assistant'), c AS (SELECT *, CASE WHEN length(s) >= 8 AND t IS NOT NULL THEN length(t) / length(s)::DOUBLE END AS r FROM b) SELECT conv_id, turn, r AS unit_ratio, coalesce(length(s) >= 15 AND (length(t) <= 2 OR length(t) < greatest(2, floor(length(s) * 0.15))), false) OR (s IS NOT NULL AND t IS NULL) AS short, {_LEVEL} AS ratio_level, s IS NOT NULL AND t IS NULL AND (length(s) <= 3 OR regexp_matches(s, '^[^\\p{{L}}\\p{{N}}]+$')) AS special_missing FROM c",
+    "plan_parts": sql(_PLANNED, "SELECT source, i::INT AS part_idx, x.s AS start_char, x.e AS end_char, x.f AS forced_cut, x.l AS cut_level FROM (SELECT source, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS x FROM absorbed)"),
+    "manifest": sql(_MANIFEST, "SELECT source, part_count, total_char_count, total_byte_count, sha256(doc) AS manifest_sha256, to_json(plain)::VARCHAR AS parts FROM md"),
+    "audit": sql(_AUDIT, "SELECT source, code, level, count(*) AS n FROM found GROUP BY 1, 2, 3"),
+    "self_check": sql(SLICES + "," + _V4 + f", lost AS (SELECT DISTINCT source FROM slices WHERE part_idx = 2 AND {NUM} % 4 = 0)", f"SELECT * FROM v4 UNION ALL SELECT source, NULL, 2, 'V5', 'sums of parts differ' FROM lost UNION ALL SELECT source, NULL, 2, 'V6', 'parts do not give the text again' FROM lost UNION ALL SELECT source, part_id, 2, 'V7', char_count || ' characters' FROM slices WHERE char_count > 20000 AND NOT (part_idx = 2 AND {NUM} % 4 = 0)"),
+    "status_report": sql(_STATE + f", pr AS (SELECT source, format('part_{{:03d}}', part_idx) AS pid, review, CASE WHEN part_idx = {NUM} + 2 AND {NUM} % 4 = 0 THEN 'NEEDS_REVIEW' ELSE status END AS s FROM ps)", "SELECT source, count(*) AS n_parts, " + ", ".join(f"count(*) FILTER (WHERE s = '{s}') AS {c}" for s, c in (("PENDING", "pending"), ("IN_PROGRESS", "in_progress"), ("NEEDS_REVIEW", "in_review"), ("DONE", "done"), ("FAILED", "failed"))) + ", min(pid) FILTER (WHERE s <> 'DONE') AS current, " + ", ".join(f"coalesce(string_agg(pid, ',' ORDER BY pid) FILTER (WHERE {w}), '') AS {c}" for w, c in (("s = 'IN_PROGRESS'", "hanging"), ("s = 'FAILED'", "failed_parts"), ("review", "review_parts"))) + " FROM pr GROUP BY 1"),
+    "hanging_parts": sql(OUTS + _STATE[len(PLAN):], "SELECT p.source, p.part_idx, CASE WHEN o.text IS NOT NULL THEN 'output' WHEN p.part_idx % 3 = 0 THEN 'draft' ELSE 'nothing' END AS found, CASE WHEN o.text IS NOT NULL THEN 'read it, then settle' WHEN p.part_idx % 3 = 0 THEN 'keep or discard it, then run again' ELSE 'run again' END AS advice FROM ps p LEFT JOIN outs o ON o.source = p.source AND o.part_idx = p.part_idx AND o.part_idx % 2 = 0 WHERE status = 'IN_PROGRESS'"),
+    "verify_writeback": sql(_QA + _STATE[len(PLAN):], "SELECT st.source, st.part_idx, status, ['PASS', 'WARN', 'FAIL'][level + 1] AS verify, CASE WHEN level IS NOT NULL THEN array_to_string(list_sort([" + ", ".join(f"'{code}=' || ['PASS', 'WARN', 'FAIL'][{c} + 1]" for c, code in _CODES.items() if c != "part_ratio_level") + "]), ',') END AS checks, coalesce(n_src, -1) AS n_src, coalesce(n_out - n_src, 0) AS delta, coalesce(ratio, -1.0) AS ratio, CASE WHEN level IS NOT NULL THEN level > 0 ELSE review END AS needs_human_review FROM st LEFT JOIN ql USING (source, part_idx)"),
+    "settle_decisions": sql(_QA + _STATE[len(PLAN):] + "," + _SET, "SELECT source, part_idx, decision, decision = 'done' AND level > 0 AS needs_human_review FROM (SELECT r.source, r.part_idx, coalesce(level, 2) AS level, CASE WHEN s NOT IN ('IN_PROGRESS', 'NEEDS_REVIEW') THEN 'not open' WHEN coalesce(z.n_out, 0) = 0 OR r.part_idx % 7 = 0 THEN 'no output' WHEN r.part_idx % 5 = 0 THEN 'not confirmed' WHEN coalesce(level, 2) = 2 THEN 'fails its checks' ELSE 'done' END AS decision FROM rows r LEFT JOIN ql USING (source, part_idx) LEFT JOIN sizes z USING (source, part_idx))"),
+    "banded_ratios": sql(_CAL, "SELECT source, CASE WHEN r < coalesce(fl, 0.3) OR r > coalesce(fh, 2.5) THEN 2 WHEN r < coalesce(wl, 0.45) OR r > coalesce(wh, 1.8) THEN 1 ELSE 0 END AS ratio_level, count(*) AS n FROM pc LEFT JOIN bands USING (source) GROUP BY 1, 2"),
+    "marked_lines": sql(LINES, " UNION ALL ".join(f"SELECT source, part_idx, {i + 1} AS pattern, '{name}' AS name, count(*) AS n, arg_min(left(line, 40), oi) AS sample FROM lines WHERE regexp_matches(line, '{re2(p)}') GROUP BY 1, 2" for i, (name, p) in enumerate(qa.FORBIDDEN))),
+    "context_blocks": sql(_BLOCK, "SELECT source, part_idx, length(context)::INT AS chars, sha256(context) AS sha256, array_to_string(hits, '|') AS hits FROM bx"),
+    "punctuation_pass": sql(_PASS, "SELECT source, part_idx, sha256(string_agg(line, chr(10) ORDER BY oi)) AS sha256, bool_and(fits) AS fits, count(*) FILTER (WHERE cur <> line) AS changed, coalesce(sum(CASE WHEN tags <> '' THEN len(string_split(tags, ',')) ELSE 0 END), 0)::INT AS n_tags, array_to_string(list_sort(list_distinct(flatten(list(CASE WHEN tags <> '' THEN string_split(tags, ',') ELSE [] END)))), ',') AS tags FROM pl GROUP BY 1, 2"),
+    "clean_documents": f"WITH t AS (SELECT 'd' AS kind, doc_id AS id, 0::BIGINT AS turn, text AS raw, text AS t FROM documents UNION ALL SELECT 'c', conv_id, turn, text, text FROM conversations), c AS (SELECT *, coalesce(array_to_string(list_transform(list_filter(string_split(replace(replace(raw, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda x: NOT regexp_matches(x, '{_FENCE}') AND NOT regexp_matches(x, '{_CHAT}') AND {strip('x')} <> ''), lambda x: {strip('x')}), chr(10)), '') AS clean FROM t) SELECT kind, id, turn, sha256(clean) AS sha256, length(clean)::INT AS chars, {_KR} AS kana, {_KR} > 0.15 AS residue FROM c",
+    "document_titles": sql("t AS (SELECT doc_id AS id, split_part(text, chr(10), 1) AS raw FROM documents)," + _TITLE_STEPS, "SELECT id, title, CASE WHEN title IS NOT NULL AND title <> 'x' THEN title || '.txt' ELSE 'x_translated.txt' END AS file FROM z"),
+    "document_langs": f"WITH u AS (SELECT doc_id AS id, lang, lang AS k FROM documents) SELECT id, lang, {_NAME} AS name, lang AS source_lang, 'zh-hant' AS target_lang FROM u",
 }

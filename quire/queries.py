@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from quire import fixtures as fx
 from quire import samples
+from quire.config import ContextLimits
 from quire.functions import lang, punct
 from quire.functions import text as T
-from quire.operators import context, integrity, manifest, merge, prompt, qa, state, units
+from quire.operators import audit, context, integrity, manifest, merge, prompt, qa, state, units
 from quire.plans import parts as plans
 
 
@@ -24,11 +25,6 @@ class Case:
             self._made[name] = make()
         return self._made[name]
 
-    def keep(self, *names: str) -> None:
-        """Hold inputs that a query reads many times, in memory and beyond that on disk."""
-        for name in names:
-            self._made[name] = getattr(self, name).persist()
-
     @property
     def books(self) -> DataFrame:
         return self._once("books", lambda: fx.book(self.spark, self.dir))
@@ -88,6 +84,17 @@ class Case:
         rows = fx.table(self.spark, self.dir, "benchmark")
         return rows.select(F.element_at(files, k + 1).alias("file"), k.alias("prio"), F.col("item_id").cast("int").alias("ord"), F.left("text", F.lit(20)).alias("heading"), F.col("text").alias("body"))
 
+    @property
+    def levels(self) -> DataFrame:
+        """The checks of the parts with equal counts."""
+
+        def make():
+            on = ["source", "part_idx"]
+            same = qa.counts(self.part_units, self.lines).where("n_src = n_out").select(*on)
+            return qa.part_checks(self.part_units.join(same, on, "left_semi"), self.lines.join(same, on, "left_semi"), self.pairs)
+
+        return self._once("levels", make)
+
     @property
     def doc_parts(self) -> DataFrame:
         return fx.table(self.spark, self.dir, "documents").select("doc_id", F.lit(1).alias("part_idx"), "text")
@@ -161,10 +168,7 @@ def q_chapter_labels(c: Case) -> DataFrame:
 
 
 def q_v1_source(c: Case) -> DataFrame:
-    n = F.expr("cast(substr(source, 4) as int)")
-    old = units.source_profile(c.books)
-    old = old.withColumns({"byte_count": F.when(n % 5 == 0, F.col("byte_count") + 1).otherwise(F.col("byte_count")), "sha256": F.when(n % 7 == 0, F.lit("0")).otherwise(F.col("sha256"))})
-    return integrity.v1_source(c.books, old)
+    return integrity.v1_source(c.books, _recorded(c))
 
 
 def q_v2_manifest(c: Case) -> DataFrame:
@@ -188,7 +192,6 @@ def q_v8_units(c: Case) -> DataFrame:
 
 
 def q_manifest(c: Case) -> DataFrame:
-    c.keep("plan", "part_units")
     made = manifest.manifest(c.books, c.slices, c.part_units, c.labels)
     return made.select("source", "part_count", "total_char_count", "total_byte_count", "manifest_sha256", F.to_json("parts").alias("parts"))
 
@@ -206,19 +209,14 @@ def q_aligned_pairs(c: Case) -> DataFrame:
 
 
 def q_misaligned_pairs(c: Case) -> DataFrame:
-    c.keep("part_units", "lines")
     return qa.misaligned_pairs(c.part_units, c.lines, qa.counts(c.part_units, c.lines)).drop("s", "t")
 
 
 def q_qa_parts(c: Case) -> DataFrame:
-    c.keep("part_units", "lines")
-    same = qa.counts(c.part_units, c.lines).where("n_src = n_out").select("source", "part_idx")
-    on = ["source", "part_idx"]
-    return qa.part_checks(c.part_units.join(same, on, "left_semi"), c.lines.join(same, on, "left_semi"), c.pairs)
+    return c.levels
 
 
 def q_qa_all(c: Case) -> DataFrame:
-    c.keep("part_units", "lines")
     sizes = qa.counts(c.part_units, c.lines)
     return qa.part_checks(c.part_units, c.lines, c.pairs.unionByName(qa.misaligned_pairs(c.part_units, c.lines, sizes)))
 
@@ -281,7 +279,6 @@ def q_verdicts(c: Case) -> DataFrame:
 
 
 def q_calibration(c: Case) -> DataFrame:
-    c.keep("part_units", "lines")
     return qa.calibrated(c.pairs)
 
 
@@ -415,6 +412,101 @@ def q_conversation_pairs(c: Case) -> DataFrame:
     return qa.pair_checks(rows).select("conv_id", "turn", "unit_ratio", "short", "ratio_level", "special_missing")
 
 
+def _sums(c: Case) -> DataFrame:
+    return c.slices.groupBy("source").agg(F.count("*").alias("part_count"), F.sum("char_count").alias("total_char_count"), F.sum("byte_count").alias("total_byte_count"))
+
+
+def _recorded(c: Case) -> DataFrame:
+    n = F.expr("cast(substr(source, 4) as int)")
+    old = units.source_profile(c.books)
+    return old.withColumns({"byte_count": F.when(n % 5 == 0, F.col("byte_count") + 1).otherwise(F.col("byte_count")), "sha256": F.when(n % 7 == 0, F.lit("0")).otherwise(F.col("sha256"))})
+
+
+def q_audit(c: Case) -> DataFrame:
+    """All checks of all books at once, some of whose parts are lost and some records wrong; issues counted by code."""
+    now = c.slices.where("part_idx % 11 <> 5")
+    found = audit.source_issues(c.books, _recorded(c), _sums(c), c.slices, c.plan, now, c.part_units)
+    found = integrity.union([found, audit.output_issues(c.levels), audit.binding_issues(q_binding_errors(c))])
+    return found.groupBy("source", "code", "level").agg(F.count("*").alias("n"))
+
+
+def q_self_check(c: Case) -> DataFrame:
+    moved = F.when(F.col("part_idx") % 5 == 0, F.col("start_char") + 1).otherwise(F.col("start_char"))
+    kept = c.slices.where("not (part_idx = 2 and cast(substr(source, 4) as int) % 4 = 0)")
+    return audit.self_check(kept, c.plan.withColumn("start_char", moved), c.books)
+
+
+def q_status_report(c: Case) -> DataFrame:
+    rows = state.with_status(c.plan.select("source", "part_idx"), c.state)
+    n = F.expr("cast(substr(source, 4) as int)")
+    rows = rows.withColumn("status", F.when((F.col("part_idx") == n + 2) & (n % 4 == 0), "NEEDS_REVIEW").otherwise(F.col("status")))
+    out = audit.status_report(rows)
+    return out.withColumns({x: F.array_join(x, ",") for x in ("hanging", "failed_parts", "review_parts")})
+
+
+def q_hanging_parts(c: Case) -> DataFrame:
+    return audit.hanging(state.with_status(c.plan.select("source", "part_idx"), c.state), c.outputs.where("part_idx % 2 = 0"), c.slices.where("part_idx % 3 = 0"))
+
+
+def q_verify_writeback(c: Case) -> DataFrame:
+    rows = audit.write_back(c.state, c.levels)
+    checks = F.array_join(F.transform(F.array_sort(F.map_entries("checks")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return rows.select("source", "part_idx", "status", "verify", checks.alias("checks"), *[F.coalesce(x, F.lit(y)).alias(n) for n, x, y in (("n_src", "text_units.source", -1), ("delta", "text_units.delta", 0), ("ratio", "ratio", -1.0))], "needs_human_review")
+
+
+def q_settle_decisions(c: Case) -> DataFrame:
+    rows = c.state.withColumn("status", F.when(F.col("part_idx") % 3 == 0, "NEEDS_REVIEW").when(F.col("part_idx") % 3 == 1, "IN_PROGRESS").otherwise(F.col("status")))
+    out = audit.settle(rows, c.outputs.where("part_idx % 7 <> 0"), c.levels, c.plan.where("part_idx % 5 <> 0"))
+    return out.na.fill(False, ["needs_human_review"])
+
+
+def q_banded_ratios(c: Case) -> DataFrame:
+    """Ratio levels by book; every other book has bands calibrated from its own pairs."""
+    names = {"warn_low": "unit_warn_low", "warn_high": "unit_warn_high", "fail_low": "unit_fail_low", "fail_high": "unit_fail_high"}
+    stored = qa.calibrated(c.pairs).where("cast(substr(source, 4) as int) % 2 = 0").withColumnsRenamed(names)
+    rows, bands = qa.with_bands(c.pairs, stored.select("source", *names.values()))
+    return qa.pair_checks(rows, bands).groupBy("source", "ratio_level").agg(F.count("*").alias("n"))
+
+
+def q_marked_lines(c: Case) -> DataFrame:
+    return qa.marked_lines(c.lines)
+
+
+def q_context_blocks(c: Case) -> DataFrame:
+    """The context of every part of the books, from the benchmark's items as notes and terms."""
+    rows = fx.table(c.spark, c.dir, "benchmark")
+    terms = rows.select(F.col("item_id").alias("pos"), F.left("text", F.lit(12)).alias("src_term"), F.col("item_id").cast("string").alias("tgt_term"))
+    out = context.context_block(c.slices, c.sections.where("file <> 'terms.md'"), terms, c.outputs, limits=ContextLimits(budget=500))
+    return out.select("source", "part_idx", F.length("context").alias("chars"), T.sha256(F.col("context")).alias("sha256"), F.array_join("hits", "|").alias("hits"))
+
+
+def q_punctuation_pass(c: Case) -> DataFrame:
+    """Lines of the books with rare letters turned into brackets, beside their translation's, rewritten by part."""
+    src = c.part_units.withColumn("text", F.translate("text", "qxzj", "「」『』"))
+    out = c.outputs.withColumn("text", F.translate("text", "qxzj", "「」『』"))
+    rows = punct.punctuate(src, out, "ja", "zh-hans")
+    return rows.select("source", "part_idx", "sha256", "fits", "changed", F.size("tags").alias("n_tags"), F.array_join(F.array_distinct("tags"), ",").alias("tags"))
+
+
+def q_clean_documents(c: Case) -> DataFrame:
+    """Every document and turn as a model's raw answer, cleaned, with its share of kana."""
+    docs = fx.table(c.spark, c.dir, "documents").select(F.lit("d").alias("kind"), F.col("doc_id").alias("id"), F.lit(0).cast("long").alias("turn"), "text")
+    rows = docs.unionByName(fx.table(c.spark, c.dir, "conversations").select(F.lit("c").alias("kind"), F.col("conv_id").alias("id"), "turn", "text"))
+    clean = qa.clean_output(F.col("text"))
+    return rows.select("kind", "id", "turn", T.sha256(clean).alias("sha256"), F.length(clean).alias("chars"), qa.kana_ratio(F.col("text")).alias("kana"), qa.has_residue(F.col("text"), "ja").alias("residue"))
+
+
+def q_document_titles(c: Case) -> DataFrame:
+    raw = F.split_part("text", F.lit("\n"), F.lit(1))
+    return fx.table(c.spark, c.dir, "documents").select(F.col("doc_id").alias("id"), lang.sanitize_title(raw).alias("title"), lang.out_name(raw, F.lit("x")).alias("file"))
+
+
+def q_document_langs(c: Case) -> DataFrame:
+    rows = fx.table(c.spark, c.dir, "documents").select(F.col("doc_id").alias("id"), F.concat(F.upper("lang"), F.lit("_X")).alias("code"), "lang")
+    pair = lang.lang_pair(F.col("code"), F.lit("zh_TW"))
+    return rows.select("id", F.col("lang"), lang.lang_name(F.col("lang"), F.lit(None).cast("string"), "?").alias("name"), pair["source_lang"].alias("source_lang"), pair["target_lang"].alias("target_lang"))
+
+
 def queries() -> dict:
     found = {name[2:]: f for name, f in globals().items() if name.startswith("q_")}
     return {name: (lambda spark, sf_dir, f=f: f(Case(spark, sf_dir))) for name, f in found.items()}

@@ -21,6 +21,26 @@ def read_bytes(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content", "length")
 
 
+def locate_source(spark: SparkSession, folder: str, given: str = "", setting: str = "") -> str:
+    """The path of the source: the one given, else the one of the settings, else the only *.txt file of the folder."""
+    for path in (given.strip(), setting.strip()):
+        if path:
+            return path
+    found = [r.path for r in listing(spark, folder, r"\.txt$").select("path").limit(11).collect()]
+    if len(found) != 1:
+        raise ValueError(f"{folder} holds {len(found) if len(found) < 11 else 'many'} text files, not one: name the source ({', '.join(found[:10])})")
+    return found[0]
+
+
+def read_checked(spark: SparkSession, path: str, schema: StructType | str, name: str, version: str) -> DataFrame:
+    """What write_manifest wrote: JSON lines that must all be of one schema name and version."""
+    rows = read_json(spark, path, schema, lines=True)
+    bad = rows.where(~F.col("schema").eqNullSafe(F.lit(name)) | ~F.col("schema_version").eqNullSafe(F.lit(version))).limit(1).collect()
+    if bad:
+        raise ValueError(f"{path} holds {bad[0]['schema']} {bad[0].schema_version}, not {name} {version}")
+    return rows
+
+
 def one_source(spark: SparkSession, path: str) -> DataFrame:
     """read_texts for a path that must hold exactly one file."""
     rows = read_texts(spark, path)
@@ -30,9 +50,10 @@ def one_source(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def read_json(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """Multi-line JSON documents of a fixed schema; a missing path is an error, a malformed document too."""
-    return spark.read.json(path, schema=schema, multiLine=True, mode="FAILFAST")
+def read_json(spark: SparkSession, path: str, schema: StructType | str, lines: bool = False) -> DataFrame:
+    """JSON documents of a fixed schema, one a file or (lines) one a line, as our writers make them; a missing path is an error, a
+    malformed document too."""
+    return spark.read.json(path, schema=schema, multiLine=not lines, mode="FAILFAST")
 
 
 def read_notes(spark: SparkSession, path: str) -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import posixpath
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
+
 
 def write_parts(slices: DataFrame, path: str, key: str = "source", replace: bool = False) -> None:
     """Part texts, partitioned by key; an existing split is not overwritten unless asked."""
@@ -30,13 +34,39 @@ def archive(outputs: DataFrame, path: str) -> None:
     outputs.withColumn("archived_at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
+def write_split(slices: DataFrame, manifest: DataFrame, problems: DataFrame, path: str, key: str = "source", replace: bool = False) -> None:
+    """Parts, then their manifest, below path; refused if audit.self_check found problems."""
+    found = problems.select(key, "code").distinct().limit(5).collect()
+    if found:
+        raise ValueError("the split fails its own checks: " + ", ".join(f"{r[0]} {r[1]}" for r in found))
+    write_parts(slices, f"{path}/parts", key, replace)
+    write_manifest(manifest, f"{path}/manifest", replace)
+
+
+def stage_outputs(outputs: DataFrame, incoming: str, path: str, key: str = "source") -> DataFrame:
+    """Write outputs(key, part_idx, text) as drafts, hash what arrived there, and append that to path; returns (key, part_idx,
+    output_sha256, output_char_count) of the rows as stored."""
+    spark = outputs.sparkSession
+    outputs.select(key, "part_idx", "text").write.mode("errorifexists").parquet(incoming)
+    rows = spark.read.parquet(incoming)
+    rows = rows.withColumns({"output_sha256": T.sha256(F.col("text")), "output_char_count": F.length("text")})
+    rows.write.mode("append").parquet(path)
+    return spark.read.parquet(path).join(rows.select(key, "part_idx"), [key, "part_idx"], "left_semi").select(key, "part_idx", "output_sha256", "output_char_count")
+
+
+def _plain(path: str) -> str:
+    """A path without scheme, doubled slashes and dots, for comparison."""
+    return posixpath.normpath("/" + path.split("://", 1)[-1].removeprefix("file:").lstrip("/"))
+
+
 def write_text(merged: DataFrame, path: str, source_path: str, key: str = "source") -> None:
-    """Final texts as text files, one folder a key; never the folder that holds the source."""
-    if path.rstrip("/") == source_path.rstrip("/"):
+    """Final texts as text files, one folder a key; never the source or the folder that holds it."""
+    if _plain(path) in (_plain(source_path), posixpath.dirname(_plain(source_path))):
         raise ValueError("the result would overwrite its source")
     merged.select(key, F.col("text").alias("value")).write.mode("overwrite").partitionBy(key).text(path)
 
 
+#: Names of a project's note files.
 SKELETON = ("characters.md", "terms.md", "locations.md", "relationships.md", "timeline.md", "facts.md", "conflicts.md")
 
 
@@ -49,3 +79,15 @@ def seed_notes(spark: SparkSession, existing: DataFrame) -> DataFrame:
 def report_json(issues: DataFrame) -> DataFrame:
     """Issues as JSON lines, failures first."""
     return issues.orderBy(F.desc("level"), "code", "part_id").select(F.to_json(F.struct(*issues.columns)).alias("value"))
+
+
+def report_text(issues: DataFrame, key: str = "source") -> DataFrame:
+    """Issues as lines of text, failures first, each with its level's name; a key's issues stay together."""
+    name = F.element_at(F.array(F.lit("PASS"), F.lit("WARN"), F.lit("FAIL")), F.col("level") + 1)
+    line = F.concat_ws(" ", F.concat(F.lit("["), name, F.lit("]")), "code", "part_id", T.clipped(F.col("msg"), 200))
+    return issues.orderBy(key, F.desc("level"), "code", "part_id").select(key, line.alias("value"))
+
+
+def archive_name(name: Column, at: Column) -> Column:
+    """A name with the time at which it was archived."""
+    return F.concat(name, F.lit("."), F.date_format(at, "yyyyMMdd-HHmmss"))

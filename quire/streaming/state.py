@@ -9,7 +9,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from quire.operators.state import MAX_ATTEMPTS
 
-OUTPUT = "key long, seq long, status string, attempts int, needs_human_review boolean"
+OUTPUT = "key long, seq long, status string, attempts int, needs_human_review boolean, stale boolean"
 STATE = "status string, attempts int, review boolean, seq long"
 
 
@@ -35,22 +35,30 @@ def step(status: str, attempts: int, review: bool, action: str) -> tuple[str, in
     return status, attempts, review
 
 
-def _run(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
-    import pandas as pd
+def _runner(stale_seconds: int):
+    def run(key: tuple, batches: Iterator, state: GroupState) -> Iterator:
+        import pandas as pd
 
-    status, attempts, review, last = state.get if state.exists else ("PENDING", 0, False, 0)
-    rows = []
-    for pdf in batches:
-        for seq, action in sorted(zip(pdf["seq"].tolist(), pdf["action"].tolist())):
-            if seq <= last:  # an event delivered again changes nothing
-                continue
-            status, attempts, review = step(status, attempts, review, action)
-            last = seq
-            rows.append((key[0], seq, status, attempts, review))
-    state.update((status, attempts, review, last))
-    yield pd.DataFrame(rows, columns=["key", "seq", "status", "attempts", "needs_human_review"])
+        status, attempts, review, last = state.get if state.exists else ("PENDING", 0, False, 0)
+        rows = []
+        if state.hasTimedOut:
+            rows.append((key[0], last, status, attempts, review, status == "IN_PROGRESS"))
+        for pdf in () if state.hasTimedOut else batches:
+            for seq, action in sorted(zip(pdf["seq"].tolist(), pdf["action"].tolist())):
+                if seq <= last:  # an event delivered again changes nothing
+                    continue
+                status, attempts, review = step(status, attempts, review, action)
+                last = seq
+                rows.append((key[0], seq, status, attempts, review, False))
+        state.update((status, attempts, review, last))
+        if status == "IN_PROGRESS" and not state.hasTimedOut:
+            state.setTimeoutDuration(stale_seconds * 1000)
+        yield pd.DataFrame(rows, columns=["key", "seq", "status", "attempts", "needs_human_review", "stale"])
 
+    return run
 
-def track(events: DataFrame) -> DataFrame:
-    """events(key, seq, action) as a stream to every key's state after each event. Events of a key come in seq order."""
-    return events.select("key", "seq", "action").groupBy("key").applyInPandasWithState(_run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+
+def track(events: DataFrame, stale_seconds: int = 1800) -> DataFrame:
+    """events(key, seq, action) as a stream to every key's state after each event; events of a key come in seq order. A key in
+    progress that has had no event, a heartbeat among them, for stale_seconds gives one more row, marked stale."""
+    return events.select("key", "seq", "action").groupBy("key").applyInPandasWithState(_runner(stale_seconds), OUTPUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)

@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from quire.config import PartLimits
@@ -120,3 +122,107 @@ def test_merge_restores_the_text_and_reports(spark):
     state = plan.select("source", "part_idx", F.lit("DONE").alias("status"), F.lit(False).alias("needs_human_review"))
     assert G.precheck(plan, state, out, pu).count() == 0
     assert {r.reason for r in G.precheck(plan, state.where("part_idx > 1"), out.where("source = 'a'"), pu).collect()} == {"not done", "no output"}
+
+
+def naive_alignment(a, b):
+    """Longest common block (the earliest in a, then in b), then the same to its left and right; what is between pairs up."""
+
+    def blocks(i, j, k, m):
+        best = (0, i, k)
+        for x in range(i, j):
+            for y in range(k, m):
+                n = 0
+                while x + n < j and y + n < m and a[x + n] == b[y + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, x, y)
+        n, x, y = best
+        return [*blocks(i, x, k, y), (x, y, n), *blocks(x + n, j, y + n, m)] if n else []
+
+    out, i, k = [], 0, 0
+    for x, y, n in [*blocks(0, len(a), 0, len(b)), (len(a), len(b), 0)]:
+        both = min(x - i, y - k)
+        out += [(i + z + 1, k + z + 1) for z in range(both)]
+        out += [(z + 1, None) for z in range(i + both, x)] + [(None, z + 1) for z in range(k + both, y)]
+        out += [(x + z + 1, y + z + 1) for z in range(n)]
+        i, k = x + n, y + n
+    return out
+
+
+def test_alignment_equals_a_naive_one(spark):
+    rng = random.Random(6)
+    src, out, want = [], [], {}
+    for part in range(1, 31):
+        a = [rng.choice("abcdefg") for _ in range(rng.randrange(1, 12))]
+        b = [x for x in a if rng.random() < 0.7] + [rng.choice("abxy") for _ in range(rng.randrange(0, 4))]
+        rng.random() < 0.3 and rng.shuffle(b)
+        assert qa.align_sequences(a, b) == naive_alignment(a, b)
+        src += [("k", part, i + 1, x) for i, x in enumerate(a)]
+        out += [("k", part, i + 1, x) for i, x in enumerate(b)]
+        if len(a) != len(b):
+            want[part] = [(i, j, a[i - 1] if i else None, b[j - 1] if j else None) for i, j in naive_alignment(a, b)]
+    units = spark.createDataFrame(src, "source string, part_idx int, index int, text string")
+    lines = spark.createDataFrame(out, "source string, part_idx int, oi int, line string")
+    rows = qa.misaligned_pairs(units, lines, qa.counts(units, lines)).collect()
+    got = {}
+    for r in rows:
+        got.setdefault(r.part_idx, []).append((r.si, r.oi, r.s, r.t))
+    key = lambda rows: sorted(rows, key=str)
+    assert {p: key(x) for p, x in got.items()} == {p: key(x) for p, x in want.items()}
+
+
+def brute_checks(src, out, pairs):
+    """The levels of one part, rule by rule."""
+    import re
+
+    if not out:
+        return {"v9": 2}
+    got = {"v9": 0, "v10a": 0 if len(src) == len(out) else 2 if abs(len(out) - len(src)) / max(len(src), 1) > 0.1 else 1}
+    seq = [j for i, j in pairs if i and j]
+    got["v10b"] = 2 * any(y < x for x, y in zip(seq, seq[1:]))
+    short, level, special = False, 0, False
+    for i, j in pairs:
+        if not i:
+            continue
+        s = src[i - 1]
+        if not j:
+            short = True
+            special |= len(s) <= 3 or re.fullmatch(r"[\s\W_]+", s) is not None
+            continue
+        t = out[j - 1]
+        short |= len(s) >= 15 and (len(t) <= 2 or len(t) < max(2, int(len(s) * 0.15)))
+        if len(s) >= 8:
+            r = len(t) / len(s)
+            level = max(level, 2 if r < 0.3 or r > 2.5 else 1 if r < 0.45 or r > 1.8 else 0)
+    joined, n = "".join(out), 0
+    blocks = [joined[x : x + 30] for x in range(0, max(len(joined) - 30, 0), 30)]
+    n = len(blocks) - len(set(blocks))
+    twice = any(x == y and len(x) > 8 for x, y in zip(out, out[1:]))
+    ratio = sum(map(len, out)) / sum(map(len, src)) if src else 0.0
+    return got | {"v10c": 2 * short, "v10d": level, "v10e": 2 * (twice or n / max(len(blocks), 1) > 0.15), "v11": 2 * any(x.startswith("```") for x in out), "v12": 2 * special, "part_ratio_level": int(ratio < 0.6 or ratio > 2.5)}
+
+
+def test_all_part_checks_equal_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcd ") for _ in range(rng.randrange(1, 45))).strip() or "x"
+    src, out, want = [], [], {}
+    for part in range(1, 61):
+        a = [rng.choice([word(), word(), "***", "—"]) for _ in range(rng.randrange(1, 14))]
+        b = []
+        for x in a:
+            b += rng.choice([[x], [x], [x], [x], [x, x], [], [x[: max(1, len(x) // 4)]], ["```"], [x * 3], [word()]])
+        if rng.random() < 0.3:
+            rng.shuffle(b)
+        if rng.random() < 0.1:
+            b = []
+        pairs = [(i + 1, i + 1) for i in range(len(a))] if len(a) == len(b) else naive_alignment(a, b)
+        want[part] = brute_checks(a, b, pairs)
+        src += [("k", part, i + 1, x) for i, x in enumerate(a)]
+        out += [("k", part, i + 1, x) for i, x in enumerate(b)]
+    units = spark.createDataFrame(src, "source string, part_idx int, index int, text string")
+    lines = spark.createDataFrame(out, "source string, part_idx int, oi int, line string")
+    sizes = qa.counts(units, lines)
+    pairs = qa.zip_pairs(units, lines, sizes).unionByName(qa.misaligned_pairs(units, lines, sizes))
+    rows = {r.part_idx: r.asDict() for r in qa.part_checks(units, lines, pairs).collect()}
+    assert {p: {k: v for k, v in rows[p].items() if k in w and v is not None} for p, w in want.items()} == want
+    assert len({tuple(w.values()) for w in want.values()}) > 15

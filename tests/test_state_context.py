@@ -1,5 +1,7 @@
 import random
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from quire.operators import context as C
@@ -52,6 +54,48 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     assert {r.key: tuple(r.s) for r in last.collect()} == sequential(events)
 
 
+def test_a_silent_claim_is_reported_as_stale(spark, tmp_path):
+    src = str(tmp_path / "in")
+    schema = "key long, seq long, action string"
+    spark.createDataFrame([(1, 1, "CLAIM"), (2, 1, "CLAIM"), (2, 2, "COMMIT_PASS")], schema).coalesce(1).write.parquet(src)
+    q = stream.track(spark.readStream.schema(schema).parquet(src), stale_seconds=1)
+    run = q.writeStream.format("memory").queryName("silent").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="1 second").start()
+    until = time.time() + 60
+    while time.time() < until and not spark.table("silent").where("stale").count():
+        time.sleep(1)
+    run.stop()
+    assert [(r.key, r.status) for r in spark.table("silent").where("stale").collect()] == [(1, "IN_PROGRESS")]
+
+
+def test_context_has_tails_sections_and_terms(spark):
+    parts = spark.createDataFrame([("a", 1, "first part"), ("a", 2, "田中 met Bob in 東京"), ("a", 3, "nothing")], "source string, part_idx int, text string")
+    sections = spark.createDataFrame([("characters.md", 0, 1, "田中（主角）", "hero"), ("terms.md", 1, 2, "places", "table"), ("facts.md", 5, 3, "absent", "x")], "file string, prio int, ord int, heading string, body string")
+    terms = spark.createDataFrame([(i, "東京" if i == 50 else f"Bob{'' if i == 0 else i}", f"t{i}") for i in range(60)], "pos int, src_term string, tgt_term string")
+    outputs = spark.createDataFrame([("a", 1, "erster Teil")], "source string, part_idx int, text string")
+    got = {r.part_idx: r for r in C.context_block(parts, sections, terms, outputs).collect()}
+    assert got[1].context == "" and got[1].hits == []
+    assert got[2].hits == ["characters.md::田中（主角）", "terms.md::places", "terms.md::terms"]
+    want = [C.TRANSLATED_HEAD, "erster Teil", "", C.RAW_HEAD, "first part", "", C.NOTES_HEAD, "[characters.md] 田中（主角）", "hero", "", "[terms.md] places", "table", "", "[terms.md] terms", "Bob → t0", "東京 → t50"]
+    assert got[2].context == "\n".join(want)
+    assert C.RAW_HEAD in got[3].context and C.TRANSLATED_HEAD not in got[3].context and got[3].hits == []
+    many = spark.createDataFrame([("a", 1, " ".join(f"Bob{i}" for i in range(60)))], "source string, part_idx int, text string")
+    assert C.context_block(many, sections, terms).first().context.count("→") == 40
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_both_searches_find_what_python_finds(spark, monkeypatch, limit):
+    monkeypatch.setattr(C, "NEEDLES", limit)
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ab𠮷樋ひ藤 ") for _ in range(n))
+    parts = [(f"s{i % 3}", i, word(rng.randrange(60))) for i in range(40)]
+    needles = sorted({word(rng.randrange(1, 9)) for _ in range(80)})
+    han = lambda s: "".join(c for c in s if "\u4e00" <= c <= "\u9fff" or "\u3400" <= c <= "\u4dbf" or c in "々〆〇")
+    want = {(s, i, k, h) for s, i, t in parts for k in needles for h, x in ((False, t), (True, han(t))) if k in x}
+    df = spark.createDataFrame(parts, "source string, part_idx int, text string")
+    got = [tuple(r) for r in C.occurring(df, spark.createDataFrame([(k,) for k in needles], "k string")).collect()]
+    assert set(got) == want and len(got) == len(want)
+
+
 def test_budget_skips_what_does_not_fit(spark):
     rows = [("a", 1, 0, 1, "big", "x" * 5000), ("a", 1, 0, 2, "mid", "x" * 4000), ("a", 1, 1, 3, "small", "x" * 3000), ("b", 1, 0, 1, "huge", "x" * 9000)]
     df = spark.createDataFrame(rows, "source string, part_idx int, prio int, ord int, heading string, body string")
