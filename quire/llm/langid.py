@@ -9,7 +9,8 @@ PROFILE for an n-gram the language lacks; ties go to the smaller language value.
 N-grams are exact keys (three code points of 21 bits). Texts of any length are counted in stretches.
 
 Defined results: null text, or text without a letter, or a model without languages: 'und' with score 0; rows with null
-lang never train; lang values are not interpreted. Repeated rows count as often as they occur. Extra columns are ignored.
+lang never train; lang values are not interpreted, but more than LANGS of them are an error, as the profiles of all come to the
+driver and to every task. N-grams that differ only by a leading blank count as one. Repeated rows count as often as they occur. Extra columns are ignored.
 score is 1 - distance / worst distance.
 """
 
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 from quire.llm import common as c
 
-N_MAX, PROFILE = 3, 300
+N_MAX, PROFILE, LANGS = 3, 300, 10_000
 #: Characters counted at a time.
 STRETCH = 1 << 20
 _BITS = 21
@@ -114,8 +115,10 @@ def learn(docs: DataFrame, profile: int = PROFILE) -> dict[str, np.ndarray]:
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     best = sums.withColumn("rank", rank).where(F.col("rank") <= profile)
     out: dict[str, list] = {}
-    for r in best.orderBy("lang", "rank").collect():
+    for r in best.orderBy("lang", "rank").limit(LANGS * profile + 1).collect():
         out.setdefault(r.lang, []).append(r.gram)
+    if sum(map(len, out.values())) > LANGS * profile:
+        raise ValueError(f"more than {LANGS} languages: is lang the language?")
     return {k: np.array(v, np.int64) for k, v in out.items()}
 
 

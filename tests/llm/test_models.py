@@ -432,6 +432,83 @@ def test_marginals_equal_enumeration():
         assert np.allclose(top / z, good[a:b])
 
 
+def test_document_score_is_the_definition():
+    """Marginals by enumeration, their mean by line length, the logistic curve."""
+    col = pa.array(["AB cd\nx\n\nlast | 1!", "", None, "one two three", "\n", "a a a b\na a b\n!!!!"])
+    m = Q.LineCrf()
+    rng = np.random.default_rng(3)
+    m.theta, m.pair, m.slope, m.shift = rng.normal(0, 0.5, Q.WIDTH), np.array([[0.4, -0.3], [0.2, 0.6]]), 1.7, -0.4
+    bins, size, lines = Q.line_features(col)
+    u = m.theta[Q.with_neighbours(bins, lines)].sum(1)
+    for row, got in enumerate(m.score(col)):
+        a, b = lines[row], lines[row + 1]
+        z, top = 0.0, np.zeros(b - a)
+        for s in itertools.product((0, 1), repeat=int(b - a)):
+            e = math.exp(sum(u[a + i] * x for i, x in enumerate(s)) + sum(m.pair[x, y] for x, y in zip(s, s[1:])))
+            z, top = z + e, top + e * np.array(s)
+        w = np.maximum(size[a:b], 1)
+        q = float((top / z * w).sum() / w.sum())
+        assert abs(got - 1 / (1 + math.exp(-(1.7 * math.log(q / (1 - q)) - 0.4)))) < 1e-9
+
+
+def test_training_gradient_is_that_of_the_likelihood():
+    """Expected counts from the chain against differences of the log-likelihood, by enumeration."""
+    col = pa.array(["AB cd\nx\nlast | 1!", "one two\nthree"])
+    bins, _, lines = Q.line_features(col)
+    ids = Q.with_neighbours(bins, lines)
+    state = [1, 1, 1, 0, 0]
+
+    def likelihood(theta, pair):
+        out, u = 0.0, theta[ids].sum(1)
+        for a, b in zip(lines[:-1], lines[1:]):
+            energy = lambda s: sum(u[a + i] * x for i, x in enumerate(s)) + sum(pair[x, y] for x, y in zip(s, s[1:]))  # noqa: E731, B023
+            out += energy(state[a:b]) - math.log(sum(math.exp(energy(s)) for s in itertools.product((0, 1), repeat=int(b - a))))
+        return out
+
+    m = Q.LineCrf()
+    rng = np.random.default_rng(2)
+    m.theta, m.pair = rng.normal(0, 0.5, Q.WIDTH), rng.normal(0, 0.5, (2, 2))
+    good, pairs = m.forward_backward(m.theta[ids].sum(1), lines)
+    grad = np.bincount(ids.ravel(), np.repeat(np.array(state) - good, ids.shape[1]), Q.WIDTH)
+    true = np.zeros((2, 2))
+    for a, b in zip(lines[:-1], lines[1:]):
+        for x, y in zip(state[a:b], state[a + 1 : b]):
+            true[x, y] += 1
+    for k in {*ids.ravel().tolist()}:
+        step = np.zeros(Q.WIDTH)
+        step[k] = 1e-5
+        assert abs((likelihood(m.theta + step, m.pair) - likelihood(m.theta - step, m.pair)) / 2e-5 - grad[k]) < 1e-5
+    for x, y in itertools.product((0, 1), repeat=2):
+        step = np.zeros((2, 2))
+        step[x, y] = 1e-5
+        want = (likelihood(m.theta, m.pair + step) - likelihood(m.theta, m.pair - step)) / 2e-5
+        assert abs(want - (true - pairs.sum(0))[x, y]) < 1e-5
+
+
+def test_term_sets_equal_those_of_the_words():
+    """A text's terms are its words' own, each with its prefixes of 4 and 5 bytes, whatever stands around them."""
+    import re
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeéÄ日9") for _ in range(rng.randrange(1, 9)))
+    texts = ["".join(word() + rng.choice([" ", "\n", "!!", "_", "-", " \x00 "]) for _ in range(rng.randrange(0, 30))) for _ in range(60)] + ["", None]
+    lower = lambda t: t.translate({k: k + 32 for k in range(65, 91)})
+    own = {}
+    for t, got in zip(texts, X.term_sets(pa.array(texts, pa.string()))):
+        want = set()
+        for w in re.findall(r"[0-9a-zA-Z\x80-\U0010ffff]+", t or ""):
+            b = lower(w).encode()
+            for key in [("w", b), *((p, b[:p]) for p in X.PREFIXES if len(b) >= p)]:
+                if key not in own:
+                    alone = X.term_sets(pa.array([b.decode("utf-8", "ignore")]))[0]
+                    own[key] = None if key[0] != "w" else alone
+                want.add(key)
+        assert len(got) == len(want)
+        for kind, b in want:
+            if kind == "w":
+                assert np.isin(own[kind, b], got).all()
+
+
 def test_repeated_lines_and_words_are_seen():
     bins, _, _ = Q.line_features(pa.array(["a b c d e\na b c d e\nx x x x"]))
     names = list(Q.BINS)

@@ -245,6 +245,47 @@ def brute_grams(text):
     return out
 
 
+def brute_profile(counts, most):
+    """Names by falling count, ties to the smaller key; a name's key reads its characters from the right, a blank being 0."""
+    key = lambda g: sum((0 if ch == "_" else ord(ch)) << (21 * i) for i, ch in enumerate(reversed(g)))
+    merged = {}
+    for g, n in counts.items():
+        merged[g.lstrip("_")] = merged.get(g.lstrip("_"), 0) + n
+    return sorted(merged, key=lambda g: (-merged[g], key(g)))[:most]
+
+
+def test_predictions_equal_brute_force(spark, monkeypatch):
+    """Profiles, ranks and out-of-place distances by dictionaries."""
+    monkeypatch.setattr(L, "PROFILE", 40)
+    rng = random.Random(4)
+    alphabet = {"aa": "abcdeé", "bb": "abxyz", "cc": "mnopß", "dd": "ab"}
+    say = lambda x: " ".join("".join(rng.choice(alphabet[x]) for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 25)))
+    train = [(i, x, say(x)) for i, x in enumerate(rng.choice(list(alphabet)) for _ in range(60))] + [(90, None, "zz zz"), (91, "aa", None)]
+    asked = [(i, say(rng.choice(list(alphabet)))) for i in range(40)] + [(50, None), (51, ""), (52, "12 ..."), (53, "日本")]
+    totals = {}
+    for _, x, text in train:
+        if x and text:
+            for g, n in brute_grams(text).items():
+                totals.setdefault(x, {})[g] = totals.setdefault(x, {}).get(g, 0) + n
+    model = {x: {g: i for i, g in enumerate(brute_profile(c, 40))} for x, c in totals.items()}
+    want = []
+    for i, text in asked:
+        mine = brute_profile(brute_grams(text or ""), 40)
+        far = {x: sum(abs(r[g] - k) if g in r else 40 for k, g in enumerate(mine)) for x, r in model.items()}
+        best = min(sorted(far), key=far.get)
+        want.append((i, best, round(1 - far[best] / (40 * len(mine)), 9)) if mine else (i, "und", 0.0))
+    profiles = L.learn(spark.createDataFrame(train, "doc_id long, lang string, text string"), 40)
+    got = L.identify(spark.createDataFrame(asked, "doc_id long, text string"), profiles, 40).collect()
+    assert sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in got) == want
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(L, "LANGS", 2)
+    docs = spark.createDataFrame([(i, f"l{i}", "abc def " * 60) for i in range(3)], "doc_id long, lang string, text string")
+    with pytest.raises(ValueError, match="languages"):
+        L.learn(docs, 2)
+
+
 def test_gram_counts_equal_brute_force(monkeypatch):
     for stretch in (1 << 20, 7):
         monkeypatch.setattr(L, "STRETCH", stretch)
