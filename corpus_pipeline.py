@@ -40,7 +40,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: The classifiers cannot be expressed in SQL; the tests hold each stage against brute force instead.
+#: The classifiers cannot be expressed in SQL; tests/llm/test_pipeline.py holds each stage against a brute-force version instead.
 ORACLE_SQL = None
 
 
