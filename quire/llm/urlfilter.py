@@ -5,6 +5,10 @@ hosts are scored on the graph of host-to-host links found in the pages: trust is
 hosts by their share of allowed pages and follows links; distrust starts by the share of blocked pages and follows links
 backwards, so it reaches hosts that link to bad ones. A host is blocked if its distrust exceeds THRESHOLD and its trust.
 
+A host passes its distrust on in one of two ways. By 'in' (the query's, whose SQL fixes it) it deals it out among the hosts that link
+to it, so the more of them there are, the less each gets. By 'out' each gets it by the share of its own links that go there:
+verdicts then depend neither on how many others link to the same host nor on the size of the graph.
+
 Links are summed to (from, to, weight) before any propagation, so a host with a third of all pages is a few rows, and
 each step's sums combine before they move. A hub's edges are salted over SALTS joins keys. Every step ends in a table.
 
@@ -65,7 +69,7 @@ def host_links(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: float = DAMPING) -> DataFrame:
-    """(kind, host, score) after `steps` rounds over edges(kind, a, b, w), w summing to 1 by (kind, a), from seeds(kind, host, s)."""
+    """(kind, host, score) after `steps` rounds over edges(kind, a, b, w) from seeds(kind, host, s)."""
     salted = c.stash(edges.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int")))
     rank = seeds.select("kind", "host", F.col("s").alias("score"))
     for _ in range(steps):
@@ -76,13 +80,17 @@ def propagate(edges: DataFrame, seeds: DataFrame, steps: int = STEPS, damping: f
     return rank
 
 
-def host_scores(pages: DataFrame, rows: DataFrame) -> DataFrame:
+def host_scores(pages: DataFrame, rows: DataFrame, by: str = "in") -> DataFrame:
     """(host, trust, distrust) of the hosts that propagation reaches; rows is judged(pages)."""
+    if by not in ("in", "out"):
+        raise ValueError(f"distrust is passed on by 'in' or 'out', not {by!r}")
     links = c.stash(host_links(pages))
     out_n = links.groupBy(F.col("src").alias("a")).agg(F.sum("n").alias("all"))
     in_n = links.groupBy(F.col("dst").alias("a")).agg(F.sum("n").alias("all"))
     trust = links.select(F.col("src").alias("a"), F.col("dst").alias("b"), "n").join(out_n, "a").withColumn("kind", F.lit("trust"))
-    distrust = links.select(F.col("dst").alias("a"), F.col("src").alias("b"), "n").join(in_n, "a").withColumn("kind", F.lit("distrust"))
+    back = links.select(F.col("dst").alias("a"), F.col("src").alias("b"), "n")
+    distrust = back.join(in_n, "a") if by == "in" else back.join(out_n.withColumnRenamed("a", "b"), "b").select("a", "b", "n", "all")
+    distrust = distrust.withColumn("kind", F.lit("distrust"))
     edges = trust.unionByName(distrust).select("kind", "a", "b", (F.col("n") / F.col("all")).alias("w"))
     # a seed starts with the share of its host's pages that the rules allow, or block
     share = lambda kind: (F.count_if(F.coalesce(F.col("ruled") == kind, F.lit(False))) / F.count("*"))
@@ -95,10 +103,10 @@ def host_scores(pages: DataFrame, rows: DataFrame) -> DataFrame:
     )
 
 
-def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD) -> DataFrame:
+def filter_urls(pages: DataFrame, rules=RULES, threshold: float = THRESHOLD, by: str = "in") -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) of every row of pages(page_id, url, html)."""
     rows = judged(pages, rules)
-    scores = host_scores(pages, rows).select(F.col("host").alias("h"), F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
+    scores = host_scores(pages, rows, by).select(F.col("host").alias("h"), F.round("trust", 9).alias("trust"), F.round("distrust", 9).alias("distrust"))
     out = rows.join(scores, F.col("host") == F.col("h"), "left").na.fill(0.0, ["trust", "distrust"])
     bad = (F.col("distrust") > threshold) & (F.col("distrust") > F.col("trust"))
     return out.select("page_id", "host", "path", "rule", F.coalesce("ruled", F.when(bad, "block").otherwise("allow")).alias("verdict"), "trust", "distrust")
