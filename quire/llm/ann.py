@@ -1,11 +1,12 @@
 """Approximate nearest neighbours by a robust-pruned directed graph in each shard.
 
 Vectors are dealt to cells by their nearest of at most CELLS centroids, fitted on a bounded sample (CENTRE_ROWS rows of
-CENTRE_BYTES); a cell of more than SHARD_ROWS rows (or SHARD_BYTES) is dealt over shards by a hash of the id. Each shard's task
+CENTRE_BYTES); a cell of more than SHARD_ROWS rows (or SHARD_BYTES) is dealt over shards by a hash of the id. Fewer
+vectors make smaller shards, of LEAST_ROWS at least, so that they too spread over tasks. Each shard's task
 builds its graph: points enter in batches that double in size; a greedy beam search over the graph so far proposes each point's
 neighbours; relaxed distance pruning keeps a neighbour c only if no kept neighbour p has ALPHA * d(p, c) <= d(point, c), so
-edges stay diverse; reverse edges are added and a node of too many is pruned the same way. A second pass over all points
-refines the graph. Searches start at ENTRIES points far apart. Copies of one vector within a shard are one node that holds
+edges stay diverse; reverse edges are added and a node of too many is pruned the same way. Searches start at ENTRIES points
+far apart. Copies of one vector within a shard are one node that holds
 all their ids.
 
 A query visits the shards of its nearest cells, as many as the data ask for: CALIBRATION queries are answered exactly over all
@@ -35,10 +36,10 @@ from pyspark.sql import functions as F
 
 from quire.llm import common as c
 
-SHARD_ROWS, SHARD_BYTES, QUERY_ROWS = 16384, 64 << 20, 32768
+SHARD_ROWS, LEAST_ROWS, SHARD_BYTES, QUERY_ROWS = 16384, 4096, 64 << 20, 32768
 CELLS, CENTRE_ROWS, CENTRE_BYTES, ROUNDS = 2048, 16384, 32 << 20, 6
 CALIBRATION, COVER = 256, 0.99
-DEGREE, BEAM, ALPHA, SLACK, PASSES, ENTRIES = 32, 64, 1.2, 8, 2, 24
+DEGREE, BEAM, ALPHA, SLACK, ENTRIES = 32, 64, 1.2, 8, 24
 #: Width of a query's beam; building uses BEAM.
 QUERY_BEAM = 192
 TOP = 5
@@ -57,14 +58,13 @@ class Graph:
         order = rng.permutation(n)
         self.entries = self._spread(min(n, ENTRIES, self.beam // 2))
         order = np.concatenate((self.entries, order[~np.isin(order, self.entries)]))
-        for once in range(PASSES):
-            at, size = 0, len(self.entries) if once == 0 else n
-            while at < n:
-                # the first batches are small, as a point must find those before it in the graph
-                take = order[at : at + min(size, 1024)]
-                self._insert(take)
-                at += len(take)
-                size *= 2
+        at, size = 0, len(self.entries)
+        while at < n:
+            # the first batches are small, as a point must find those before it in the graph
+            take = order[at : at + min(size, 1024)]
+            self._insert(take)
+            at += len(take)
+            size *= 2
 
     def _spread(self, k: int) -> np.ndarray:
         """k points far apart, from the one nearest to the mean on; searches start at them, so no dense cluster shuts the rest off."""
@@ -317,7 +317,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = TOP, shard_rows: int |
     rows = c.stash(usable(vectors).withColumn("asked", is_query))
     sizes = rows.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(1).collect()
     dim, n = (sizes[0].dim, sizes[0].n) if sizes else (1, 0)
-    most = shard_rows or max(1, min(SHARD_ROWS, SHARD_BYTES // (8 * dim)))
+    most = shard_rows or max(1, min(SHARD_ROWS, max(LEAST_ROWS, n >> 5), SHARD_BYTES // (8 * dim)))
     common = rows.where(F.col("dim") == dim)
     cells, visits = min(CELLS, -(-n // most)), 1
     one = F.when(F.col("dim") == dim, 0).otherwise(-F.col("dim"))

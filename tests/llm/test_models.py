@@ -150,6 +150,18 @@ def test_distrust_flows_to_linking_hosts(spark):
         assert abs(r.distrust - brute.get(h, 0.0)) < 1e-8
 
 
+@pytest.mark.parametrize("feeders", [2, 10, 150])
+def test_distrust_by_own_links_does_not_depend_on_the_others(spark, feeders):
+    pages = [(1, "http://bad.com/de/1", "")] + [(10 + i, f"http://f{i}.net/", links("http://bad.com/x")) for i in range(feeders)]
+    pages += [(5, "http://mostly.net/", links("http://bad.com/x", *["http://fine.net/"] * 9)), (6, "http://far.net/", links("http://f0.net/"))]
+    df = spark.createDataFrame([(*p, "h", "t", 1) for p in pages], PAGE)
+    got = {r.host: r for r in U.filter_urls(df, by="out").collect()}
+    assert {got[f"f{i}.net"].verdict for i in range(feeders)} == {"block"} and got["mostly.net"].verdict == "allow"
+    assert abs(got["f0.net"].distrust - 0.85 * 0.15) < 1e-8 and abs(got["far.net"].distrust - 0.85**2 * 0.15) < 1e-8
+    with pytest.raises(ValueError):
+        U.filter_urls(df, by="size")
+
+
 def power(pages, reverse, seeds):
     """Plain power iteration over the summed links."""
     import re
