@@ -48,6 +48,23 @@ def test_units_match_brute_force(spark):
         assert got.get(k, []) == brute_units(t), k
 
 
+def test_units_of_long_random_texts(spark):
+    """More lines than a block of offsets holds, blank ones, white space and characters beyond the basic plane."""
+    rng = random.Random(2)
+    piece = lambda: "".join(rng.choice("ab 　é𠮷\t") for _ in range(rng.randrange(0, 6)))
+    texts = {f"t{i}": "\n".join(rng.choice(["", "", piece(), piece()]) for _ in range(rng.choice((1, 63, 64, 65, 128, 400)))) for i in range(25)}
+    got = {}
+    for r in U.units(frame(spark, texts)).orderBy("source", "idx").collect():
+        assert texts[r.source][r.start_char : r.end_char] == r.text == texts[r.source].split("\n")[r.ln]
+        got.setdefault(r.source, []).append((r.start_char, r.end_char, r.sep_newlines))
+    assert got == {k: brute_units(t) for k, t in texts.items() if brute_units(t)}
+
+
+def test_segmentation_needs_no_exchange(spark):
+    rows = U.units(frame(spark, TEXTS).select("source", "text"))
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
 def test_source_profile(spark):
     rows = {r.source: r for r in U.source_profile(frame(spark, TEXTS | {"bom": "﻿x", "mixed": "a\r\nb\nc"})).collect()}
     assert [rows[k].line_ending for k in ("runs", "crlf", "one", "mixed")] == ["LF", "MIXED", "NONE", "MIXED"]
