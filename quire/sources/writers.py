@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,9 +25,30 @@ def append_events(events: DataFrame, path: str) -> None:
     events.write.mode("append").parquet(path)
 
 
+def start_state(state: DataFrame, path: str, by: str, rebuild: bool = False) -> None:
+    """The first snapshot of a project; refused where there is one, unless asked to rebuild it."""
+    where, files = _hadoop(state.sparkSession, path)
+    if files.exists(where) and not rebuild:
+        raise ValueError(f"{path} has a state already")
+    save_state(state, path, by)
+
+
 def save_state(state: DataFrame, path: str, by: str) -> None:
-    """The latest snapshot, stamped."""
-    state.withColumns({"updated_at": F.current_timestamp(), "updated_by": F.lit(by)}).write.mode("overwrite").parquet(path)
+    """The latest snapshot, stamped. It is written beside the old one and takes its place when whole, so `state` may come from
+    there, and a failed write leaves the old one."""
+    spark, new = state.sparkSession, f"{path.rstrip('/')}.next-{uuid.uuid4().hex}"
+    state.withColumns({"updated_at": F.current_timestamp(), "updated_by": F.lit(by)}).write.parquet(new)
+    (now, files), (old, _), (made, _) = (_hadoop(spark, p) for p in (path, f"{path.rstrip('/')}.old", new))
+    files.delete(old, True)
+    if files.exists(now):
+        files.rename(now, old)
+    files.rename(made, now)
+    files.delete(old, True)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def archive(outputs: DataFrame, path: str) -> None:

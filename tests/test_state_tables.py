@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from quire.config import PartLimits
@@ -41,6 +42,21 @@ def test_state_tables_are_written(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "manifest")).count() == 1
 
 
+def test_a_state_is_replaced_whole_and_started_once(spark, tmp_path):
+    path = str(tmp_path / "state")
+    writers.start_state(spark.createDataFrame([(1, "PENDING")], "key long, status string"), path, "init")
+    writers.save_state(spark.read.parquet(path).select("key", F.lit("DONE").alias("status")), path, "next")
+    assert [(r.status, r.updated_by) for r in spark.read.parquet(path).collect()] == [("DONE", "next")]
+    with pytest.raises(ValueError, match="already"):
+        writers.start_state(spark.read.parquet(path), path, "again")
+    broken = spark.read.parquet(path).select("key", F.raise_error(F.lit("stop")).cast("string").alias("status"))
+    with pytest.raises(Exception, match="stop"):
+        writers.save_state(broken, path, "broken")
+    assert spark.read.parquet(path).first().status == "DONE"
+    writers.start_state(spark.createDataFrame([(2, "PENDING")], "key long, status string"), path, "init", rebuild=True)
+    assert spark.read.parquet(path).first().key == 2
+
+
 def test_report_puts_failures_first(spark):
     rows = spark.createDataFrame([("a", None, 1, "V7", "w"), ("a", "part_001", 2, "V3", "f")], "source string, part_id string, level int, code string, msg string")
     assert ['"level":2' in r.value for r in writers.report_json(rows).collect()] == [True, False]
