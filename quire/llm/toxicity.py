@@ -202,8 +202,8 @@ def _witnesses(sets: list[np.ndarray], y: np.ndarray) -> tuple[list[np.ndarray],
 
 
 def _paired(sets: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """The terms that enter the model by a pair. All pairs that could pass are counted; blocks of terms keep that small."""
-    sets, y = _witnesses(sets, y)
+    """The terms that enter the model by a pair in rows of which none is a near copy, toxic ones first. All pairs that could pass are
+    counted; blocks of terms keep that small."""
     n, n_pos = len(sets), int(y.sum())
     rate = n_pos / n
     high, n_high = np.unique(np.concatenate([s for s, t in zip(sets, y) if t]), return_counts=True)
@@ -283,7 +283,7 @@ def fit_sample(sets: list[np.ndarray], y: np.ndarray) -> FactorizationMachine:
         return none
     alone = [_screened(sets, y, part) for part in range(16)]
     some, marks = _witnesses(sets, y)
-    terms = np.union1d(np.concatenate([*alone, *(_leaning(some, marks, part) for part in range(16))]), _paired(sets, y))
+    terms = np.union1d(np.concatenate([*alone, *(_leaning(some, marks, part) for part in range(16))]), _paired(some, marks))
     if not len(terms):
         return none
     model = FactorizationMachine(terms, none.b)
