@@ -9,7 +9,8 @@ whatever partitions, the pages come.
 
 The wrapper then decides what a page's text is. Slots that hold the same text on TEMPLATE_PAGES differing pages or more, and
 nothing else on any, are template. Of the rest, the element that holds most of the variable text not in links is followed
-down from the root while it holds DOMINANT of its parent's; the elements beside it go if they hold less than BESIDE of it.
+down from the root while it holds DOMINANT of its parent's; the elements beside it go if they hold less than BESIDE of it, on
+pages that have it.
 Names only settle what alignment leaves open: an article (else main) element with text is the place to look in; navigation, headers,
 footers, sidebars, forms, hidden parts, and classes that name notices, adverts or comments go, though their texts vary.
 
@@ -269,12 +270,13 @@ class Slot:
 
 class Element:
     """An element of a wrapper. columns: label -> [how many instances have it, whether it repeats, its Elements or Slots by
-    ordinal]; pairs: (label, ordinal) of neighbours, ordinal 0 of what repeats; `aside`: beside the text, set by decide()."""
+    ordinal]; pairs: (label, ordinal) of neighbours, ordinal 0 of what repeats. Set by decide(): `lead`, the child that holds
+    the text, and `aside`, whether it stands beside its parent's lead."""
 
-    __slots__ = ("n", "columns", "pairs", "aside")
+    __slots__ = ("n", "columns", "pairs", "lead", "aside")
 
     def __init__(self):
-        self.n, self.columns, self.pairs, self.aside = 1, {}, set(), False
+        self.n, self.columns, self.pairs, self.lead, self.aside = 1, {}, set(), None, False
 
 
 TEXT = "#"
@@ -405,6 +407,7 @@ def decide(root: Element) -> Element:
             break
         for m, _, _, p in inside:
             p.aside = m < BESIDE * most
+        at.lead = best
         at, name = best, re.split(r"[.~]", label)[0]
     return root
 
@@ -461,9 +464,9 @@ def main_text(html: str | None, wrapper: Element | None) -> str:
     root = parse(html)[0]
     within = next((n for n in ("article", "main") if n in root.inner), None)
     out: list[str] = []
-    todo: list[tuple] = [(root, wrapper, False, False, False)]
+    todo: list[tuple] = [(root, wrapper, False, False, False, False)]
     while todo:
-        x, w, inside, header, heading = todo.pop()
+        x, w, aside, inside, header, heading = todo.pop()
         if not isinstance(x, Node):
             if within and not inside or header and not heading:
                 continue
@@ -471,7 +474,7 @@ def main_text(html: str | None, wrapper: Element | None) -> str:
                 continue
             out.append(x[0])
             continue
-        if x.dropped or (not inside and (x.header or (w is not None and w.aside and not within))):
+        if x.dropped or (not inside and (x.header or (aside and not within))):
             continue
         state = (inside or (x.name != "" and x.name == within), header or x.header, heading or x.name in HEADINGS)
         below, ordinal = [], {}
@@ -482,8 +485,10 @@ def main_text(html: str | None, wrapper: Element | None) -> str:
             part = None if column is None else column[2][0] if column[1] else column[2][i] if i < len(column[2]) else None
             if isinstance(part, Slot) and column[1]:
                 part = None  # a repeated slot holds many texts; none of them is template
-            below.append((item, part, *state))
-        todo += reversed(below)
+            below.append((item, part))
+        # what stands beside the text goes only where this page has that text
+        led = w is not None and w.lead is not None and any(part is w.lead and not item.dropped and item.text for item, part in below)
+        todo += [(item, part, led and isinstance(part, Element) and part.aside, *state) for item, part in reversed(below)]
     return "\n".join(out)
 
 

@@ -107,6 +107,17 @@ def test_alignment_alone_finds_the_text(spark):
     assert all(alone[k] != want[k] for k in want)
 
 
+def test_pages_of_another_make_keep_their_text():
+    """Most pages of a host have their text in one place; the few that have it elsewhere lose nothing."""
+    rng = random.Random(4)
+    say = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    usual = [f'<body><div class="a"><h1>{say(3)}</h1><p>{say(90)}</p></div><div class="b"><div>{say(2)}</div></div></body>' for _ in range(40)]
+    other = f'<body><div class="b"><div>{say(60)}</div><p>{say(30)}</p></div></body>'
+    w = H.decide(learned([*usual, other]))
+    assert H.main_text(other, w) == H.main_text(other, None)
+    assert all(len(H.main_text(p, w).split()) == 93 for p in usual)
+
+
 def test_wrapper_is_the_same_over_any_partitions(spark):
     rng = random.Random(5)
     rows = [(f"h{k % 3}.net", random_page(rng)) for k in range(60)]
