@@ -11,8 +11,10 @@ import re
 from bisect import bisect_right
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quire.config import PartLimits
 from quire.functions import text as T
@@ -130,10 +132,26 @@ def plan_parts(texts: DataFrame, key: str = "source", limits: PartLimits = PartL
     return _plan(texts, key, limits, True)
 
 
+def _cut(key: str, names: list[str]):
+    """(key, text, list of parts) to the parts with their texts; a text is read once, however many parts it has."""
+
+    def run(it):
+        for batch in it:
+            cuts = batch.column(2)
+            flat, owner = cuts.flatten(), pc.list_parent_indices(cuts)
+            texts = batch.column(1).to_pylist()
+            made = [(texts[i] or "")[a:b] for i, a, b in zip(owner.to_pylist(), flat.field("start_char").to_pylist(), flat.field("end_char").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(owner), *[flat.field(n) for n in names], pa.array(made, pa.string())], [key, *names, "text"])
+
+    return run
+
+
 def part_slices(texts: DataFrame, parts: DataFrame, key: str = "source") -> DataFrame:
     """parts with part_id, text, sizes, hash and tail_newlines."""
-    t = F.substr("text", (F.col("start_char") + 1).cast("int"), (F.col("end_char") - F.col("start_char")).cast("int"))
-    rows = parts.join(texts.select(key, "text"), key).withColumn("text", t)
+    names = [n for n in parts.columns if n != key]
+    cuts = parts.groupBy(key).agg(F.collect_list(F.struct(*names)).alias("cuts"))
+    rows = texts.select(key, F.col("text").cast("string").alias("text")).join(cuts, key)
+    rows = rows.mapInArrow(_cut(key, names), StructType([rows.schema[key], *[parts.schema[n] for n in names], StructField("text", StringType())]))
     return rows.select(
         *parts.columns, F.format_string("part_%03d", "part_idx").alias("part_id"), "text", F.length("text").alias("char_count"), F.octet_length("text").alias("byte_count"),
         T.sha256(F.col("text")).alias("sha256"), T.tail_newlines(F.col("text")).alias("tail_newlines"),

@@ -89,9 +89,7 @@ class Case:
         """The checks of the parts with equal counts."""
 
         def make():
-            on = ["source", "part_idx"]
-            same = qa.counts(self.part_units, self.lines).where("n_src = n_out").select(*on)
-            return qa.part_checks(self.part_units.join(same, on, "left_semi"), self.lines.join(same, on, "left_semi"), self.pairs)
+            return qa.part_checks(self.part_units, self.lines, self.pairs).where("n_src = n_out")
 
         return self._once("levels", make)
 
