@@ -23,7 +23,7 @@ Defined results: null or empty html, or html without text, gives an empty text;
 fewer than TEMPLATE_PAGES differing pages, stand alone: only names decide. Inside an article or main element template goes
 only up to TEMPLATE_WORDS words and outside headings. <br> and table cells part words but not blocks. Malformed markup is read
 as it comes: unclosed elements end with their parents, stray end tags part blocks but close nothing, a tag whose quotes never close ends at its
-first '>'. Equal pages count as one. Extra columns are ignored.
+first '>'. Equal pages count as one where template is told. Extra columns are ignored.
 """
 
 from __future__ import annotations
