@@ -118,6 +118,25 @@ def test_graph_degree_is_bounded():
     assert len(reach) >= 396
 
 
+@pytest.mark.parametrize("apart", [1e-2, 1e-4, 1e-6])
+def test_graph_finds_the_nearest_of_near_copies(apart):
+    """Fifty dense groups, and one that holds a third of the rows: more groups and larger ones than a beam of the old entries saw."""
+    rng = np.random.default_rng(11)
+    many = rng.normal(size=(50, 32))[rng.integers(0, 50, 2000)] + apart * rng.normal(size=(2000, 32))
+    one = rng.normal(size=(2000, 32))
+    one[:700] = one[0] + apart * rng.normal(size=(700, 32))
+    for v in (many, one):
+        asked, u, hit = np.arange(0, 2000, 10), A._unit(v), 0
+        near = np.argsort(-(u[asked] @ u.T - 2 * (asked[:, None] == np.arange(2000))), axis=1)[:, :32]
+        found: dict = {}
+        for i, x, _ in A.Shard(np.arange(2000), v).top(asked, v[asked], 5):
+            found.setdefault(i, set()).add(x)
+        for i, c in zip(asked.tolist(), near):
+            score = A._cosine(np.repeat(v[i][None], 32, 0), v[c])
+            hit += len(found[i] & set(c[np.lexsort((c, -score))][:5].tolist()))
+        assert hit >= 0.97 * 5 * len(asked)
+
+
 PAGE = "page_id long, url string, html string, host string, text string, rule int"
 
 
