@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.functions import text as T
+from quire.operators import pieces
+from quire.operators.units import source_profile
 
 
 def precheck(parts: DataFrame, state: DataFrame, lines: DataFrame, units: DataFrame, key: str = "source", strict: bool = False) -> DataFrame:
@@ -35,15 +36,26 @@ def merge_text(pairs: DataFrame, tails: DataFrame, key: str = "source") -> DataF
     return rows.join(tails, key).select(key, F.concat("body", F.repeat(F.lit("\n"), F.col("tail_newlines"))).alias("text"))
 
 
+def merge_pieces(pairs: DataFrame, tails: DataFrame, key: str = "source") -> DataFrame:
+    """merge_text's texts in pieces (key, seq, text), a piece a part, the last with the newlines after it."""
+    piece = F.concat(F.repeat(F.lit("\n"), F.col("sep_newlines")), F.col("line"))
+    ordered = F.array_sort(F.collect_list(F.struct("si", piece.alias("p"))))
+    rows = pairs.groupBy(key, F.col("part_idx").alias(pieces.SEQ)).agg(F.array_join(F.transform(ordered, lambda x: x["p"]), "").alias("body"))
+    last = F.lead(pieces.SEQ).over(Window.partitionBy(key).orderBy(pieces.SEQ)).isNull()
+    rows = rows.withColumn("last", last).join(tails, key)
+    return rows.select(key, pieces.SEQ, F.concat("body", F.when(F.col("last"), F.repeat(F.lit("\n"), F.col("tail_newlines"))).otherwise("")).alias("text"))
+
+
 def merge_stats(merged: DataFrame, texts: DataFrame, key: str = "source") -> DataFrame:
     """(key, chars, source_chars, ratio, sha256)."""
-    rows = merged.join(texts.select(key, F.length("text").alias("source_chars")), key)
-    n = F.length("text")
+    rows = source_profile(merged, key).select(key, "char_count", "sha256").join(pieces.lengths(texts, key, "source_chars"), key)
+    n = F.col("char_count")
     ratio = F.when(F.col("source_chars") > 0, n / F.col("source_chars")).otherwise(F.lit(0.0))
-    return rows.select(key, n.alias("chars"), "source_chars", ratio.alias("ratio"), T.sha256(F.col("text")).alias("sha256"))
+    return rows.select(key, n.alias("chars"), "source_chars", ratio.alias("ratio"), "sha256")
 
 
 def check_merged(expected: DataFrame, current: DataFrame, key: str = "source") -> DataFrame:
     """IDENTICAL, DIFFERENT or MISSING by hash of the texts."""
-    rows = expected.select(key, T.sha256(F.col("text")).alias("e")).join(current.select(key, T.sha256(F.col("text")).alias("c")), key, "left")
+    sha = lambda texts, name: source_profile(texts, key).select(key, F.col("sha256").alias(name))
+    rows = sha(expected, "e").join(sha(current, "c"), key, "left")
     return rows.select(key, F.when(F.col("c").isNull(), "MISSING").when(F.col("c") == F.col("e"), "IDENTICAL").otherwise("DIFFERENT").alias("result"))
