@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.config import PartLimits
 from quire.functions import text as T
+from quire.operators import pieces
 from quire.operators.units import source_profile
 
 WARN, FAIL = 1, 2
@@ -75,7 +76,7 @@ def v4_continuity(parts: DataFrame, texts: DataFrame, key: str = "source") -> Da
     """Parts tile the text: no gap or overlap, none empty, first at 0, last at the end."""
     w = Window.partitionBy(key).orderBy("part_idx")
     rows = parts.withColumn("before", F.lag("end_char", 1, 0).over(w)).withColumn("next", F.lead("part_idx").over(w))
-    rows = rows.join(texts.select(key, F.length("text").alias("n")), key)
+    rows = rows.join(pieces.lengths(texts, key), key)
     part = F.format_string("part_%03d", "part_idx")
     return union(
         [
@@ -89,16 +90,20 @@ def v4_continuity(parts: DataFrame, texts: DataFrame, key: str = "source") -> Da
 def part_totals(slices: DataFrame, texts: DataFrame, key: str = "source") -> DataFrame:
     """V5: sums over parts beside the text's own sizes, a byte-order mark apart."""
     sums = slices.groupBy(key).agg(F.sum("char_count").cast("long").alias("sum_chars"), F.sum("byte_count").cast("long").alias("sum_bytes"), F.count("*").alias("n_parts"))
-    own = texts.select(key, F.length(T.without_bom(F.col("text"))).cast("long").alias("chars"), F.octet_length(T.without_bom(F.col("text"))).cast("long").alias("bytes"))
+    if pieces.in_pieces(texts):
+        bom = F.col("n_bom").cast("long")
+        own = pieces.profile(texts, key).select(key, (F.col("char_count") - bom).alias("chars"), (F.col("byte_count") - 3 * bom).alias("bytes"))
+    else:
+        own = texts.select(key, F.length(T.without_bom(F.col("text"))).cast("long").alias("chars"), F.octet_length(T.without_bom(F.col("text"))).cast("long").alias("bytes"))
     rows = own.join(sums, key, "left").na.fill(0, ["sum_chars", "sum_bytes", "n_parts"])
     return rows.withColumn("ok", (F.col("sum_chars") == F.col("chars")) & (F.col("sum_bytes") == F.col("bytes")))
 
 
 def rebuild_check(slices: DataFrame, texts: DataFrame, key: str = "source") -> DataFrame:
     """V6: the parts in order give the text again. A text without all its parts fails."""
-    joined = slices.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part_idx", "text"))), lambda x: x["text"]), "").alias("built"))
-    rows = texts.join(joined, key, "left")
-    return rows.select(key, F.coalesce(T.sha256(F.col("built")) == T.sha256(F.col("text")), F.lit(False)).alias("ok"), F.coalesce(F.length("built"), F.lit(0)).alias("built_chars"))
+    built = pieces.profile(slices.select(key, F.col("part_idx").alias(pieces.SEQ), "text"), key).select(key, F.col("sha256").alias("built"), F.col("char_count").alias("n"))
+    rows = source_profile(texts, key).select(key, "sha256").join(built, key, "left")
+    return rows.select(key, F.coalesce(F.col("built") == F.col("sha256"), F.lit(False)).alias("ok"), F.coalesce("n", F.lit(0)).alias("built_chars"))
 
 
 def v7_sizes(slices: DataFrame, key: str = "source", limits: PartLimits = PartLimits()) -> DataFrame:
