@@ -166,9 +166,42 @@ qo AS (SELECT z.source, z.part_idx, z.n_src, z.n_out, 0 AS v9, 0 AS v10a, 0 AS v
   out_chars / src_chars::DOUBLE AS ratio, md AS ratio_median FROM sizes z JOIN lc USING (source, part_idx) JOIN sc USING (source, part_idx) JOIN pp USING (source, part_idx) JOIN ad USING (source, part_idx) JOIN sr USING (source, part_idx) WHERE n_src = n_out),
 qw AS (SELECT *, CASE WHEN ratio < 0.6 OR ratio > 2.5 THEN 1 ELSE 0 END AS part_ratio_level FROM qo),
 ql AS (SELECT *, greatest(v10c, v10d, v10e, v11, part_ratio_level) AS level FROM qw)"""
+#: Pairs of the parts with unequal counts as difflib's SequenceMatcher aligns them: the longest run of equal lines (the first of
+#: equals) splits a range in two, until none is left; what stands between two runs pairs by position.
+_ALIGNED = f"""
+odd AS (SELECT * FROM sizes WHERE n_src <> n_out),
+eq AS (SELECT p.source, p.part_idx, p.index AS i, l.oi AS j FROM pu p JOIN odd USING (source, part_idx) JOIN lines l ON l.source = p.source AND l.part_idx = p.part_idx AND l.line = {strip('p.text')}),
+bk AS (WITH RECURSIVE x AS (
+  SELECT source, part_idx, 1::BIGINT AS a, n_src + 1 AS b, 1::BIGINT AS c, n_out + 1 AS d, 0::BIGINT AS i, 0::BIGINT AS j, 0::BIGINT AS k FROM odd
+  UNION ALL
+  SELECT source, part_idx, unnest([a, i + k]), unnest([i, b]), unnest([c, j + k]), unnest([j, d]), i, j, unnest([k, 0]) FROM (
+    SELECT *, row_number() OVER (PARTITION BY source, part_idx, a, c ORDER BY k DESC, i, j) AS rn FROM (
+      SELECT source, part_idx, a, b, c, d, min(i) AS i, min(j) AS j, count(*) AS k FROM (
+        SELECT x.source, x.part_idx, a, b, c, d, eq.i, eq.j, eq.i - row_number() OVER (PARTITION BY x.source, x.part_idx, a, c, eq.i - eq.j ORDER BY eq.i) AS g
+        FROM x JOIN eq ON eq.source = x.source AND eq.part_idx = x.part_idx AND eq.i >= a AND eq.i < b AND eq.j >= c AND eq.j < d)
+      GROUP BY source, part_idx, a, b, c, d, i - j, g)) WHERE rn = 1)
+  SELECT source, part_idx, i, j, k FROM x WHERE k > 0 UNION ALL SELECT source, part_idx, n_src + 1, n_out + 1, 0 FROM odd),
+gp AS (SELECT *, coalesce(lag(i + k) OVER w, 1) AS a, coalesce(lag(j + k) OVER w, 1) AS c FROM bk WINDOW w AS (PARTITION BY source, part_idx ORDER BY i, j, k DESC)),
+ij AS (SELECT source, part_idx, i + n AS si, j + n AS oi FROM (SELECT *, unnest(range(0, k)) AS n FROM gp)
+  UNION ALL SELECT source, part_idx, CASE WHEN a + n < i THEN a + n END, CASE WHEN c + n < j THEN c + n END FROM (SELECT *, unnest(range(0, greatest(i - a, j - c))) AS n FROM gp)),
+every AS (SELECT source, part_idx, s, t FROM pairs UNION ALL SELECT ij.source, ij.part_idx, {strip('p.text')}, l.line FROM ij
+  LEFT JOIN pu p ON p.source = ij.source AND p.part_idx = ij.part_idx AND p.index = ij.si LEFT JOIN lines l ON l.source = ij.source AND l.part_idx = ij.part_idx AND l.oi = ij.oi),
+pd AS (SELECT *, CASE WHEN length(s) >= 8 THEN length(t) / length(s)::DOUBLE END AS r, s IS NOT NULL AND t IS NULL AS gone,
+  coalesce(length(s) >= 15 AND (length(t) <= 2 OR length(t) < greatest(2, floor(length(s) * 0.15))), false) OR (s IS NOT NULL AND t IS NULL) AS short FROM every)"""
+_QA_ALL = PAIRS + "," + _BLOCKS + "," + _ADJ + "," + _ALIGNED + f""",
+lc AS (SELECT source, part_idx, sum(length(line)) AS out_chars, bool_or({_ANY}) AS marked FROM lines GROUP BY 1, 2),
+sc AS (SELECT source, part_idx, sum(length({strip('text')})) AS src_chars FROM pu GROUP BY 1, 2),
+pp AS (SELECT source, part_idx, bool_or(short) AS short, max({_LEVEL}) AS lv, bool_or(gone AND (length(s) <= 3 OR regexp_matches(s, '^[^\\p{{L}}\\p{{N}}]+$'))) AS special FROM pd GROUP BY 1, 2),
+qo AS (SELECT z.source, z.part_idx, z.n_src, z.n_out, CASE WHEN z.n_out > 0 THEN 0 ELSE 2 END AS v9, CASE WHEN z.n_out > 0 THEN CASE WHEN n_src = z.n_out THEN 0 WHEN abs(z.n_out - n_src) / greatest(n_src, 1)::DOUBLE > 0.1 THEN 2 ELSE 1 END END AS v10a,
+  CASE WHEN z.n_out > 0 THEN 0 END AS v10b, CASE WHEN z.n_out > 0 THEN CASE WHEN short THEN 2 ELSE 0 END END AS v10c, CASE WHEN z.n_out > 0 THEN lv END AS v10d,
+  CASE WHEN z.n_out > 0 THEN CASE WHEN n_adjacent > 0 OR n_repeated / greatest(n_blocks, 1)::DOUBLE > 0.15 THEN 2 ELSE 0 END END AS v10e, CASE WHEN z.n_out > 0 THEN CASE WHEN marked THEN 2 ELSE 0 END END AS v11,
+  CASE WHEN z.n_out > 0 THEN CASE WHEN special THEN 2 ELSE 0 END END AS v12, CASE WHEN z.n_out > 0 THEN out_chars / src_chars::DOUBLE END AS ratio
+  FROM sizes z JOIN sc USING (source, part_idx) JOIN pp USING (source, part_idx) LEFT JOIN lc USING (source, part_idx) LEFT JOIN ad USING (source, part_idx) LEFT JOIN sr USING (source, part_idx)),
+qw AS (SELECT *, CASE WHEN n_out > 0 THEN CASE WHEN ratio < 0.6 OR ratio > 2.5 THEN 1 ELSE 0 END END AS part_ratio_level FROM qo),
+ql AS (SELECT *, greatest(v9, v10a, v10b, v10c, v10d, v10e, v11, v12, part_ratio_level) AS level FROM qw)"""
 _V8 = "@ps," + units_of("ps", "k", "again") + ", old AS (SELECT source, part_idx, index, start_char - part_start AS a, start_char - part_start + char_count AS b, sha256, sep_newlines FROM pu), new AS (SELECT split_part(k, ':', 1) AS source, split_part(k, ':', 2)::INT AS part_idx, idx AS index, start_char AS a, end_char AS b, sha256, sep_newlines FROM again), j AS (SELECT coalesce(o.source, n.source) AS source, coalesce(o.part_idx, n.part_idx) AS part_idx, coalesce(o.index, n.index) AS index, o.sha256 AS x, n.sha256 AS y, o.a <> n.a OR o.b <> n.b OR o.sha256 <> n.sha256 AS d, o.sep_newlines <> n.sep_newlines AS e FROM old o FULL JOIN new n ON o.source = n.source AND o.part_idx = n.part_idx AND o.index = n.index), v8 AS (SELECT source, part_idx FROM j WHERE x IS NULL OR y IS NULL UNION ALL SELECT source, part_idx FROM j WHERE d UNION ALL SELECT source, part_idx FROM j WHERE index > 1 AND e)"
 _CODES = {"v9": "V9", "v10a": "V10.A", "v10b": "V10.B", "v10c": "V10.C", "v10d": "V10.D", "v10e": "V10.E", "v11": "V11", "v12": "V12", "part_ratio_level": "V10.part-ratio"}
-_AUDIT = _QA + "," + _V8.replace("@ps", "ps AS (SELECT source || ':' || part_idx AS k, t AS text FROM slices WHERE part_idx % 11 <> 5)") + f""",
+_AUDIT = _QA_ALL + "," + _V8.replace("@ps", "ps AS (SELECT source || ':' || part_idx AS k, t AS text FROM slices WHERE part_idx % 11 <> 5)") + f""",
 miss AS (SELECT * FROM slices WHERE part_idx % 11 = 5),
 have AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY part_idx) AS rn FROM slices WHERE part_idx % 11 <> 5),
 lost AS (SELECT DISTINCT source FROM miss),
@@ -290,7 +323,7 @@ SQL = {
     "self_check": sql(SLICES + "," + _V4 + f", lost AS (SELECT DISTINCT source FROM slices WHERE part_idx = 2 AND {NUM} % 4 = 0)", f"SELECT * FROM v4 UNION ALL SELECT source, NULL, 2, 'V5', 'sums of parts differ' FROM lost UNION ALL SELECT source, NULL, 2, 'V6', 'parts do not give the text again' FROM lost UNION ALL SELECT source, part_id, 2, 'V7', char_count || ' characters' FROM slices WHERE char_count > 20000 AND NOT (part_idx = 2 AND {NUM} % 4 = 0)"),
     "status_report": sql(_STATE + f", pr AS (SELECT source, format('part_{{:03d}}', part_idx) AS pid, review, CASE WHEN part_idx = {NUM} + 2 AND {NUM} % 4 = 0 THEN 'NEEDS_REVIEW' ELSE status END AS s FROM ps)", "SELECT source, count(*) AS n_parts, " + ", ".join(f"count(*) FILTER (WHERE s = '{s}') AS {c}" for s, c in (("PENDING", "pending"), ("IN_PROGRESS", "in_progress"), ("NEEDS_REVIEW", "in_review"), ("DONE", "done"), ("FAILED", "failed"))) + ", min(pid) FILTER (WHERE s <> 'DONE') AS current, " + ", ".join(f"coalesce(string_agg(pid, ',' ORDER BY pid) FILTER (WHERE {w}), '') AS {c}" for w, c in (("s = 'IN_PROGRESS'", "hanging"), ("s = 'FAILED'", "failed_parts"), ("review", "review_parts"))) + " FROM pr GROUP BY 1"),
     "hanging_parts": sql(OUTS + _STATE[len(PLAN):], "SELECT p.source, p.part_idx, CASE WHEN o.text IS NOT NULL THEN 'output' WHEN p.part_idx % 3 = 0 THEN 'draft' ELSE 'nothing' END AS found, CASE WHEN o.text IS NOT NULL THEN 'read it, then settle' WHEN p.part_idx % 3 = 0 THEN 'keep or discard it, then run again' ELSE 'run again' END AS advice FROM ps p LEFT JOIN outs o ON o.source = p.source AND o.part_idx = p.part_idx AND o.part_idx % 2 = 0 WHERE status = 'IN_PROGRESS'"),
-    "verify_writeback": sql(_QA + _STATE[len(PLAN):], "SELECT st.source, st.part_idx, status, ['PASS', 'WARN', 'FAIL'][level + 1] AS verify, CASE WHEN level IS NOT NULL THEN array_to_string(list_sort([" + ", ".join(f"'{code}=' || ['PASS', 'WARN', 'FAIL'][{c} + 1]" for c, code in _CODES.items() if c != "part_ratio_level") + "]), ',') END AS checks, coalesce(n_src, -1) AS n_src, coalesce(n_out - n_src, 0) AS delta, coalesce(ratio, -1.0) AS ratio, CASE WHEN level IS NOT NULL THEN level > 0 ELSE review END AS needs_human_review FROM st LEFT JOIN ql USING (source, part_idx)"),
+    "verify_writeback": sql(_QA_ALL + _STATE[len(PLAN):], "SELECT st.source, st.part_idx, status, ['PASS', 'WARN', 'FAIL'][level + 1] AS verify, CASE WHEN level IS NOT NULL THEN array_to_string(list_sort([" + ", ".join(f"'{code}=' || ['PASS', 'WARN', 'FAIL'][{c} + 1]" for c, code in _CODES.items() if c != "part_ratio_level") + "]), ',') END AS checks, coalesce(n_src, -1) AS n_src, coalesce(n_out - n_src, 0) AS delta, coalesce(ratio, -1.0) AS ratio, CASE WHEN level IS NOT NULL THEN level > 0 ELSE review END AS needs_human_review FROM st LEFT JOIN ql USING (source, part_idx)"),
     "settle_decisions": sql(_QA + _STATE[len(PLAN):] + "," + _SET, "SELECT source, part_idx, decision, decision = 'done' AND level > 0 AS needs_human_review FROM (SELECT r.source, r.part_idx, coalesce(level, 2) AS level, CASE WHEN s NOT IN ('IN_PROGRESS', 'NEEDS_REVIEW') THEN 'not open' WHEN coalesce(z.n_out, 0) = 0 OR r.part_idx % 7 = 0 THEN 'no output' WHEN r.part_idx % 5 = 0 THEN 'not confirmed' WHEN coalesce(level, 2) = 2 THEN 'fails its checks' ELSE 'done' END AS decision FROM rows r LEFT JOIN ql USING (source, part_idx) LEFT JOIN sizes z USING (source, part_idx))"),
     "banded_ratios": sql(_CAL, "SELECT source, CASE WHEN r < coalesce(fl, 0.3) OR r > coalesce(fh, 2.5) THEN 2 WHEN r < coalesce(wl, 0.45) OR r > coalesce(wh, 1.8) THEN 1 ELSE 0 END AS ratio_level, count(*) AS n FROM pc LEFT JOIN bands USING (source) GROUP BY 1, 2"),
     "marked_lines": sql(LINES, " UNION ALL ".join(f"SELECT source, part_idx, {i + 1} AS pattern, '{name}' AS name, count(*) AS n, arg_min(left(line, 40), oi) AS sample FROM lines WHERE regexp_matches(line, '{re2(p)}') GROUP BY 1, 2" for i, (name, p) in enumerate(qa.FORBIDDEN))),
