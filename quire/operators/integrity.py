@@ -28,6 +28,14 @@ def issue(rows: DataFrame, key: str, part: Column | None, level: Column | int, c
     return rows.select(F.col(key).alias(key), part.alias("part_id"), level.cast("int").alias("level"), F.lit(code).alias("code"), msg.alias("msg"))
 
 
+def issues(rows: DataFrame, key: str, part: Column | None, code: str, found: list[tuple[Column | str, int, Column | str]]) -> DataFrame:
+    """The issues (condition, level, msg) of each row from one pass over rows; a union of filters would make rows once for each."""
+    held = lambda x, make: make(x) if isinstance(x, str) else x
+    made = [F.when(held(cond, F.expr), F.struct(F.lit(level).alias("level"), F.lit(code).alias("code"), held(msg, F.lit).alias("msg"))) for cond, level, msg in found]
+    part = F.lit(None).cast("string") if part is None else part
+    return rows.select(F.col(key).alias(key), part.alias("part_id"), F.inline(F.array_compact(F.array(*made))))
+
+
 def union(found: list[DataFrame]) -> DataFrame:
     out = found[0]
     for f in found[1:]:
@@ -39,11 +47,9 @@ def v1_source(texts: DataFrame, recorded: DataFrame, key: str = "source") -> Dat
     """The text against its recorded profile(key, sha256, byte_count, char_count): identity fails, BOM and line ending warn."""
     now = source_profile(texts, key)
     old = recorded.select(key, *[F.col(c).alias(f"o_{c}") for c in ("sha256", "byte_count", "char_count")])
-    rows = now.join(old, key)
-    return union(
-        [issue(rows.where(F.col(c) != F.col(f"o_{c}")), key, None, FAIL, "V1", f"{c} differs") for c in ("sha256", "byte_count", "char_count")]
-        + [issue(rows.where("has_bom"), key, None, WARN, "V1", "byte-order mark"), issue(rows.where("line_ending not in ('LF', 'NONE')"), key, None, WARN, "V1", F.concat(F.lit("line ending "), F.col("line_ending")))]
-    )
+    differs = [(F.col(c) != F.col(f"o_{c}"), FAIL, f"{c} differs") for c in ("sha256", "byte_count", "char_count")]
+    ending = ("line_ending not in ('LF', 'NONE')", WARN, F.concat(F.lit("line ending "), F.col("line_ending")))
+    return issues(now.join(old, key), key, None, "V1", [*differs, ("has_bom", WARN, "byte-order mark"), ending])
 
 
 def v2_manifest(slices: DataFrame, manifest: DataFrame, key: str = "source") -> DataFrame:
@@ -55,8 +61,7 @@ def v2_manifest(slices: DataFrame, manifest: DataFrame, key: str = "source") ->
     return union(
         [
             issue(odd, key, F.col("part_id"), FAIL, "V2", "part ids are not consecutive"),
-            issue(rows.where("n <> part_count"), key, None, FAIL, "V2", "part count differs"),
-            issue(rows.where("c <> total_char_count or b <> total_byte_count"), key, None, FAIL, "V2", "totals differ"),
+            issues(rows, key, None, "V2", [("n <> part_count", FAIL, "part count differs"), ("c <> total_char_count or b <> total_byte_count", FAIL, "totals differ")]),
         ]
     )
 
@@ -65,11 +70,8 @@ def v3_parts(manifest_parts: DataFrame, slices: DataFrame, key: str = "source")
     """Every part of the manifest exists with its hash and sizes."""
     now = slices.select(key, "part_id", *[F.col(c).alias(f"n_{c}") for c in ("sha256", "byte_count", "char_count")])
     rows = manifest_parts.join(now, [key, "part_id"], "left")
-    there = rows.where("n_sha256 is not null")
-    return union(
-        [issue(rows.where("n_sha256 is null"), key, F.col("part_id"), FAIL, "V3", "part is missing")]
-        + [issue(there.where(F.col(c) != F.col(f"n_{c}")), key, F.col("part_id"), FAIL, "V3", f"{c} differs") for c in ("sha256", "byte_count", "char_count")]
-    )
+    differs = [(F.col("n_sha256").isNotNull() & (F.col(c) != F.col(f"n_{c}")), FAIL, f"{c} differs") for c in ("sha256", "byte_count", "char_count")]
+    return issues(rows, key, F.col("part_id"), "V3", [("n_sha256 is null", FAIL, "part is missing"), *differs])
 
 
 def v4_continuity(parts: DataFrame, texts: DataFrame, key: str = "source") -> DataFrame:
@@ -77,14 +79,8 @@ def v4_continuity(parts: DataFrame, texts: DataFrame, key: str = "source") -> Da
     w = Window.partitionBy(key).orderBy("part_idx")
     rows = parts.withColumn("before", F.lag("end_char", 1, 0).over(w)).withColumn("next", F.lead("part_idx").over(w))
     rows = rows.join(pieces.lengths(texts, key), key)
-    part = F.format_string("part_%03d", "part_idx")
-    return union(
-        [
-            issue(rows.where("start_char <> before"), key, part, FAIL, "V4", "gap or overlap"),
-            issue(rows.where("end_char <= start_char"), key, part, FAIL, "V4", "empty part"),
-            issue(rows.where("next is null and end_char <> n"), key, part, FAIL, "V4", "does not reach the end"),
-        ]
-    )
+    found = [("start_char <> before", "gap or overlap"), ("end_char <= start_char", "empty part"), ("next is null and end_char <> n", "does not reach the end")]
+    return issues(rows, key, F.format_string("part_%03d", "part_idx"), "V4", [(cond, FAIL, msg) for cond, msg in found])
 
 
 def part_totals(slices: DataFrame, texts: DataFrame, key: str = "source") -> DataFrame:
@@ -135,18 +131,18 @@ def v8_units(stored: DataFrame, slices: DataFrame, key: str = "source") -> DataF
     """Units found again in each part's own text against the stored ones: offsets, hashes and separators (not the first's)."""
     from quire.operators.units import units
 
-    texts = slices.select(F.struct(key, "part_idx").alias("k"), "text")
+    # parts of one text come from one task; here each is read by itself
+    texts = slices.repartition(key, "part_idx").select(F.struct(key, "part_idx").alias("k"), "text")
     again = units(texts, "k").select(F.col(f"k.{key}").alias(key), F.col("k.part_idx").alias("part_idx"), F.col("idx").alias("index"), F.col("start_char").alias("a_start"), F.col("end_char").alias("a_end"), F.col("sha256").alias("a_sha"), F.col("sep_newlines").alias("a_sep"))
     rows = stored.select(key, "part_idx", "index", "rel_start", "rel_end", "sha256", "sep_newlines").join(again, [key, "part_idx", "index"], "full_outer")
-    part = F.format_string("part_%03d", "part_idx")
-    both = rows.where("sha256 is not null and a_sha is not null")
-    return union(
-        [
-            issue(rows.where("sha256 is null or a_sha is null"), key, part, FAIL, "V8", F.concat(F.lit("unit "), F.col("index").cast("string"), F.lit(" has no counterpart"))),
-            issue(both.where("rel_start <> a_start or rel_end <> a_end or sha256 <> a_sha"), key, part, FAIL, "V8", F.concat(F.lit("unit "), F.col("index").cast("string"), F.lit(" differs"))),
-            issue(both.where("index > 1 and sep_newlines <> a_sep"), key, part, FAIL, "V8", F.concat(F.lit("unit "), F.col("index").cast("string"), F.lit(" separator differs"))),
-        ]
-    )
+    unit = lambda what: F.concat(F.lit("unit "), F.col("index").cast("string"), F.lit(what))
+    both = F.col("sha256").isNotNull() & F.col("a_sha").isNotNull()
+    found = [
+        ("sha256 is null or a_sha is null", FAIL, unit(" has no counterpart")),
+        (both & F.expr("rel_start <> a_start or rel_end <> a_end or sha256 <> a_sha"), FAIL, unit(" differs")),
+        (both & F.expr("index > 1 and sep_newlines <> a_sep"), FAIL, unit(" separator differs")),
+    ]
+    return issues(rows, key, F.format_string("part_%03d", "part_idx"), "V8", found)
 
 
 def verdicts(issues: DataFrame, key: str = "source") -> DataFrame:
