@@ -79,6 +79,47 @@ def test_documents_are_the_signed_manifest(spark):
     assert all(len(json.loads(r.parts)) == r.part_count for r in docs.collect())
 
 
+def folds(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow")
+
+
+def test_units_are_placed_while_they_are_read(spark):
+    _, cut = both_forms(spark, 12)
+    cut = cut.unionByName(spark.createDataFrame([(None, 0, "a\n\n\nb\nc"), (None, 1, "d。\n")], cut.schema))
+    for limits in (LIMITS, PartLimits(5, 9, 12, 3)):
+        plan, made = P.plan_greedy(cut, limits=limits), P.plan_units(cut, limits=limits)
+        same(P.part_units(U.units(cut), plan), made.drop("before"))
+        assert folds(made) == 1 and "Join" not in made._jdf.queryExecution().optimizedPlan().toString()
+    last = {}
+    for r in sorted(P.plan_units(cut, limits=LIMITS).collect(), key=lambda r: (str(r.source), r.ln)):
+        assert r.before == (last.get(r.source) if r["index"] == 1 else None)
+        last[r.source] = r.text
+
+
+def test_a_translation_by_part_is_that_of_the_whole_text(spark, tmp_path):
+    rows = [(i, "\n".join(f"line {i} {j} of a text" for j in range(40)), f"src{i % 3}", "en") for i in range(90)]
+    rows = [(i, t + "\n" + "word. " * 900, s, x) for i, t, s, x in rows]  # several parts a book
+    spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    case = Q.Case(spark, str(tmp_path))
+    old = case.part_units.select("source", "part_idx", "ln").join(fx.translation(case.units), ["source", "ln"]).where("out_line is not null")
+    of = lambda df, line: sorted((r.source, r.part_idx, r[line]) for r in df.collect())
+    assert of(case.lines, "line") == of(old, "out_line")
+    assert case.plan.count() > 30 and folds(case.lines) == 1
+
+
+def test_a_check_makes_its_rows_once(spark):
+    _, cut = both_forms(spark, 6)
+    slices, plan = P.plan_slices(cut, limits=LIMITS), P.plan_greedy(cut, limits=LIMITS)
+    recorded = U.source_profile(cut)
+    assert folds(I.v1_source(cut, recorded)) == 2 and folds(I.v3_parts(slices, slices)) == 2 and folds(I.v4_continuity(plan, cut)) == 1
+    assert folds(I.v8_units(P.plan_units(cut, limits=LIMITS), slices)) == 2
+    odd = slices.where("part_idx <> 2").withColumn("sha256", F.when(F.col("part_idx") == 3, "0").otherwise(F.col("sha256"))).withColumn("byte_count", F.when(F.col("part_idx") == 3, 0).otherwise(F.col("byte_count")))
+    got = {(r.source, r.part_id, r.msg) for r in I.v3_parts(slices, odd).collect()}
+    parts = [(r.source, r.part_idx) for r in slices.collect()]
+    want = {(s, "part_002", "part is missing") for s, p in parts if p == 2} | {(s, "part_003", f"{c} differs") for s, p in parts if p == 3 for c in ("sha256", "byte_count")}
+    assert want and got == want
+
+
 def test_a_planner_holds_a_piece_and_a_reach():
     made, longest, parts = P.Planner(PartLimits()), 0, 0
     for i in range(3000):
