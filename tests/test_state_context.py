@@ -4,6 +4,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from quire.config import ContextLimits
 from quire.operators import context as C
 from quire.operators import prompt as R
 from quire.operators import state as S
@@ -96,6 +97,49 @@ def test_both_searches_find_what_python_finds(spark, monkeypatch, limit):
     assert set(got) == want and len(got) == len(want)
 
 
+@pytest.mark.parametrize("limit", [100, 0])
+def test_context_block_joins_what_its_pieces_find(spark, monkeypatch, limit):
+    """Against context_hits, gloss_hits and prev_tails, by either search."""
+    monkeypatch.setattr(C, "NEEDLES", limit)
+    rng = random.Random(limit)
+    word = lambda n: "".join(rng.choice("ab漢字") for _ in range(n))
+    parts = spark.createDataFrame([(s, i, word(rng.choice([0, 9, 30]))) for s in "xy" for i in range(1, 13)] + [(None, 1, "a")], "source string, part_idx int, text string")
+    outputs = spark.createDataFrame([(s, i, word(5)) for s in "xy" for i in range(1, 13, 2)], "source string, part_idx int, text string")
+    sections = spark.createDataFrame([(C.FILES[i % 6], i % 6, i // 4, word(rng.choice([0, 2, 3])) + rng.choice(["", "（z", "(z"]), word(4)) for i in range(24)], "file string, prio int, ord int, heading string, body string")
+    terms = spark.createDataFrame([(i, word(rng.choice([0, 2, 4])), rng.choice(["t", "u", None])) for i in range(12)], "pos long, src_term string, tgt_term string")
+    limits = ContextLimits(budget=9, translation_tail=3, raw_tail=4, glossary=2)
+    got = {(r.source, r.part_idx): r for r in C.context_block(parts, sections, terms, outputs, limits=limits).collect()}
+    assert set(got) == {(s, i) for s in "xy" for i in range(1, 13)}
+    hits, named, tails = {}, {}, {}
+    for r in C.context_hits(parts, sections, terms).collect():
+        hits.setdefault((r.source, r.part_idx), []).append((r.prio, r.ord, r.file, r.heading, r.body))
+    first = {(r.src_term, r.tgt_term): r.pos for r in reversed(terms.orderBy("pos").collect())}
+    for r in C.gloss_hits(parts, terms).where("tgt_term is not null").distinct().collect():
+        named.setdefault((r.source, r.part_idx), []).append((first[r.src_term, r.tgt_term], f"{r.src_term} → {r.tgt_term}"))
+    for r in C.prev_tails(parts, outputs, limits=limits).collect():
+        tails[r.source, r.part_idx] = r
+    assert any(x[2] == "terms.md" for v in hits.values() for x in v) and len(named) > 5
+    for k, r in got.items():
+        found, used, texts = sorted(hits.get(k, [])), 0, []
+        for _, _, file, heading, body in found:
+            if used + len(body) <= 9 or not texts:
+                used, texts = used + len(body), [*texts, f"[{file}] {heading}\n{body}"]
+        listed = [x for _, x in sorted(named.get(k, []))]
+        texts += ["\n".join(["[terms.md] terms", *listed[:2]])] if listed else []
+        heads = ((C.TRANSLATED_HEAD, tails[k].translation_tail), (C.RAW_HEAD, tails[k].raw_tail), (C.NOTES_HEAD, "\n\n".join(texts)))
+        assert r.context == "\n\n".join(f"{h}\n{t}" for h, t in heads if t)
+        assert r.hits == [f"{f}::{h}" for _, _, f, h, _ in found] + (["terms.md::terms"] if listed else [])
+
+
+def test_context_block_reads_the_parts_once(spark):
+    text = lambda: spark.createDataFrame([("x", 1, "ab")], "source string, part_idx int, text string").mapInArrow(lambda it: it, "source string, part_idx int, text string")
+    sections = spark.createDataFrame([("facts.md", 5, 1, "a", "b")], "file string, prio int, ord int, heading string, body string")
+    terms = spark.createDataFrame([(1, "b", "c")], "pos long, src_term string, tgt_term string")
+    rows = C.context_block(text(), sections, terms, text())
+    # the parts, the outputs and the search
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 3
+
+
 def test_budget_skips_what_does_not_fit(spark):
     rows = [("a", 1, 0, 1, "big", "x" * 5000), ("a", 1, 0, 2, "mid", "x" * 4000), ("a", 1, 1, 3, "small", "x" * 3000), ("b", 1, 0, 1, "huge", "x" * 9000)]
     df = spark.createDataFrame(rows, "source string, part_idx int, prio int, ord int, heading string, body string")
