@@ -112,6 +112,15 @@ def test_punctuation_pass_rewrites_only_parts_that_fit(spark):
     assert all(r.changed == 0 for r in punct.punctuate(units, outputs, "fr", "de").collect()) and not punct.registered("fr", "de")
 
 
+def test_punctuation_pass_of_odd_parts(spark):
+    units = spark.createDataFrame([("a", 1, 1, "「x」"), ("a", 3, 2, "「z」"), ("a", 3, 1, "y"), ("a", 5, 1, "u")], "source string, part_idx int, index int, text string")
+    outputs = spark.createDataFrame([("a", 1, " \n\u3000\n"), ("a", 2, "「v」"), ("a", 3, "「y」\n \n「z」\n"), ("a", 4, ""), ("a", 5, None), ("a", 6, "\n「w」\x1c\n\x1c")], "source string, part_idx int, text string")
+    got = {r.part_idx: (r.text, r.fits, r.changed, r.tags) for r in punct.punctuate(units, outputs, "ja", "zh-hans").collect()}
+    assert got == {
+        1: (" \n\u3000\n", True, 0, []), 2: ("「v」", False, 0, []), 3: ("“y”\n \n“z”\n", True, 2, ["kakko", "kakko"]), 4: ("", True, 0, []), 6: ("\n「w」\x1c\n\x1c", False, 0, []),
+    }
+
+
 def test_staged_outputs_carry_the_hash_of_what_was_stored(spark, tmp_path):
     out = spark.createDataFrame([("a", 1, "text é"), ("a", 2, "")], "source string, part_idx int, text string")
     got = {r.part_idx: (r.output_sha256, r.output_char_count) for r in writers.stage_outputs(out, str(tmp_path / "in"), str(tmp_path / "out")).collect()}
